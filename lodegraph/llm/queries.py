@@ -7,24 +7,46 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import line_dedup, packing, sharding
+from lodegraph.llm import decontamination, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding
 from lodegraph.llm.common import documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(documents(spark, sf_dir))
+    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     dropped = line_dedup.drop_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10)
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_sharding, op7_packing, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup)}
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
