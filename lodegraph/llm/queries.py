@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding
+from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding, suffix_dedup
 from lodegraph.llm.common import documents
 
 
@@ -24,6 +24,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+    return removed.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links", "n_copies")
 
@@ -50,7 +55,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup)}
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
