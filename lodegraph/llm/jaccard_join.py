@@ -277,16 +277,16 @@ def verify_pairs(blocks: DataFrame, threshold: float, width: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, seed: int = 0) -> DataFrame:
-    """Per row of `docs`: doc_id, row_key, class_id, n_links, n_copies.
+    """Per row of `docs`: doc_id, row_key, class_id, n_links, n_copies, stays.
 
     class_id is the least doc_id of the component of exact links that the text belongs to;
     n_links counts the other distinct texts linked to it directly; n_copies the rows with an
-    equal set, itself included.
+    equal set, itself included; stays marks the class's first row (by doc_id, then row_key).
     """
     docs = docs.select("doc_id", "text")
     signed = written(signed_sets(docs, width))
-    first = F.min(F.struct("doc_id", "row_key"))
-    sets = written(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sig").alias("sig"), F.min("doc_id").alias("least_id"), first.alias("one"), F.count(F.lit(1)).alias("n_copies")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    sets = written(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sig").alias("sig"), first.alias("one"), F.count(F.lit(1)).alias("n_copies")))
     ties = checkpoint(candidate_ties(sets.select("set_id", "sig"), threshold, recall, seed=seed))
     clusters = connected_components(ties)
 
@@ -305,10 +305,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     links = found.groupBy("set_id").agg(F.sum("n_links").alias("n_links"))
     classes = connected_components(found.where("set_id <> dst"), "set_id", "dst")
 
-    joined = sets.select("set_id", "least_id", "n_copies").join(classes, F.col("set_id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "set_id"))
-    least = joined.groupBy("class").agg(F.min("least_id").alias("class_id"))
-    marked = joined.join(least, "class").join(links, "set_id", "left").select("set_id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "row_key", "set_id").join(marked, "set_id", "left").select("doc_id", "row_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    joined = sets.select("set_id", "one", "n_copies").join(classes, F.col("set_id") == F.col("node"), "left").withColumn("class", F.coalesce("component", "set_id"))
+    least = joined.groupBy("class").agg(F.min("one").alias("least"))
+    marked = joined.join(least, "class").join(links, "set_id", "left").select("set_id", "least", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = signed.select("doc_id", "row_key", "set_id").join(marked, "set_id", "left")
+    own = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.row_key") == F.col("row_key"))
+    return rows.select(
+        "doc_id", "row_key", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(own, F.lit(True)).alias("stays"),
+    )
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
+    """One document of each class, with its columns; of rows equal in doc_id and text, one stays."""
+    stay = near_duplicates(docs, threshold, recall, width).where("stays").select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct()
+    rows = docs.withColumn("_row", text_key(F.col("text")))
+    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_k")), "left_semi")
+    return joined.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
 
 
 def docs_sizes(texts: DataFrame) -> DataFrame:
