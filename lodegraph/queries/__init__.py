@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodegraph.queries import star
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**star.QUERIES}
+ORACLE_SQL: dict[str, str] = {**star.ORACLE_SQL}
