@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import map_batches
 from lodegraph.runtime import written
 
-RISK = 0.01
+RISK = 0.02
 ERROR = 0.05
 BINS = 64
 WINDOW = 8
