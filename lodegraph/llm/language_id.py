@@ -11,7 +11,7 @@ corpus is gathered. Prediction is a narrow Arrow-batch map over every row, witho
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; null labels are never
 learnt; rows that repeat a doc_id are predicted apart; an empty table, or one without a labelled
-row, gives `und` everywhere; other columns are dropped by `predict` unless named in `keep`.
+row, gives `und` everywhere; rows with a null doc_id are predicted, never learnt; other columns are dropped by `predict` unless named in `keep`.
 """
 
 from __future__ import annotations
@@ -134,9 +134,16 @@ class ByteConvNet:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> ByteConvNet | None:
-    """Fit on at most `rows` labelled documents outside fold 0, chosen by a hash of their text."""
-    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("text", "lang")
-    sample = known.orderBy(F.xxhash64("text", F.lit(seed)), "lang").limit(rows).collect()  # bounded by `rows`
+    """Fit on at most `rows` labelled documents outside fold 0.
+
+    They are drawn by a hash of the row against a rate that a count of the labelled rows sets, so
+    tasks send about `rows` texts in all, however many tasks there are.
+    """
+    known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("text", "lang", "doc_id")
+    share = rows / max(1, known.count())
+    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))
+    some = known.where(drawn < int(0.95 * share * (1 << 40))) if share < 1 else known
+    sample = sorted(some.select("text", "lang").limit(rows).collect())  # bounded by `rows`
     sample = [r for r in sample if _LETTER.search(r["text"])]
     if not sample:
         return None

@@ -35,7 +35,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(documents(spark, sf_dir))
-    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(language_id.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
