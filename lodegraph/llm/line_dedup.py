@@ -4,7 +4,8 @@ Lines become 128-bit keys. The keys are range-partitioned by (key, document) and
 position inside each range, so a key that a third of all documents hold is spread over ranges
 by document. One streaming window pass keeps each document's first occurrence of a key; those
 firsts are counted per key with map-side combining. Positions of frequent keys come back as
-bitmaps of 64-line words; a word that keeps all its lines is not stored. Text is never shuffled
+bitmaps of 64-line words; a word that keeps all its lines is not stored. The frequent keys are
+broadcast where a count proves them few; else they are joined with a salt per document. Text is never shuffled
 by line, and only DataFrame functions are used.
 
 Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as one
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.llm.common import text_key
+from lodegraph.runtime import BROADCAST_ROWS, checkpoint
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = 64
+#: Parts that each frequent key is spread over where there are too many of them to broadcast.
+SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -58,8 +62,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, partit
     `words` holds (word, bits) for each run of 64 lines that loses at least one; bit i set means
     line 64 * word + i stays.
     """
-    frequent = frequent_keys(docs, min_docs, min_chars, partitions)
-    lost = _hashed_lines(docs, min_chars).join(frequent.select("h1", "h2"), ["h1", "h2"], "left_semi")
+    frequent = checkpoint(frequent_keys(docs, min_docs, min_chars, partitions).select("h1", "h2"))
+    lines = _hashed_lines(docs, min_chars)
+    if len(frequent.head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
+        lost = lines.join(F.broadcast(frequent), ["h1", "h2"], "left_semi")
+    else:
+        spread = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        lost = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(SALTS)).cast("int")).join(spread, ["h1", "h2", "salt"], "left_semi")
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     words = lost.groupBy("doc_id", "row_key", F.floor(F.col("pos") / WORD).cast("int").alias("word")).agg(F.bit_or(bit).alias("gone"))
     return words.groupBy("doc_id", "row_key").agg(
