@@ -5,9 +5,12 @@ set has a MinHash signature, whose coordinates are tokens that similar sets shar
 with all sets at one node; a node samples one or two tokens (1 / threshold of them on average, so a pair at
 the threshold is expected to stay together once), and each set moves to the children that hold
 its tokens. A node of few sets is a bucket: its pairs are compared by signature, and those that
-may be similar are tied. Runs are repeated until the chance that a pair at the threshold was
-never tied is below 1 - `RECALL` (`runs_needed`). A node that is still large at `DEPTH` is a
-group of near-copies; all its members are tied to its least one.
+may be similar are tied. A larger node's sets are first compared with one of them, its hub: those
+as near to the hub as the threshold leave the node, since what is similar to them is within two
+thresholds' distance of the hub, and all sets within that distance are tied to it. Groups of near-copies thus
+leave at once, whatever their size, and the rest is split further. Runs are repeated until the
+chance that a pair at the threshold was never tied is below 1 - `RECALL` (`runs_needed`). A node
+that is still large at `DEPTH` has all its members tied to its least one.
 
 Ties only propose clusters. Each cluster is then verified exactly: every pair of its sets is
 counted by blocks of bounded size, so a very large cluster is spread over many tasks, and no pairs
@@ -189,22 +192,42 @@ def bucket_ties(buckets: DataFrame, threshold: float) -> DataFrame:
     return map_batches(buckets, tie, "src binary, dst binary")
 
 
+def hub_distances(members: DataFrame) -> DataFrame:
+    """Rows (path, set_id, hub_id, near) from (path, set_id, sig, hub): how much of the hub's signature a set shares."""
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        hubs = batch.column("hub").to_pylist()
+        own = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+        other = np.frombuffer(b"".join(h["sig"] for h in hubs), dtype=np.uint32).reshape(-1, COORDINATES)
+        near = (own == other).mean(1)
+        return pa.RecordBatch.from_arrays([batch.column("path"), batch.column("set_id"), pa.array([h["set_id"] for h in hubs], pa.binary()), pa.array(near)], names=["path", "set_id", "hub_id", "near"])
+
+    return map_batches(members, compare, "path long, set_id binary, hub_id binary, near double")
+
+
 def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, seed: int = 0) -> DataFrame:
     """Ties between sets (materialised; set_id, sig) that met on a chosen path."""
+    twice = max(0.0, 2 * threshold - 1)
+    reach = twice - SLACK * math.sqrt(twice * (1 - twice) / COORDINATES)
     ties, leaves = [], []
     nodes = written(children(sets, threshold, _roots(runs_needed(threshold, recall), seed)))
     for level in range(1, depth + 1):
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = checkpoint(nodes.join(counts, "path"))
         leaves.append(sized.where(F.col("n") <= bucket).groupBy("path").agg(F.sort_array(F.collect_set("set_id")).alias("ids")).select("ids"))
-        large = sized.where(F.col("n") > bucket)
+        large = sized.where(F.col("n") > bucket).select("path", "set_id")
         if level == depth:
             hubs = large.groupBy("path").agg(F.min("set_id").alias("dst"))
             ties.append(large.join(hubs, "path").select(F.col("set_id").alias("src"), "dst").where("src <> dst").distinct())
         elif large.isEmpty():
             break
         else:
-            nodes = children(large.select("path", "set_id").join(sets, "set_id").select("path", "set_id", "sig"), threshold)
+            signed = large.join(sets, "set_id").select("path", "set_id", "sig")
+            hubs = signed.groupBy("path").agg(F.min(F.struct("set_id", "sig")).alias("hub"))
+            compared = checkpoint(hub_distances(signed.join(hubs, "path").select("path", "set_id", "sig", "hub")))
+            ties.append(compared.where((F.col("near") >= reach) & (F.col("set_id") != F.col("hub_id"))).select(F.col("set_id").alias("src"), F.col("hub_id").alias("dst")).distinct())
+            rest = compared.where(F.col("near") < threshold).select("path", "set_id")
+            nodes = checkpoint(children(rest.join(sets, "set_id").select("path", "set_id", "sig"), threshold))
     ids = leaves[0]
     for more in leaves[1:]:
         ids = ids.union(more)
