@@ -335,7 +335,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     own = F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.row_key") == F.col("row_key"))
     return rows.select(
         "doc_id", "row_key", F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.coalesce(own, F.lit(True)).alias("stays"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.when(F.col("least").isNull(), True).otherwise(own).alias("stays"),
     )
 
 
