@@ -42,6 +42,8 @@ THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
 BUCKET = 24
+#: Word hashes that a worker remembers; beyond this it forgets all and starts anew.
+REMEMBERED = 200_000
 DEPTH = 10
 #: Standard deviations that a signature may fall short of the threshold before a tie is refused.
 SLACK = 4.0
@@ -75,7 +77,7 @@ def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, _U64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > REMEMBERED:
         _WORDS.clear()
     hashed = np.fromiter(map(_WORDS.__getitem__, words), _U64, len(words))
     n = max(1, len(words) - width + 1)
