@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import BATCH_BYTES, map_batches, text_key
 from lodegraph.operators.components import connected_components
-from lodegraph.runtime import checkpoint, ensure_importable, written
+from lodegraph.runtime import broadcast_if_small, checkpoint, ensure_importable, written
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -342,11 +342,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH) -> DataFrame:
-    """One document of each class, with its columns; of rows equal in doc_id and text, one stays."""
-    stay = near_duplicates(docs, threshold, recall, width).where("stays").select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k")).distinct()
-    rows = docs.withColumn("_row", text_key(F.col("text")))
-    joined = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_k")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    """One document of each class, with its columns; of rows equal in doc_id and text, one stays.
+
+    Texts are held against the rows that go, and shuffled only where those are too many to broadcast.
+    """
+    keys = ["_d", "_k"]
+    marks = written(near_duplicates(docs, threshold, recall, width).select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), "stays"))
+    gone = checkpoint(marks.where("NOT stays").select(*keys).distinct())
+    again = checkpoint(marks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*keys))
+
+    def match(rows: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+        return rows.join(broadcast_if_small(listed), rows["doc_id"].eqNullSafe(listed["_d"]) & (rows["_row"] == listed["_k"]), how)
+
+    rows = match(docs.withColumn("_row", text_key(F.col("text"))), gone, "left_anti")
+    if again.head(1):
+        rows = match(rows, again, "left_anti").union(match(rows, again, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return rows.select(*docs.columns)
 
 
 def docs_sizes(texts: DataFrame) -> DataFrame:
