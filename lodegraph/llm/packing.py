@@ -35,7 +35,7 @@ END_ID = 1
 SALTS = 64
 VOCABULARY = "word_bpe_49k.json"
 #: Words and white-space runs a worker remembers; beyond this it forgets all and starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 900_000
 
 #: In texts of these characters alone, normalisation is lower-casing and words are split by _WORD.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ɏ]*")
