@@ -2,9 +2,10 @@ r"""Secret scanning with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned, then unwrapped: percent escapes and Unicode
 escapes are decoded in place, and base64 runs, whose bytes may be compressed, open a layer of
-their own. New layers go on a worklist until none is left; a layer whose content was seen before
-is not opened again, which ends cycles (a compressed stream may hold itself). Every layer carries
-where each of its characters comes from, so a finding in any layer becomes a span of the text.
+their own. New layers go on a worklist until none is left; a layer that was seen before with the
+same characters from the same places is not opened again, which ends cycles (a compressed stream
+may hold itself) and keeps equal content at several places apart. Every layer carries where each
+of its characters comes from, so a finding in any layer becomes a span of the text.
 
 Kinds: assign (a keyword, a separator and a value), access (an access key id), hex (a long run of
 hexadecimal digits). Findings of the first layer are the base; those of deeper layers are added.
@@ -21,8 +22,10 @@ import bz2
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,6 +63,10 @@ class Layer:
     def outer(self, low: int, high: int) -> tuple[int, int]:
         return min(self.starts[low:high]), max(self.ends[low:high])
 
+    def key(self) -> tuple[str, bytes, bytes]:
+        """The same for layers with equal characters from equal places."""
+        return self.text, sha256(array("q", self.starts)).digest(), sha256(array("q", self.ends)).digest()
+
 
 def _percent(run: str) -> list[tuple[str, int, int]] | None:
     """Characters of a run of percent escapes with their place in the run."""
@@ -171,17 +178,17 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     base, added = base_spans(text), set()
     if "%" not in text and "\\" not in text and "&#" not in text and not _BASE64.search(text):
         return base, []
-    seen = {text}
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
+    seen = {work[0].key()}
     while work:
         layer = work.pop()
         opened = [_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None, _in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&#" in layer.text else None]
         for m in _BASE64.finditer(layer.text):
             opened += _unwrapped(layer, *m.span())
         for inner in opened:
-            if inner is None or inner.text in seen:
+            if inner is None or (key := inner.key()) in seen:
                 continue
-            seen.add(inner.text)
+            seen.add(key)
             work.append(inner)
             added.update((k, *inner.outer(a, b)) for k, a, b in base_spans(inner.text))
     return base, sorted(added - set(base))

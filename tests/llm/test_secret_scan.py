@@ -64,6 +64,14 @@ def test_layers_map_to_their_encoded_run(name):
         assert secret_scan.find(text[low:high])[1]
 
 
+@pytest.mark.parametrize("second", ["base64", "gzip", "nested"])
+def test_equal_content_is_found_at_every_place(second):
+    text = f"one {LAYERS['base64']} two {LAYERS['base64']} three {LAYERS[second]} end"
+    starts = sorted(low for kind, low, _ in secret_scan.find(text)[1] if kind == "assign")
+    places = [text.index(LAYERS["base64"]), text.index(LAYERS["base64"], 10), text.index(" three ") + 7]
+    assert len(starts) == 3 and all(p <= s < p + len(LAYERS["base64"]) for p, s in zip(places, starts, strict=True))
+
+
 def test_clean_text_and_cycles():
     assert secret_scan.find("100% sure \\ nothing & here, not even in QUJDREVGR0hJSktMTU5P") == ([], [])
     assert secret_scan.find("%2525252525") == ([], [])
