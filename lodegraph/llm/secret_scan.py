@@ -1,8 +1,9 @@
 r"""Secret scanning with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned, then unwrapped: percent escapes and Unicode
-escapes are decoded in place, and base64 runs, whose bytes may be compressed, open a layer of
-their own. New layers go on a worklist until none is left; a layer that was seen before with the
+escapes are decoded in place, and base64 runs, also those wrapped over lines, are decoded at each
+alignment: every stretch of text in their bytes, and in compressed streams among these, opens a
+layer of its own, so a run may be glued to other characters of its class. New layers go on a worklist until none is left; a layer that was seen before with the
 same characters from the same places is not opened again, which ends cycles (a compressed stream
 may hold itself) and keeps equal content at several places apart. Every layer carries where each
 of its characters comes from, so a finding in any layer becomes a span of the text.
@@ -43,6 +44,11 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+?)(?=\\|&|$)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+LEAST_RUN = 16
+#: All that findings and runs of deeper layers are made of, and the length of the shortest of them.
+_STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{16,}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
 def base_spans(text: str) -> list[Span]:
@@ -135,40 +141,43 @@ def _inflated(data: bytes) -> bytes | None:
         raise
 
 
-def _as_text(data: bytes) -> str | None:
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c.isspace() for c in text) >= 0.95 * len(text) else None
+def _opened(data: bytes) -> bytes | None:
+    """What a compressed stream holds, itself inflated as long as it is compressed."""
+    out, depth = None, 0
+    while (more := _inflated(data)) is not None and more != data and depth < 64:
+        out, data, depth = more, more, depth + 1
+    return out
+
 
+def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
+    """Base64 runs with the place of each character: those within a line, and those wrapped over lines."""
+    for m in _BASE64.finditer(text):
+        run = m[0].rstrip("=")
+        yield run, range(m.start(), m.start() + len(run))
+    for m in _WRAPPED.finditer(text) if "\n" in text else ():
+        places = [i for i in range(*m.span()) if text[i] not in "=\r\n\t "]
+        if len(places) >= LEAST_RUN:
+            yield "".join([text[i] for i in places]), places
 
-def _unwrapped(layer: Layer, low: int, high: int) -> Iterator[Layer]:
-    """Layers inside the base64 run layer.text[low:high], tried at each alignment."""
-    run = layer.text[low:high].rstrip("=").replace("-", "+").replace("_", "/")
+
+def _unwrapped(layer: Layer, run: str, places: Sequence[int]) -> Iterator[Layer]:
+    """Layers inside a base64 run, tried at each alignment: its stretches of text, and what compressed streams in it hold."""
+    run = run.replace("-", "+").replace("_", "/")
     for shift in range(min(4, len(run))):
         part = run[shift:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         data = base64.b64decode(part + "=" * (-len(part) % 4))
-        base = low + shift
-        span = (min(layer.starts[base : base + len(part)], default=0), max(layer.ends[base : base + len(part)], default=0))
-        depth = 0
-        while (more := _inflated(data)) is not None and more != data and depth < 64:
-            data, depth = more, depth + 1
-        text = _as_text(data)
-        if not text or len(text) < 8:
-            continue
-        if depth:
-            yield Layer(text, [span[0]] * len(text), [span[1]] * len(text))
-            continue
-        starts, ends, at = [], [], 0
-        for c in text:
-            n = len(c.encode())
-            first, last = base + 4 * (at // 3), min(base + 4 * ((at + n - 1) // 3) + 4, base + len(part))
-            starts.append(layer.starts[first])
-            ends.append(layer.ends[last - 1])
-            at += n
-        yield Layer(text, starts, ends)
+        at = places[shift : shift + len(part)]
+        for m in _STRETCH.finditer(data):
+            quads = [4 * (i // 3) for i in range(*m.span())]
+            yield Layer(m[0].decode("ascii"), [layer.starts[at[q]] for q in quads], [layer.ends[at[min(q + 4, len(at)) - 1]] for q in quads])
+        for m in _MAGIC.finditer(data):
+            if m.start() % 3 or (held := _opened(data[m.start() :])) is None:
+                continue
+            rest = range(4 * (m.start() // 3), len(at))
+            low, high = min(layer.starts[at[i]] for i in rest), max(layer.ends[at[i]] for i in rest)
+            for t in _STRETCH.finditer(held):
+                yield Layer(t[0].decode("ascii"), [low] * len(t[0]), [high] * len(t[0]))
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -176,15 +185,15 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base, added = base_spans(text), set()
-    if "%" not in text and "\\" not in text and "&#" not in text and not _BASE64.search(text):
+    if "%" not in text and "\\" not in text and "&#" not in text and not _BASE64.search(text) and not _WRAPPED.search(text):
         return base, []
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     seen = {work[0].key()}
     while work:
         layer = work.pop()
         opened = [_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None, _in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&#" in layer.text else None]
-        for m in _BASE64.finditer(layer.text):
-            opened += _unwrapped(layer, *m.span())
+        for run, places in _runs(layer.text):
+            opened += _unwrapped(layer, run, places)
         for inner in opened:
             if inner is None or (key := inner.key()) in seen:
                 continue

@@ -72,6 +72,39 @@ def test_equal_content_is_found_at_every_place(second):
     assert len(starts) == 3 and all(p <= s < p + len(LAYERS["base64"]) for p, s in zip(places, starts, strict=True))
 
 
+@pytest.mark.parametrize("name", ["base64", "gzip", "zlib", "bz2", "xz", "zstd", "base64_twice"])
+@pytest.mark.parametrize("glue", ["/data/x/", "path/", "key_", "a-", "x", "xy", "xyz"])
+def test_runs_glued_to_their_class(name, glue):
+    text = f"é {glue}{LAYERS[name]} end"
+    low, high = next((a, b) for k, a, b in secret_scan.find(text)[1] if k == "assign")
+    assert 2 + len(glue) <= low < high <= 2 + len(glue) + len(LAYERS[name])
+    after = f"é {LAYERS[name].rstrip('=')}/tail-of_path end"
+    assert any(k == "assign" for k, *_ in secret_scan.find(after)[1])
+
+
+@pytest.mark.parametrize("line", ["\n", "\r\n", "\n    "])
+@pytest.mark.parametrize("how", [bytes, gzip.compress, lzma.compress])
+def test_runs_wrapped_over_lines(line, how):
+    for pad in range(40, 60):
+        noise = random.Random(pad).randbytes(150).hex().upper()
+        whole = b64(how((". " * (pad // 2) + "x" * (pad % 2) + SECRET + " " + noise).encode()))
+        lines = [whole[i : i + 76] for i in range(0, len(whole), 76)]
+        text = f"see:{line}{line.join(lines)}{line}end."
+        found = [(a, b) for k, a, b in secret_scan.find(text)[1] if k == "assign"]
+        assert len(lines) > 2 and found
+        if how is bytes:
+            low = text.index(lines[0])
+            at = [i for i in range(low, len(text)) if text[i] in whole and not text[i].isspace()]
+            first, last = whole_quads(pad)
+            assert (at[first], at[last - 1] + 1) in found
+
+
+def whole_quads(pad):
+    """The base64 characters that hold the assignment of SECRET after `pad` bytes."""
+    end = pad + SECRET.rindex('"')
+    return 4 * (pad // 3), 4 * ((end - 1) // 3) + 4
+
+
 def test_clean_text_and_cycles():
     assert secret_scan.find("100% sure \\ nothing & here, not even in QUJDREVGR0hJSktMTU5P") == ([], [])
     assert secret_scan.find("%2525252525") == ([], [])
