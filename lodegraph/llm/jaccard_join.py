@@ -9,7 +9,9 @@ may be similar are tied. A larger node's sets are first compared with one of the
 as near to the hub as the threshold leave the node, since what is similar to them is within two
 thresholds' distance of the hub, and all sets within that distance are tied to it. Groups of near-copies thus
 leave at once, whatever their size, and the rest is split further. Runs are repeated until the
-chance that a pair at the threshold was never tied is below 1 - `RECALL` (`runs_needed`). A node
+chance that a pair at the threshold was never tied is at most 1 - `RECALL`, even if its nodes stay
+large down to `DEPTH`; since runs draw from one signature, that chance is an average over the number of
+coordinates that the pair shares (`missed`). A node
 that is still large at `DEPTH` has all its members tied to its least one.
 
 Ties only propose clusters. Each cluster is then verified exactly: every pair of its sets is
@@ -126,13 +128,27 @@ def chosen_coordinates(paths: np.ndarray, threshold: float) -> tuple[np.ndarray,
     return first, np.where(extra, second, -1)
 
 
-def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = 6) -> int:
-    """Runs after which a pair at the threshold has met at `depth` with probability `recall`."""
-    two, gone = 1 / threshold - 1, 0.0
-    for _ in range(depth):
-        stay = 1 - threshold + threshold * gone
-        gone = (1 - two) * stay + two * stay * stay
-    return math.ceil(math.log(1 - recall) / math.log(gone))
+def missed(runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
+    """The chance that a pair at the threshold isn't tied by `runs` runs if its nodes stay large down to `depth`.
+
+    All runs draw from one signature: given how many coordinates the pair shares, runs are independent.
+    """
+    n, two = COORDINATES, 1 / threshold - 1
+    least, out = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n), 0.0
+    for k in range(n + 1):
+        gone = 0.0
+        none, both = (n - k) * (n - k - 1) / (n * (n - 1)), k * (k - 1) / (n * (n - 1))
+        for _ in range(depth):
+            gone = (1 - two) * (1 - k / n + k / n * gone) + two * (none + (1 - none - both) * gone + both * gone * gone)
+        out += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) * (gone**runs if k / n >= least else 1.0)
+    return out
+
+
+def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """The fewest runs after which a pair at the threshold has been tied with probability `recall`."""
+    if missed(10_000, threshold, depth) > 1 - recall:
+        raise ValueError(f"a recall of {recall} is out of reach of {COORDINATES} coordinates")
+    return next(r for r in range(1, 10_001) if missed(r, threshold, depth) <= 1 - recall)
 
 
 def children(nodes: DataFrame, threshold: float, roots: list[int] | None = None) -> DataFrame:
@@ -212,7 +228,7 @@ def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float
     twice = max(0.0, 2 * threshold - 1)
     reach = twice - SLACK * math.sqrt(twice * (1 - twice) / COORDINATES)
     ties, leaves = [], []
-    nodes = written(children(sets, threshold, _roots(runs_needed(threshold, recall), seed)))
+    nodes = written(children(sets, threshold, _roots(runs_needed(threshold, recall, depth), seed)))
     for level in range(1, depth + 1):
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = checkpoint(nodes.join(counts, "path"))

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
+
 from lodegraph.llm import jaccard_join as jj
 
 
@@ -78,3 +81,35 @@ def test_one_row_of_each_class_stays(spark):
 
 def test_runs_reach_the_recall():
     assert jj.runs_needed(0.8, 0.999) > jj.runs_needed(0.9, 0.999) >= 1
+
+
+def test_runs_reach_the_recall_at_full_depth():
+    for threshold in (0.7, 0.8, 0.9):
+        runs = jj.runs_needed(threshold)
+        assert jj.missed(runs, threshold, jj.DEPTH) <= 1 - jj.RECALL < jj.missed(runs - 1, threshold, jj.DEPTH)
+    with pytest.raises(ValueError):
+        jj.runs_needed(0.8, 0.999999)
+
+
+def test_pairs_meet_as_often_as_stated_when_nodes_go_deep():
+    """Pairs of signatures at the threshold descend the operator's own paths; those that part in every run are missed."""
+    pairs, rng = 20_000, np.random.default_rng(0)
+    same = rng.random((pairs, jj.COORDINATES)) < jj.THRESHOLD
+    sigs = rng.integers(0, 1 << 32, (pairs, jj.COORDINATES), dtype=np.uint64)
+
+    def parted(runs):
+        roots = np.asarray(jj._roots(runs, 0), np.int64).view(np.uint64)
+        paths, pair = np.tile(roots, pairs), np.repeat(np.arange(pairs), runs)
+        for _ in range(jj.DEPTH):
+            next_paths, next_pair = [], []
+            for at in jj.chosen_coordinates(paths, jj.THRESHOLD):
+                on = np.flatnonzero(at >= 0)
+                on = on[same[pair[on], at[on]]]
+                token = sigs[pair[on], at[on]] | at[on].astype(np.uint64) << np.uint64(32)
+                next_paths.append(jj.mixed(jj.mixed(paths[on]) * jj._ODD[4] + token))
+                next_pair.append(pair[on])
+            paths, pair = np.concatenate(next_paths), np.concatenate(next_pair)
+        return 1 - len(np.unique(pair)) / pairs
+
+    assert parted(jj.runs_needed()) <= 1.5 * (1 - jj.RECALL)
+    assert abs(parted(11) - jj.missed(11)) < 0.006
