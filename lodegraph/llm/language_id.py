@@ -6,7 +6,8 @@ window, and a softmax layer gives language probabilities. A text's probabilities
 over all its windows, weighted by the bytes they hold, so whole texts count.
 
 The network is trained on the driver from a bounded sample of labelled rows (`TRAIN_ROWS`
-documents, `WINDOWS_PER_ROW` windows of each, spread over the whole text); nothing else about the
+documents and `LEAST_PER_LANGUAGE` of each language, `WINDOWS_PER_ROW` windows of each, spread over
+the whole text); nothing else about the
 corpus is gathered. Prediction is a narrow Arrow-batch map over every row, without a shuffle.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; null labels are never
@@ -22,10 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import map_batches
+from lodegraph.runtime import broadcast_if_small, checkpoint
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -34,6 +36,8 @@ EMBEDDING = 6
 #: The bounded sample that the network is trained on: rows, and windows of each.
 TRAIN_ROWS = 3000
 WINDOWS_PER_ROW = 3
+#: Rows of a language that are learnt, if it has them, whatever its share.
+LEAST_PER_LANGUAGE = 50
 EPOCHS = 12
 UNKNOWN = "und"
 PAD = 256
@@ -134,16 +138,24 @@ class ByteConvNet:
 
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> ByteConvNet | None:
-    """Fit on at most `rows` labelled documents outside fold 0.
+    """Fit on about `rows` labelled documents outside fold 0, at least `LEAST_PER_LANGUAGE` of each language that has them.
 
-    They are drawn by a hash of the row against a rate that a count of the labelled rows sets, so
-    tasks send about `rows` texts in all, however many tasks there are.
+    Rows are drawn by a hash of the row against a rate per language, set by a count of its labelled
+    rows; of those drawn, the first of each language by that hash stay. So a rare language is learnt
+    however many rows others have, and tasks send a bounded number of texts per language.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 0)).select("text", "lang", "doc_id")
-    share = rows / max(1, known.count())
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40))
-    some = known.where(drawn < int(0.95 * share * (1 << 40))) if share < 1 else known
-    sample = sorted(some.select("text", "lang").limit(rows).collect())  # bounded by `rows`
+    counts = checkpoint(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).head()[0] or 0
+    some = known
+    if total > rows:
+        quota = F.greatest(F.lit(LEAST_PER_LANGUAGE), F.ceil(0.95 * rows / total * F.col("n")))
+        quotas = counts.select(F.col("lang").alias("_lang"), quota.alias("quota"), (2 * quota / F.col("n") * (1 << 40)).alias("below"))
+        drawn = known.withColumn("drawn", F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)))
+        drawn = drawn.join(broadcast_if_small(quotas), F.col("lang") == F.col("_lang")).where("drawn < below")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id", "text"))
+        some = drawn.withColumn("rank", rank).where("rank <= quota")
+    sample = sorted(some.select("text", "lang").collect())  # bounded by `rows` and `LEAST_PER_LANGUAGE` of each language
     sample = [r for r in sample if _LETTER.search(r["text"])]
     if not sample:
         return None

@@ -32,3 +32,11 @@ def test_windows_cover_the_whole_text():
     data = bytes(range(1, 256)) * 5
     w = language_id.windows(data, 100)
     assert w.reshape(-1)[: len(data)].tolist() == list(data) and (w.reshape(-1)[len(data) :] == language_id.PAD).all()
+
+
+def test_a_rare_language_is_learnt_however_many_rows_others_have(spark):
+    rows = [(i, f"the house number {i} by the river", "en") for i in range(3000)] + [(5000 + i, f"das alte Haus Nummer {i} am Fluss", "de") for i in range(10)]
+    rows += [(9000, "the same hot row", "en")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for seed in range(3):
+        assert language_id.train(df, rows=30, seed=seed).languages == ["de", "en"]
