@@ -2,25 +2,28 @@
 
 Each text is the set of its five-word shingles. Texts with equal sets are collapsed first. Every
 set has a MinHash signature, whose coordinates are tokens that similar sets share. A run starts
-with all sets at one node; a node samples one or two tokens (1 / threshold of them on average, so a pair at
-the threshold is expected to stay together once), and each set moves to the children that hold
-its tokens. A node of few sets is a bucket: its pairs are compared by signature, and those that
-may be similar are tied. A larger node's sets are first compared with one of them, its hub: those
-as near to the hub as the threshold leave the node, since what is similar to them is within two
-thresholds' distance of the hub, and all sets within that distance are tied to it. Groups of near-copies thus
-leave at once, whatever their size, and the rest is split further. Runs are repeated until the
-chance that a pair at the threshold was never tied is at most 1 - `RECALL`, even if its nodes stay
-large down to `DEPTH`; since runs draw from one signature, that chance is an average over the number of
-coordinates that the pair shares (`missed`). A node
-that is still large at `DEPTH` has all its members tied to its least one.
+with all sets at one node; a node samples `TOKENS` coordinates, and each set moves to the children
+that hold its tokens. A node of few sets is a bucket: its pairs are compared by signature, and
+those that may be similar are tied.
+
+A larger node's sets are first compared with one of them, its hub. What is within two thresholds'
+distance of the hub is tied to it, so pairs among those sets will be verified and need no more
+splitting. Sets as near to the hub as the threshold leave the node, since whatever is similar to
+them has been tied. The others are split further only for the sake of the sets outside that
+distance: a node without such sets ends, and one with no more than a bucket of them ends by
+comparing these with the rest, chunk by chunk. Groups of near-copies thus end where they stand,
+whatever their size. Runs are repeated until the chance that a pair at the threshold was never tied
+is at most 1 - `RECALL`, even if its nodes stay large down to `DEPTH`; since runs draw from one
+signature, that chance is an average over the number of coordinates that the pair shares
+(`missed`). A node that is still large at `DEPTH` has all its members tied to its hub.
 
 Ties only propose clusters. Each cluster is then verified exactly: every pair of its sets is
 counted by blocks of bounded size, so a very large cluster is spread over many tasks, and no pairs
 leave a task: only link counts and a spanning forest. Components of exact links are the classes.
 
 Words are what white space separates, in lower case; a text of fewer than five words is one
-shingle. Defined cases: a null text, or one without a word, is a class of its own; rows that
-repeat a doc_id are separate documents; a null doc_id is carried; an empty table gives an empty
+shingle. Texts of any length are whole. Defined cases: a null text, or one without a word, is a class of its own; rows that
+repeat a doc_id are separate documents; of equal rows one stays; a null doc_id is carried; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -37,13 +40,17 @@ from pyspark.sql import functions as F
 
 from lodegraph.llm.common import BATCH_BYTES, map_batches, text_key
 from lodegraph.operators.components import connected_components
-from lodegraph.runtime import broadcast_if_small, checkpoint, ensure_importable, written
+from lodegraph.runtime import broadcast_if_small, checkpoint, discard, ensure_importable, written
 
 WIDTH = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 COORDINATES = 64
+#: Coordinates that a node samples: a pair at the threshold is expected to stay together 1.6 times.
+TOKENS = 2
 BUCKET = 24
+#: Sets of a large node that are compared at once with the few outside its hub's distance.
+CHUNK = 256
 #: Word hashes that a worker remembers; beyond this it forgets all and starts anew.
 REMEMBERED = 200_000
 DEPTH = 10
@@ -102,30 +109,40 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 
 def signed_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Per row: doc_id, row_key, set_id (128 bits; null without words), sig."""
+    """Per row: doc_id, row_key, set_id (128 bits; null without words), sig, size."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        ids, sigs = [], []
+        ids, sigs, sizes = [], [], []
         for text in batch.column("text").to_pylist():
             hashes = shingle_hashes(text, width)
+            sizes.append(len(text or ""))
             ids.append(xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None)
             sigs.append(signature(hashes).tobytes() if len(hashes) else None)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "row_key", "set_id", "sig"])
+        columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "set_id", "sig", "size"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_batches(docs.select("doc_id", text_key(F.col("text")).alias("row_key"), "text"), sign, f"doc_id {kind}, row_key long, set_id binary, sig binary")
+    return map_batches(docs.select("doc_id", text_key(F.col("text")).alias("row_key"), "text"), sign, f"doc_id {kind}, row_key long, set_id binary, sig binary, size long")
 
 
-def chosen_coordinates(paths: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """For each node (a path hash) its first coordinate, and a second one or -1."""
+def chosen_coordinates(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two coordinates that each node (a path hash) samples."""
     drawn = mixed(paths * _ODD[2] + _ODD[3])
     first = (drawn % _U64(COORDINATES)).astype(np.int64)
-    other = mixed(drawn)
-    extra = (other >> _U64(11)).astype(np.float64) / 2.0**53 < 1 / threshold - 1
-    second = (first + 1 + (mixed(other) % _U64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-    return first, np.where(extra, second, -1)
+    return first, (first + 1 + (mixed(mixed(drawn)) % _U64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+
+
+def root_coordinates(runs: int, seed: int = 0) -> np.ndarray:
+    """The coordinates that the roots of all runs sample, all different."""
+    return np.argsort(mixed((np.arange(COORDINATES, dtype=_U64) + _U64(1 + 1000 * seed)) * _ODD[4]))[: TOKENS * runs]
+
+
+def child_paths(paths: np.ndarray, sigs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The nodes that sets with these signatures move to from `paths` by the tokens at coordinates `at`."""
+    token = sigs[np.arange(len(sigs)), at].astype(_U64) | at.astype(_U64) << _U64(32)
+    return mixed(mixed(paths) * _ODD[4] + token)
 
 
 def missed(runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> float:
@@ -133,45 +150,48 @@ def missed(runs: int, threshold: float = THRESHOLD, depth: int = DEPTH) -> float
 
     All runs draw from one signature: given how many coordinates the pair shares, runs are independent.
     """
-    n, two = COORDINATES, 1 / threshold - 1
-    least, out = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n), 0.0
+    n, out = COORDINATES, 0.0
+    least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / n)
     for k in range(n + 1):
         gone = 0.0
         none, both = (n - k) * (n - k - 1) / (n * (n - 1)), k * (k - 1) / (n * (n - 1))
         for _ in range(depth):
-            gone = (1 - two) * (1 - k / n + k / n * gone) + two * (none + (1 - none - both) * gone + both * gone * gone)
+            gone = none + (1 - none - both) * gone + both * gone * gone
         out += math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) * (gone**runs if k / n >= least else 1.0)
     return out
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
     """The fewest runs after which a pair at the threshold has been tied with probability `recall`."""
-    if missed(10_000, threshold, depth) > 1 - recall:
-        raise ValueError(f"a recall of {recall} is out of reach of {COORDINATES} coordinates")
-    return next(r for r in range(1, 10_001) if missed(r, threshold, depth) <= 1 - recall)
+    for runs in range(1, COORDINATES // TOKENS + 1):
+        if missed(runs, threshold, depth) <= 1 - recall:
+            return runs
+    raise ValueError(f"a recall of {recall} is out of reach of {COORDINATES} coordinates")
 
 
-def children(nodes: DataFrame, threshold: float, roots: list[int] | None = None) -> DataFrame:
-    """Rows (path, set_id) of the next level from rows (path, set_id, sig); with `roots`, from rows (set_id, sig) at each root."""
+def first_nodes(sets: DataFrame, runs: int, seed: int = 0) -> DataFrame:
+    """Rows (path, set_id) of the first level of all runs, from rows (set_id, sig)."""
+    coordinates = root_coordinates(runs, seed)
 
-    def descend(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def start(batch: pa.RecordBatch) -> pa.RecordBatch:
         sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
-        ids, out_ids, out_paths = batch.column("set_id"), [], []
-        starts = [np.full(len(sigs), r, dtype=np.int64).view(_U64) for r in roots] if roots else [np.asarray(batch.column("path")).view(_U64)]
-        for paths in starts:
-            for coordinate in chosen_coordinates(paths, threshold):
-                rows = np.flatnonzero(coordinate >= 0)
-                at = coordinate[rows]
-                token = sigs[rows, at].astype(_U64) | at.astype(_U64) << _U64(32)
-                out_paths.append(mixed(mixed(paths[rows]) * _ODD[4] + token).view(np.int64))
-                out_ids.append(ids.take(pa.array(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_paths)), pa.concat_arrays(out_ids)], names=["path", "set_id"])
+        root = np.zeros(len(sigs), _U64)
+        paths = [child_paths(root, sigs, np.full(len(sigs), c)).view(np.int64) for c in coordinates]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(paths)), pa.concat_arrays([batch.column("set_id")] * len(paths))], names=["path", "set_id"])
+
+    return map_batches(sets.select("set_id", "sig"), start, "path long, set_id binary")
+
 
-    return map_batches(nodes, descend, "path long, set_id binary")
+def next_nodes(nodes: DataFrame) -> DataFrame:
+    """Rows (path, set_id, sig) of the next level from those of a level."""
 
+    def descend(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+        paths = np.asarray(batch.column("path")).view(_U64)
+        out = [child_paths(paths, sigs, at).view(np.int64) for at in chosen_coordinates(paths)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), *(pa.concat_arrays([batch.column(c)] * len(out)) for c in ("set_id", "sig"))], names=["path", "set_id", "sig"])
 
-def _roots(runs: int, seed: int) -> list[int]:
-    return mixed((np.arange(runs, dtype=_U64) + _U64(1 + 1000 * seed)) * _ODD[4]).view(np.int64).tolist()
+    return map_batches(nodes.select("path", "set_id", "sig"), descend, "path long, set_id binary, sig binary")
 
 
 def _forest(parent: dict, pairs: Iterator[tuple]) -> None:
@@ -211,50 +231,75 @@ def bucket_ties(buckets: DataFrame, threshold: float) -> DataFrame:
 
 
 def hub_distances(members: DataFrame) -> DataFrame:
-    """Rows (path, set_id, hub_id, near) from (path, set_id, sig, hub): how much of the hub's signature a set shares."""
+    """Rows (path, set_id, sig, hub_id, near) from (path, set_id, sig, hub): how much of the hub's signature a set shares."""
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         hubs = batch.column("hub").to_pylist()
         own = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
         other = np.frombuffer(b"".join(h["sig"] for h in hubs), dtype=np.uint32).reshape(-1, COORDINATES)
-        near = (own == other).mean(1)
-        return pa.RecordBatch.from_arrays([batch.column("path"), batch.column("set_id"), pa.array([h["set_id"] for h in hubs], pa.binary()), pa.array(near)], names=["path", "set_id", "hub_id", "near"])
+        columns = [*(batch.column(c) for c in ("path", "set_id", "sig")), pa.array([h["set_id"] for h in hubs], pa.binary()), pa.array((own == other).mean(1))]
+        return pa.RecordBatch.from_arrays(columns, names=["path", "set_id", "sig", "hub_id", "near"])
+
+    return map_batches(members, compare, "path long, set_id binary, sig binary, hub_id binary, near double")
+
 
-    return map_batches(members, compare, "path long, set_id binary, hub_id binary, near double")
+def _members(rows: DataFrame, *keys: str) -> DataFrame:
+    """Bounded groups of rows (set_id, sig) as arrays."""
+    return rows.groupBy(*keys).agg(F.collect_list(F.struct("set_id", "sig")).alias("members")).select("members")
 
 
-def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, depth: int = DEPTH, seed: int = 0) -> DataFrame:
-    """Ties between sets (materialised; set_id, sig) that met on a chosen path."""
+def settle_large(large: DataFrame, threshold: float, bucket: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """Ties of large nodes (path, set_id, sig), and the rows that go on to the next level, if any."""
     twice = max(0.0, 2 * threshold - 1)
     reach = twice - SLACK * math.sqrt(twice * (1 - twice) / COORDINATES)
-    ties, leaves = [], []
-    nodes = written(children(sets, threshold, _roots(runs_needed(threshold, recall, depth), seed)))
+    hubs = checkpoint(large.groupBy("path").agg(F.min(F.struct("set_id", "sig")).alias("hub")))
+    compared = written(hub_distances(large.join(broadcast_if_small(hubs), "path").select("path", "set_id", "sig", "hub")))
+    within = compared.where("set_id <> hub_id") if last else compared.where((F.col("near") >= reach) & (F.col("set_id") != F.col("hub_id")))
+    ties = within.select(F.col("set_id").alias("src"), F.col("hub_id").alias("dst")).distinct()
+    if last:
+        return ties, None
+    far = F.col("near") < reach
+    sizes = checkpoint(compared.where(F.col("near") < threshold).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(far, 1)).alias("n_far")).where("n_far > 0"))
+    rest = compared.where(F.col("near") < threshold).join(broadcast_if_small(sizes), "path")
+    fringed = rest.where(F.col("n_far") <= bucket).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    near = fringed.where(~far).select("path", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"), "set_id", "sig")
+    beside = fringed.where(far).select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "set_id", "sig")
+    ties = ties.union(bucket_ties(_members(near.union(beside), "path", "chunk"), threshold))
+    return ties, rest.where(F.col("n_far") > bucket).select("path", "set_id", "sig")
+
+
+def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int | None = None, depth: int = DEPTH, seed: int = 0) -> DataFrame:
+    """Ties between sets (materialised; set_id, sig) that met on a chosen path.
+
+    Each level's table is deleted once the next is written. Only the first level is joined with
+    the signatures; later ones, which hold large nodes alone, carry them.
+    """
+    bucket, found, nodes = bucket or BUCKET, [], written(first_nodes(sets, runs_needed(threshold, recall, depth), seed))
     for level in range(1, depth + 1):
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = checkpoint(nodes.join(counts, "path"))
-        leaves.append(sized.where(F.col("n") <= bucket).groupBy("path").agg(F.sort_array(F.collect_set("set_id")).alias("ids")).select("ids"))
-        large = sized.where(F.col("n") > bucket).select("path", "set_id")
-        if level == depth:
-            hubs = large.groupBy("path").agg(F.min("set_id").alias("dst"))
-            ties.append(large.join(hubs, "path").select(F.col("set_id").alias("src"), "dst").where("src <> dst").distinct())
-        elif large.isEmpty():
+        sized = written(nodes.join(counts, "path"))
+        discard(nodes)
+        small, large = sized.where(F.col("n") <= bucket), sized.where(F.col("n") > bucket)
+        if level == 1:  # many small nodes hold the same sets, which need one comparison
+            ids = small.groupBy("path").agg(F.sort_array(F.collect_list("set_id")).alias("ids")).select("ids").distinct()
+            wanted = ids.select(F.xxhash64("ids").alias("path"), F.explode("ids").alias("set_id"), F.lit(True).alias("small")).union(large.select("path", "set_id", F.lit(False)))
+            signed = written(wanted.join(sets.select("set_id", "sig"), "set_id"))
+            discard(sized)
+            sized, small, large = signed, signed.where("small"), signed.where("NOT small")
+        found.append(written(bucket_ties(_members(small, "path"), threshold)))
+        if large.isEmpty():
+            discard(sized)
+            break
+        ties, rest = settle_large(large.select("path", "set_id", "sig"), threshold, bucket, level == depth)
+        found.append(written(ties))
+        if rest is None:
             break
-        else:
-            signed = large.join(sets, "set_id").select("path", "set_id", "sig")
-            hubs = signed.groupBy("path").agg(F.min(F.struct("set_id", "sig")).alias("hub"))
-            compared = checkpoint(hub_distances(signed.join(hubs, "path").select("path", "set_id", "sig", "hub")))
-            ties.append(compared.where((F.col("near") >= reach) & (F.col("set_id") != F.col("hub_id"))).select(F.col("set_id").alias("src"), F.col("hub_id").alias("dst")).distinct())
-            rest = compared.where(F.col("near") < threshold).select("path", "set_id")
-            nodes = checkpoint(children(rest.join(sets, "set_id").select("path", "set_id", "sig"), threshold))
-    ids = leaves[0]
-    for more in leaves[1:]:
-        ids = ids.union(more)
-    flat = ids.where(F.size("ids") > 1).distinct().select(F.xxhash64("ids").alias("b"), F.col("ids")[0].alias("b2"), F.explode("ids").alias("set_id"))
-    members = flat.join(sets, "set_id").groupBy("b", "b2").agg(F.collect_list(F.struct("set_id", "sig")).alias("members")).select("members")  # at most `bucket` of them
-    out = bucket_ties(members, threshold)
-    for more in ties:
+        nodes = written(next_nodes(rest))
+        discard(sized)
+    out = found[0]
+    for more in found[1:]:
         out = out.union(more)
-    return out
+    return out.distinct()
 
 
 def verify_pairs(blocks: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -327,16 +372,17 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     docs = docs.select("doc_id", "text")
     signed = written(signed_sets(docs, width))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    sets = written(signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sig").alias("sig"), first.alias("one"), F.count(F.lit(1)).alias("n_copies")))
+    grouped = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sig").alias("sig"), first.alias("one"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size"))
+    sets = written(grouped)
     ties = checkpoint(candidate_ties(sets.select("set_id", "sig"), threshold, recall, seed=seed))
     clusters = connected_components(ties)
 
-    chosen = clusters.join(sets.select("set_id", "one.doc_id", "one.row_key"), F.col("node") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), "doc_id", "row_key")
+    chosen = clusters.join(sets.select("set_id", "one.doc_id", "one.row_key", "size"), F.col("node") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), "doc_id", "row_key", "size")
     chosen = checkpoint(chosen)
-    text = docs.select(F.col("doc_id").alias("_d"), text_key(F.col("text")).alias("_k"), "text")
-    texts = chosen.join(text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k"))).select("cluster", "set_id", "text")
-    sizes = docs_sizes(texts)
-    parts = texts.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    placed = chosen.join(cluster_blocks(chosen), "cluster").drop("size")
+    text = docs.select(F.col("doc_id").alias("_d"), text_key(F.col("text")).alias("_k"), "text").where("text IS NOT NULL")
+    texts = placed.join(text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k"))).select("cluster", "set_id", "text", "blocks")
+    parts = texts.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = parts.select("cluster", "set_id", "text", "block", other).select(
         "cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"), "set_id", "text"
@@ -376,7 +422,7 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recal
     return rows.select(*docs.columns)
 
 
-def docs_sizes(texts: DataFrame) -> DataFrame:
-    """Blocks that each cluster needs, by its sets and bytes of text."""
-    total = texts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+def cluster_blocks(chosen: DataFrame) -> DataFrame:
+    """Blocks that each cluster needs, by its sets and the size of their texts."""
+    total = chosen.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     return total.where("n > 1").select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
