@@ -18,10 +18,15 @@ and emits the order inside the groups, without renaming or recursion. Neighbours
 that share their blocks form intervals; inside an interval, windows are equal exactly when the
 bytes before and after their whole blocks are. Windows of total weight two or more are repeated.
 
-An anchor that has more than `HOT` distinct contexts isn't gathered into one task: its windows
-are counted by 128-bit digest with map-side combining, whatever their number.
+An anchor that has more than `HOT` distinct contexts isn't gathered into one task: its contexts are
+cut again by a second anchor, chosen by another hash, then by a third and so on, and the parts go
+through the same sort. Only windows that still crowd after `SPLITS` anchors (thousands of
+variants that differ in none of the chosen places) are counted by 128-bit digest with map-side combining.
 
-Defined cases: a null or empty text has no bytes; rows that repeat a doc_id are separate
+Equal contexts at even distances, as in periodic text, are kept as runs (first, step, number). Inside a
+group the sort restores text order by comparison, so it is linear but for a logarithm.
+
+Defined cases: texts of any length are whole (cut into overlapping pieces of 8 MB for their anchors); a null or empty text has no bytes; rows that repeat a doc_id are separate
 documents (equal rows repeat each other); a null doc_id is carried; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -36,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.llm.common import BATCH_BYTES, map_batches, text_key
-from lodegraph.runtime import ensure_importable, written
+from lodegraph.runtime import broadcast_if_small, checkpoint, discard, ensure_importable, written
 
 LENGTH = 400
 #: Bytes of an anchor k-gram (a power of two), and of a block of the suffix text.
 GRAM, BLOCK = 128, 40
-#: Distinct contexts of an anchor beyond which its windows are counted one by one.
-HOT = 8192
+#: Distinct contexts of an anchor beyond which they are split by further anchors, and how many of these there are.
+HOT, SPLITS = 8192, 6
 #: Bytes of contexts whose suffixes a task sorts at once (whole anchors, so possibly more).
 SORT_BYTES = 2_000_000
 #: Windows whose edges are compared at once.
@@ -72,9 +77,11 @@ def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
     return out
 
 
-def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of successive windows with one anchor: hash, anchor position, first and last window start."""
     hashes = gram_hashes(data, gram)
+    if seed:
+        hashes = _mixed((hashes + _U64(seed)) * _U64(0x9E3779B97F4A7C15))
     wide, n = length - gram + 1, len(data) - length + 1
     packed = (hashes & _U64(~0xFFFFFF & (1 << 64) - 1)) | np.arange(len(hashes), dtype=_U64)
     padded = np.full(-(-len(packed) // wide) * wide, ~_U64(0), dtype=_U64)
@@ -88,38 +95,53 @@ def anchor_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tup
     return hashes[anchor[first]], anchor[first], first, last
 
 
-def contexts_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> dict[bytes, tuple[int, int, int, list[int]]]:
-    """By digest of its bytes, each context of a text: anchor hash, windows, anchor offset, starts."""
+def contexts_of(data: bytes, length: int = LENGTH, gram: int = GRAM) -> dict[bytes, tuple[int, int, int, list[list[int]]]]:
+    """By digest of its bytes, each context of a text: anchor hash, windows, anchor offset, runs of starts.
+
+    A run (first, step, number) has a step of at most `length`, so the windows of a run overlap or touch.
+    """
     import xxhash
 
-    found: dict[bytes, tuple[int, int, int, list[int]]] = {}
+    found: dict[bytes, tuple[int, int, int, list[list[int]]]] = {}
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
         part = np.frombuffer(data[at : at + _PIECE + length - 1], dtype=np.uint8)
         hashes, anchors, lows, highs = anchor_runs(part, length, gram)
         for h, a, low, high in zip(hashes.view(np.int64).tolist(), anchors.tolist(), lows.tolist(), highs.tolist(), strict=True):
             key = xxhash.xxh3_128_digest(data[at + low : at + high + length])
-            if key in found:
-                found[key][3].append(at + low)
+            if key not in found:
+                found[key] = (h, high - low + 1, a - low, [[at + low, 0, 1]])
+                continue
+            run = found[key][3][-1]
+            step = at + low - run[0] - (run[2] - 1) * run[1]
+            if step <= length and run[2] == 1:
+                run[1:] = step, 2
+            elif step == run[1]:
+                run[2] += 1
             else:
-                found[key] = (h, high - low + 1, a - low, [at + low])
+                found[key][3].append([at + low, 0, 1])
     return found
 
 
+_STARTS = "array<struct<at: bigint, step: bigint, n: bigint>>"
+
+
 def anchored(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row per document and distinct context: h, digest, doc_id, row_key, n, rel, starts."""
+    """One row per document and distinct context: h, digest, doc_id, row_key, n, rel, starts (runs), times."""
+    run_type = pa.list_(pa.struct([("at", pa.int64()), ("step", pa.int64()), ("n", pa.int64())]))
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for doc_id, row_key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row_key", "text")), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
-            rows += [(h, digest, doc_id, row_key, n, rel, starts) for digest, (h, n, rel, starts) in contexts_of(data, length, gram).items()]
-        kinds = (pa.int64(), pa.binary(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "digest", "doc_id", "row_key", "n", "rel", "starts"])
+            for digest, (h, n, rel, starts) in contexts_of(data, length, gram).items():
+                rows.append((h, digest, doc_id, row_key, n, rel, [{"at": a, "step": d, "n": k} for a, d, k in starts], sum(r[2] for r in starts)))
+        kinds = (pa.int64(), pa.binary(), batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), run_type, pa.int64())
+        columns = zip(*rows, strict=True) if rows else [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "digest", "doc_id", "row_key", "n", "rel", "starts", "times"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", text_key(F.col("text")).alias("row_key"), "text")
-    return map_batches(rows.where(F.octet_length("text") >= length), find, f"h long, digest binary, doc_id {kind}, row_key long, n int, rel int, starts array<long>")
+    return map_batches(rows.where(F.octet_length("text") >= length), find, f"h long, digest binary, doc_id {kind}, row_key long, n int, rel int, starts {_STARTS}, times long")
 
 
 def with_text(wanted: DataFrame, docs: DataFrame, how: str = "inner") -> DataFrame:
@@ -128,21 +150,47 @@ def with_text(wanted: DataFrame, docs: DataFrame, how: str = "inner") -> DataFra
     return wanted.join(text, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")), how)
 
 
+_CONTEXT = "g long, h long, digest binary, first int, weight long, n int, rel int, data binary"
+_CONTEXT_NAMES = ["g", "h", "digest", "first", "weight", "n", "rel", "data"]
+_CONTEXT_TYPES = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_CONTEXT_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _CONTEXT_TYPES, strict=True)], names=_CONTEXT_NAMES)
+
+
 def context_bytes(distinct: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """Rows (h, digest, weight, n, rel, hot, data) of distinct contexts, each read from one document that holds it."""
-    wanted = distinct.groupBy("at.doc_id", "at.row_key").agg(F.collect_list(F.struct("h", "digest", "weight", "at.n", "at.rel", "at.start", "hot")).alias("parts"))
+    """The bytes of distinct contexts, each read from one document that holds it.
+
+    Rows: g (whose contexts meet in one task), h and digest (of the context), first (its first
+    window here), weight, n (windows), rel (of the anchor), data.
+    """
+    wanted = distinct.groupBy("at.doc_id", "at.row_key").agg(F.collect_list(F.struct("h", "digest", "weight", "at.n", "at.rel", "at.start")).alias("parts"))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows: list[tuple] = []
         for parts, text in zip(batch.column("parts").to_pylist(), batch.column("text").to_pylist(), strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            rows += [(p["h"], p["digest"], p["weight"], p["n"], p["rel"], p["hot"], data[p["start"] : p["start"] + p["n"] + length - 1]) for p in parts]
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "digest", "weight", "n", "rel", "hot", "data"])
+            rows += [(p["h"], p["h"], p["digest"], 0, p["weight"], p["n"], p["rel"], data[p["start"] : p["start"] + p["n"] + length - 1]) for p in parts]
+        return _context_batch(rows)
+
+    return map_batches(with_text(wanted, docs).select("parts", "text"), cut, _CONTEXT)
 
-    cuts = map_batches(with_text(wanted, docs).select("parts", "text"), cut, "h long, digest binary, weight long, n int, rel int, hot boolean, data binary")
-    return cuts
+
+def split_contexts(contexts: DataFrame, length: int, gram: int, seed: int) -> DataFrame:
+    """Contexts cut where a second anchor, of another hash, changes; equal windows get equal groups."""
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows: list[tuple] = []
+        for g, h, digest, first, weight, _, _, data in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
+            hashes, anchors, lows, highs = anchor_runs(np.frombuffer(data, dtype=np.uint8), length, gram, seed)
+            groups = _mixed((hashes ^ _U64(g & (1 << 64) - 1)) * _U64(0xC2B2AE3D27D4EB4F)).view(np.int64)
+            for k, a, low, high in zip(groups.tolist(), anchors.tolist(), lows.tolist(), highs.tolist(), strict=True):
+                rows.append((k, h, digest, first + low, weight, high - low + 1, a - low, data[low : high + length]))
+        return _context_batch(rows)
+
+    return map_batches(contexts.select(*_CONTEXT_NAMES), split, _CONTEXT)
 
 
 # --- suffix order -----------------------------------------------------------------------------
@@ -300,15 +348,15 @@ _RANGES = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def sorted_contexts(contexts: DataFrame, length: int, block: int) -> DataFrame:
-    """Repeated windows of contexts, from one suffix array per run of anchors: rows (h, digest, ranges)."""
+    """Repeated windows of contexts, from one suffix array per run of groups: rows (h, digest, ranges)."""
     ensure_importable(contexts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def solved() -> pa.RecordBatch:
-            found = repeated_windows([r[2:] for r in held], length, block) if held else []
-            keep = [(r[0], r[1], _ranges(w)) for r, w in zip(held, found, strict=True) if len(w)]
+            found = repeated_windows([r[4:] for r in held], length, block) if held else []
+            keep = [(r[1], r[2], _ranges(w + r[3])) for r, w in zip(held, found, strict=True) if len(w)]
             columns = list(zip(*keep, strict=True)) if keep else [(), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], _RANGES)], names=["h", "digest", "ranges"])
 
@@ -317,29 +365,29 @@ def sorted_contexts(contexts: DataFrame, length: int, block: int) -> DataFrame:
             step = max(1, int(whole.num_rows * BATCH_BYTES / max(whole.nbytes, 1)))
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                for row in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "weight", "n", "rel", "data")), strict=True):
+                for row in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
                     if size > SORT_BYTES and row[0] != held[-1][0]:
                         yield solved()
                         held, size = [], 0
                     held.append(row)
-                    size += len(row[5])
+                    size += len(row[-1])
         yield solved()
 
-    return contexts.repartition("h").sortWithinPartitions("h").select("h", "digest", "weight", "n", "rel", "data").mapInArrow(run, _FOUND)
+    return contexts.select(*_CONTEXT_NAMES).repartition("g").sortWithinPartitions("g").mapInArrow(run, _FOUND)
 
 
 def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with very many contexts: every window is counted by its digest."""
+    """The same for what still crowds after all splits: every window is counted by its digest."""
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
         h, digest, weight, number, key = [], [], [], [], []
-        for a, d, w, n, data in zip(*(batch.column(c).to_pylist() for c in ("h", "digest", "weight", "n", "data")), strict=True):
+        for _, a, d, first, w, n, _, data in zip(*(batch.column(c).to_pylist() for c in _CONTEXT_NAMES), strict=True):
             h += [a] * n
             digest += [d] * n
             weight += [w] * n
-            number += range(n)
+            number += range(first, first + n)
             key += [xxhash.xxh3_128_digest(data[i : i + length]) for i in range(n)]
         return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.binary()), pa.array(weight, pa.int64()), pa.array(number, pa.int32()), pa.array(key, pa.binary())], names=["h", "digest", "weight", "number", "key"])
 
@@ -353,21 +401,35 @@ def counted_windows(contexts: DataFrame, length: int) -> DataFrame:
 # --- the whole operator ---------------------------------------------------------------------------
 
 
+def repeats_of(contexts: DataFrame, length: int, gram: int, block: int, hot: int) -> DataFrame:
+    """Rows (h, digest, ranges) of contexts (materialised), whose crowded groups are split until they are not."""
+    found: DataFrame | None = None
+    for seed in range(1, SPLITS + 2):
+        crowded = checkpoint(contexts.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("g"))
+        calm, crowd = (contexts, None) if not crowded.head(1) else (contexts.join(broadcast_if_small(crowded), "g", how) for how in ("left_anti", "left_semi"))
+        part = sorted_contexts(calm, length, block)
+        found = part if found is None else found.union(part)
+        if crowd is None:
+            return found
+        if seed > SPLITS:
+            return found.union(counted_windows(crowd, length))
+        contexts = written(split_contexts(crowd, length, gram, seed))
+    raise AssertionError("not reached")
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """Per document with repeated windows: doc_id, row_key, ranges (first and last start, overlapping or not)."""
-    found = anchored(docs, length, gram)
-    shared = found.groupBy("h").agg(F.sum(F.size("starts")).alias("times")).where("times > 1").select("h")
-    occurrences = written(found.join(shared, "h", "left_semi"))
-    one = F.struct("doc_id", "row_key", F.col("starts")[0].alias("start"), "n", "rel")
-    distinct = occurrences.groupBy("h", "digest").agg(F.sum(F.size("starts")).cast("long").alias("weight"), F.min(one).alias("at"))
-    crowds = distinct.groupBy("h").agg((F.count(F.lit(1)) > hot).alias("hot"))
-    contexts = written(context_bytes(distinct.join(crowds, "h"), docs, length))
-    found = sorted_contexts(contexts.where("NOT hot"), length, block)
-    crowded = contexts.where("hot")
-    if not crowded.isEmpty():
-        found = found.union(counted_windows(crowded, length))
+    anchors = written(anchored(docs, length, gram))
+    shared = anchors.groupBy("h").agg(F.sum("times").alias("all")).where("all > 1").select("h")
+    occurrences = written(anchors.join(shared, "h", "left_semi"))
+    discard(anchors)
+    one = F.struct("doc_id", "row_key", F.col("starts")[0]["at"].alias("start"), "n", "rel")
+    distinct = occurrences.groupBy("h", "digest").agg(F.sum("times").alias("weight"), F.min(one).alias("at"))
+    contexts = written(context_bytes(distinct, docs, length))
+    found = repeats_of(contexts, length, gram, block, hot)
     back = occurrences.select("h", "digest", "doc_id", "row_key", "starts").join(found, ["h", "digest"])
-    spans = F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda r: F.struct((s + r["a"]).alias("a"), (s + r["b"]).alias("b")))))
+    span = lambda s, r: F.struct((s["at"] + r["a"]).alias("a"), (s["at"] + (s["n"] - 1) * s["step"] + r["b"]).alias("b"))
+    spans = F.flatten(F.transform("starts", lambda s: F.transform("ranges", lambda r: span(s, r))))
     return back.select("doc_id", "row_key", spans.alias("spans")).groupBy("doc_id", "row_key").agg(F.flatten(F.collect_list("spans")).alias("ranges"))
 
 

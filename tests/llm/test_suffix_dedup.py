@@ -64,3 +64,11 @@ def test_query(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     rows = op4_suffix_dedup(spark, sf_dir).collect()
     assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted((*x[:3], sha256(x[3]).hexdigest()) for x in brute(texts, 400))
+
+
+def test_periodic_texts_are_kept_as_runs(spark):
+    data = "a" * 300_000 + "b" + "xy" * 20_000
+    runs = [r for _, _, _, starts in sd.contexts_of(data.encode()).values() for r in starts]
+    assert sum(r[2] for r in runs) > 300_000 and len(runs) < 2_000
+    rows = sd.remove_repeats(spark.createDataFrame([(1, data), (2, data)], "doc_id long, text string")).collect()
+    assert [(r.n_removed, r.n_spans, bytes(r.kept)) for r in rows] == [(len(data), 1, b"")] * 2
