@@ -12,8 +12,10 @@ Kinds: assign (a keyword, a separator and a value), access (an access key id), h
 hexadecimal digits). Findings of the first layer are the base; those of deeper layers are added.
 
 Defined cases: a null or empty text has no spans; rows that repeat a doc_id are scanned apart; an
-empty table gives an empty result; other columns are dropped unless named in `keep`. A stream
-that would inflate beyond `MOST_INFLATED` bytes isn't opened, which bounds a task's memory.
+empty table gives an empty result; other columns are dropped unless named in `keep`; very long texts
+are whole. Streams may be nested to any depth, hold several members and inflate to any size: they are
+inflated and scanned in pieces of `PIECE` bytes that overlap by `OVERLAP`, so a task's memory is
+bounded; only a finding, run or stream inside one that is longer than the overlap may be seen in parts.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +38,8 @@ from lodegraph.llm.common import map_batches
 from lodegraph.llm.spans import Span, digest, joined
 
 KINDS = ("assign", "access", "hex")
-MOST_INFLATED = 16_000_000
+#: Bytes of a stream that are inflated and scanned at once, and bytes that successive pieces share.
+PIECE, OVERLAP = 8_000_000, 1_000_000
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -45,6 +49,7 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|
 _ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+?)(?=\\|&|$)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+_BYTE_ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}")
 LEAST_RUN = 16
 #: All that findings and runs of deeper layers are made of, and the length of the shortest of them.
 _STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{16,}")
@@ -58,6 +63,19 @@ def base_spans(text: str) -> list[Span]:
     return spans + [("hex", *m.span()) for m in _HEX.finditer(text)]
 
 
+class Same(Sequence):
+    """One place for every character of a layer."""
+
+    def __init__(self, value: int, length: int):
+        self.value, self.length = value, length
+
+    def __len__(self) -> int:
+        return self.length
+
+    def __getitem__(self, at):
+        return Same(self.value, len(range(*at.indices(self.length)))) if isinstance(at, slice) else self.value
+
+
 @dataclass
 class Layer:
     """Decoded characters and, for each, the span of the whole text that it comes from."""
@@ -67,11 +85,15 @@ class Layer:
     ends: Sequence[int]
 
     def outer(self, low: int, high: int) -> tuple[int, int]:
+        if isinstance(self.starts, Same) and isinstance(self.ends, Same):
+            return self.starts.value, self.ends.value
         return min(self.starts[low:high]), max(self.ends[low:high])
 
-    def key(self) -> tuple[str, bytes, bytes]:
+    def key(self) -> tuple:
         """The same for layers with equal characters from equal places."""
-        return self.text, sha256(array("q", self.starts)).digest(), sha256(array("q", self.ends)).digest()
+        text = sha256(self.text.encode("utf-8", "surrogatepass")).digest()
+        places = (p.value if isinstance(p, Same) else sha256(array("q", p)).digest() for p in (self.starts, self.ends))
+        return text, len(self.text), *places
 
 
 def _percent(run: str) -> list[tuple[str, int, int]] | None:
@@ -117,36 +139,86 @@ def _in_place(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(text), [*starts, *layer.starts[at:]], [*ends, *layer.ends[at:]])
 
 
-def _inflated(data: bytes) -> bytes | None:
-    """The bytes of a gzip, zlib, bzip2, xz or zstd stream."""
-    try:
-        if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
-            tool = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            tool = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\x00":
-            tool = lzma.LZMADecompressor()
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
+def _decompressor(data: bytes):
+    if data[:2] == b"\x1f\x8b" or (data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2], "big") % 31 == 0):
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of gzip, zlib, bzip2, xz or zstd members that follow each other, a piece at a time, as far as they are sound."""
+    while data:
+        if data[:4] == b"\x28\xb5\x2f\xfd":
             import zstandard
 
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(MOST_INFLATED + 1)
-            return out if len(out) <= MOST_INFLATED else None
-        else:
-            return None
-        out = tool.decompress(data, MOST_INFLATED + 1)
-        return out if len(out) <= MOST_INFLATED else None
-    except Exception as error:
-        if isinstance(error, (zlib.error, OSError, EOFError, lzma.LZMAError)) or type(error).__name__ == "ZstdError":
-            return None
-        raise
-
-
-def _opened(data: bytes) -> bytes | None:
-    """What a compressed stream holds, itself inflated as long as it is compressed."""
-    out, depth = None, 0
-    while (more := _inflated(data)) is not None and more != data and depth < 64:
-        out, data, depth = more, more, depth + 1
-    return out
+            tool, at = zstandard.ZstdDecompressor().decompressobj(), 0
+            try:
+                while at < len(data) and not tool.eof:  # a block takes few bytes and holds 128 KB at most
+                    yield tool.decompress(data[at : at + 512])
+                    at += 512
+            except zstandard.ZstdError:
+                return
+            data = tool.unused_data + data[at:] if tool.eof else b""
+            continue
+        if (tool := _decompressor(data)) is None:
+            return
+        try:
+            while not tool.eof:
+                more = tool.decompress(data, PIECE)
+                data = tool.unconsumed_tail if hasattr(tool, "unconsumed_tail") else b""
+                if more:
+                    yield more
+                elif not data:
+                    return
+        except (zlib.error, OSError, EOFError, lzma.LZMAError):
+            return
+        data = tool.unused_data
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    tail, new, size = b"", [], 0
+    for more in _inflated(data):
+        new.append(more)
+        size += len(more)
+        if size >= PIECE:
+            piece = b"".join([tail, *new])
+            yield piece
+            tail, new, size = piece[-OVERLAP:], [], 0
+    if size:
+        yield b"".join([tail, *new])
+
+
+def _inner(data: bytes) -> Iterator[bytes]:
+    """The pieces of every stream that begins in `data`."""
+    for m in _MAGIC.finditer(data):
+        yield from _pieces(data[m.start() :])
+
+
+def _held(data: bytes) -> Iterator[str]:
+    """Stretches of text in what the stream at the start of `data` holds, and in streams inside it, to any depth."""
+    seen, open_streams = set(), [_pieces(data)]
+    while open_streams:
+        piece = next(open_streams[-1], None)
+        if piece is None:
+            open_streams.pop()
+        elif (key := sha256(piece).digest()) not in seen:
+            seen.add(key)
+            for m in _STRETCH.finditer(piece):
+                yield m[0].decode("ascii")
+            open_streams.append(_inner(piece))
+
+
+def _escaped_streams(layer: Layer) -> Iterator[Layer]:
+    """What compressed streams under percent or byte escapes hold."""
+    for pattern, mark in ((_PERCENT, "%"), (_BYTE_ESCAPES, "\\x")):
+        for run in pattern.finditer(layer.text) if mark in layer.text else ():
+            data = bytes.fromhex(run[0].replace(mark, ""))
+            for m in _MAGIC.finditer(data):
+                low, high = layer.outer(run.start() + len(mark + "00") * m.start(), run.end())
+                for text in _held(data[m.start() :]):
+                    yield Layer(text, Same(low, len(text)), Same(high, len(text)))
 
 
 def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
@@ -172,12 +244,14 @@ def _unwrapped(layer: Layer, run: str, places: Sequence[int]) -> Iterator[Layer]
             quads = [4 * (i // 3) for i in range(*m.span())]
             yield Layer(m[0].decode("ascii"), [layer.starts[at[q]] for q in quads], [layer.ends[at[min(q + 4, len(at)) - 1]] for q in quads])
         for m in _MAGIC.finditer(data):
-            if m.start() % 3 or (held := _opened(data[m.start() :])) is None:
+            if m.start() % 3:
                 continue
-            rest = range(4 * (m.start() // 3), len(at))
-            low, high = min(layer.starts[at[i]] for i in rest), max(layer.ends[at[i]] for i in rest)
-            for t in _STRETCH.finditer(held):
-                yield Layer(t[0].decode("ascii"), [low] * len(t[0]), [high] * len(t[0]))
+            low = high = None
+            for text in _held(data[m.start() :]):
+                if low is None:
+                    rest = range(4 * (m.start() // 3), len(at))
+                    low, high = min(layer.starts[at[i]] for i in rest), max(layer.ends[at[i]] for i in rest)
+                yield Layer(text, Same(low, len(text)), Same(high, len(text)))
 
 
 def find(text: str | None) -> tuple[list[Span], list[Span]]:
@@ -192,9 +266,8 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     while work:
         layer = work.pop()
         opened = [_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None, _in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&#" in layer.text else None]
-        for run, places in _runs(layer.text):
-            opened += _unwrapped(layer, run, places)
-        for inner in opened:
+        inside = (inner for run, places in _runs(layer.text) for inner in _unwrapped(layer, run, places))
+        for inner in chain(opened, _escaped_streams(layer), inside):
             if inner is None or (key := inner.key()) in seen:
                 continue
             seen.add(key)

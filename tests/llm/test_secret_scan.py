@@ -105,6 +105,29 @@ def whole_quads(pad):
     return 4 * (pad // 3), 4 * ((end - 1) // 3) + 4
 
 
+def test_streams_of_any_depth_size_and_number():
+    deep = SECRET.encode()
+    for _ in range(70):
+        deep = gzip.compress(deep)
+    assert [k for k, *_ in secret_scan.find(f"x {b64(deep)} y")[1]] == ["assign"]
+    members = gzip.compress(b"nothing to see here, move on") + gzip.compress(SECRET.encode())
+    assert [k for k, *_ in secret_scan.find(f"x {b64(members)} y")[1]] == ["assign"]
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress):
+        large = pack(b"word \n" * 3_500_000 + SECRET.encode() + b"\n" * 40)
+        assert [k for k, *_ in secret_scan.find(f"x {b64(large)} y")[1]] == ["assign"], pack
+
+
+def test_streams_under_escapes():
+    data = gzip.compress(SECRET.encode())
+    for mark in ("%", "\\x"):
+        text = "see " + "".join(f"{mark}{b:02x}" for b in data) + " end"
+        assert ("assign", 4, len(text) - 4) in secret_scan.find(text)[1]
+
+
+def test_binary_around_text():
+    assert [k for k, *_ in secret_scan.find(b64(b"\xff\x00\xfe" + SECRET.encode() + b"\x80" * 9))[1]] == ["assign"]
+
+
 def test_clean_text_and_cycles():
     assert secret_scan.find("100% sure \\ nothing & here, not even in QUJDREVGR0hJSktMTU5P") == ([], [])
     assert secret_scan.find("%2525252525") == ([], [])
