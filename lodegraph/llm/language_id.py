@@ -7,17 +7,16 @@ over all its windows, weighted by the bytes they hold, so whole texts count.
 
 The network is trained on the driver from a bounded sample of labelled rows (`TRAIN_ROWS`
 documents and `LEAST_PER_LANGUAGE` of each language, `WINDOWS_PER_ROW` windows of each, spread over
-the whole text); nothing else about the
-corpus is gathered. Prediction is a narrow Arrow-batch map over every row, without a shuffle.
+the whole text and cut by the executors); nothing else about the corpus is gathered. Prediction is a narrow Arrow-batch map over every row, without a shuffle.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0; null labels are never
+Defined cases: a null text, or one without a letter (Unicode category L), is `und` with score 0; of
+languages with equal probabilities the first in order is taken; texts of any length are scored whole; null labels are never
 learnt; rows that repeat a doc_id are predicted apart; an empty table, or one without a labelled
 row, gives `und` everywhere; rows with a null doc_id are predicted, never learnt; other columns are dropped by `predict` unless named in `keep`.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -42,7 +41,11 @@ EPOCHS = 12
 UNKNOWN = "und"
 PAD = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text holds a letter; digits, fractions and circled numbers aren't letters."""
+    return any(map(str.isalpha, text))
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -155,19 +158,25 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, seed: int = 0) -> ByteConvNet
         drawn = drawn.join(broadcast_if_small(quotas), F.col("lang") == F.col("_lang")).where("drawn < below")
         rank = F.row_number().over(Window.partitionBy("lang").orderBy("drawn", "doc_id", "text"))
         some = drawn.withColumn("rank", rank).where("rank <= quota")
-    sample = sorted(some.select("text", "lang").collect())  # bounded by `rows` and `LEAST_PER_LANGUAGE` of each language
-    sample = [r for r in sample if _LETTER.search(r["text"])]
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, parts = [], []
+        for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            if has_letter(text):
+                w = windows(text.encode("utf-8", "replace"))
+                for k in np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_ROW).astype(int)):
+                    langs.append(lang)
+                    parts.append(w[k].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
+
+    # At most WINDOWS_PER_ROW windows of `rows` and of LEAST_PER_LANGUAGE documents of each language.
+    sample = sorted((r["lang"], bytes(r["part"])) for r in map_batches(some.select("text", "lang"), cut, "lang string, part binary").collect())
     if not sample:
         return None
-    languages = sorted({r["lang"] for r in sample})
-    xs, ys = [], []
-    for r in sample:
-        w = windows(r["text"].encode("utf-8", "replace"))
-        some = np.unique(np.linspace(0, len(w) - 1, WINDOWS_PER_ROW).astype(int))
-        xs.append(w[some])
-        ys += [languages.index(r["lang"])] * len(some)
+    languages = sorted({lang for lang, _ in sample})
+    x, ys = np.frombuffer(b"".join(part for _, part in sample), dtype=np.int16).reshape(len(sample), WINDOW), [languages.index(lang) for lang, _ in sample]
     net = ByteConvNet.fresh(languages, seed)
-    net.train(np.concatenate(xs), np.asarray(ys), seed=seed)
+    net.train(x, np.asarray(ys), seed=seed)
     return net
 
 
@@ -178,7 +187,7 @@ def predict(docs: DataFrame, net: ByteConvNet | None, keep: Sequence[str] = ("do
     def guess(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        held = [(i, t.encode("utf-8", "replace")) for i, t in enumerate(texts) if net is not None and t is not None and _LETTER.search(t)]
+        held = [(i, t.encode("utf-8", "replace")) for i, t in enumerate(texts) if net is not None and t is not None and has_letter(t)]
         sums, sizes = np.zeros((len(texts), len(net.languages) if net else 1)), np.zeros(len(texts))
         cut = [(i, windows(b)) for i, b in held]
         if cut:

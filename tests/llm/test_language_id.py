@@ -40,3 +40,38 @@ def test_a_rare_language_is_learnt_however_many_rows_others_have(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     for seed in range(3):
         assert language_id.train(df, rows=30, seed=seed).languages == ["de", "en"]
+
+
+def test_texts_without_letters_are_unknown(spark):
+    net = language_id.ByteConvNet.fresh(["de", "en"])
+    df = spark.createDataFrame([(1, "\u00bd\u00b2\u2460 12_3"), (2, "\u00e9"), (3, "\u6f22")], "doc_id long, text string")
+    assert [r.lang_pred == language_id.UNKNOWN for r in language_id.predict(df, net).orderBy("doc_id").collect()] == [True, False, False]
+
+
+def test_forward_pass_and_gradient():
+    """Against a plain convolution written out, and against finite differences."""
+    import numpy as np
+
+    net, rng = language_id.ByteConvNet.fresh(["a", "b", "c"], 3), np.random.default_rng(0)
+    x = rng.integers(0, 257, (4, 20)).astype(np.int16)
+
+    def plain(net):
+        out = []
+        for row in x:
+            pooled = []
+            for k, width in enumerate(language_id.WIDTHS):
+                for f in range(language_id.FILTERS):
+                    column = net.filters[:, k * language_id.FILTERS + f].reshape(-1, language_id.EMBEDDING)
+                    last = len(row) - max(language_id.WIDTHS) + 1
+                    best = max(sum(float(net.embedding[row[i + j]] @ column[j]) for j in range(width)) for i in range(last))
+                    pooled.append(max(0.0, best + float(net.bias[k * language_id.FILTERS + f])))
+            z = np.asarray(pooled) @ net.out + net.out_bias
+            e = np.exp(z - z.max())
+            out.append(e / e.sum())
+        return np.asarray(out)
+
+    assert np.allclose(net.probabilities(x), plain(net), atol=1e-4)
+    y = np.asarray([0, 1, 2, 1])
+    before = -np.log(net.probabilities(x)[np.arange(4), y]).mean()
+    net.train(x, y, epochs=30, batch=4)
+    assert -np.log(net.probabilities(x)[np.arange(4), y]).mean() < 0.2 * before
