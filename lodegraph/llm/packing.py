@@ -9,7 +9,8 @@ corpus holds, and it equals the document-by-document algorithm. Spark ranks the
 length (salted, so a length that a third of the pieces share is ranked by many tasks) and joins
 ranks with runs; no document passes through the driver.
 
-Defined cases: a null or empty text has only the end id; rows that repeat a doc_id are separate
+Defined cases: a null or empty text has only the end id; very long texts are tokenised whole and cut into pieces; equal pieces
+take places in any order; rows that repeat a doc_id are separate
 documents; a null doc_id is carried; an empty table gives an empty result; other columns of the
 input are dropped.
 """
@@ -32,7 +33,8 @@ from lodegraph.runtime import broadcast_if_small, written
 
 CAPACITY = 4096
 END_ID = 1
-SALTS = 64
+#: Pieces of one length that a task ranks at once; a length is dealt over as many parts as that takes.
+RANKED = 250_000
 VOCABULARY = "word_bpe_49k.json"
 #: Words and white-space runs a worker remembers; beyond this it forgets all and starts anew.
 REMEMBERED = 900_000
@@ -196,9 +198,10 @@ def plan_runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return runs
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, ranked: int = RANKED) -> DataFrame:
     """`pieces` (materialised; doc_id, piece, length, ...) with sequence_id and offset."""
     spark = pieces.sparkSession
+    salts = max(8, -(-pieces.count() // ranked))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
