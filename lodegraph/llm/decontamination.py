@@ -11,7 +11,11 @@ Texts and items are compared in lower case with white space runs as one blank. T
 the query set: it is read in blocks of at most `BLOCK_CHARS` characters, each of which is sent to
 the executors with one narrow pass over the corpus, so a benchmark of any size is handled.
 
-Defined cases: null or empty texts and items match nothing, nor do items shorter than `min_chars`;
+An item shorter than `short` characters has no budget, since a few edits make it another; it must
+stand whole, between characters that are no letters or digits (or at the text's ends).
+
+Defined cases: null or empty texts and items match nothing; texts of any length are searched whole; of places
+at equal distance the first is reported;
 rows that repeat a doc_id are searched apart; items that repeat are each reported; empty tables
 give empty results; other columns of the documents are carried, and one named `hits` is replaced.
 """
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from lodegraph.llm.common import map_batches
 
 RATE = 0.06
-MIN_CHARS = 40
+SHORT = 40
 BLOCK_CHARS = 2_000_000
 
 _WORD = re.compile(r"\S+")
@@ -71,10 +75,11 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of a block of items, and the search for items in a text."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE, min_chars: int = MIN_CHARS):
+    def __init__(self, items: list[tuple], rate: float = RATE, short: int = SHORT):
         import ahocorasick
 
-        self.items = [(i, n, int(rate * len(n))) for i, text in items if text and len(n := normal(text)) >= min_chars]
+        self.items = [(i, n, int(rate * len(n)) if len(n) >= short else 0) for i, text in items if text and (n := normal(text))]
+        self.short = short
         places: dict[str, list[tuple[int, int]]] = {}
         for at, (_, item, budget) in enumerate(self.items):
             for offset, piece in pieces(item, budget):
@@ -93,6 +98,8 @@ class Matcher:
             for at, offset in held:
                 _, item, budget = self.items[at]
                 start = last + 1 - length - offset
+                if len(item) < self.short and not self._stands_alone(text, start, last + 1):
+                    continue
                 found.setdefault(at, []).append((max(0, start - budget), min(len(text), start + len(item) + budget)))
         merged: dict[int, list[list[int]]] = {}
         for at, spans in found.items():
@@ -105,6 +112,10 @@ class Matcher:
             merged[at] = out
         return merged
 
+    @staticmethod
+    def _stands_alone(text: str, low: int, high: int) -> bool:
+        return not (low and text[low - 1].isalnum() and text[low].isalnum()) and not (high < len(text) and text[high].isalnum() and text[high - 1].isalnum())
+
     def find(self, raw: str | None) -> list[dict]:
         """The best place of every item found: item_id, distance, start, end (code points of the raw text)."""
         if not raw or self.empty:
@@ -146,7 +157,7 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`docs` with hits: array of (item_id, distance, start, end), empty where nothing is found."""
     item_kind = dict(benchmark.dtypes)["item_id"]
     columns = [c for c in docs.columns if c.lower() != "hits"]
@@ -160,7 +171,7 @@ def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars:
 
         def look(batch: pa.RecordBatch, block: list[tuple] = block, matcher: list[Matcher] = matcher) -> pa.RecordBatch:
             if not matcher:
-                matcher.append(Matcher(block, rate, min_chars))
+                matcher.append(Matcher(block, rate, short))
             texts, before = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
             hits = [old + matcher[0].find(t) for t, old in zip(texts, before, strict=True)]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(hits, hit_type)], names=[*columns, "hits"])
@@ -175,11 +186,11 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, start, end."""
-    return search(docs.select("doc_id", "text"), benchmark, rate, min_chars).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+    return search(docs.select("doc_id", "text"), benchmark, rate, short).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT) -> DataFrame:
     """The documents in which no item is found, with their columns."""
-    return search(docs, benchmark, rate, min_chars).where(F.size("hits") == 0).select(*[c for c in docs.columns if c.lower() != "hits"])
+    return search(docs, benchmark, rate, short).where(F.size("hits") == 0).select(*[c for c in docs.columns if c.lower() != "hits"])

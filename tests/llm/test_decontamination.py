@@ -30,7 +30,7 @@ def test_myers(seed):
 def test_nothing_within_the_budget_is_missed(seed):
     rng = random.Random(seed)
     items = [(i, "".join(rng.choices("abcd ", k=rng.randint(40, 80)))) for i in range(4)]
-    matcher = dc.Matcher(items, rate=0.1, min_chars=20)
+    matcher = dc.Matcher(items, rate=0.1, short=20)
     for _ in range(30):
         text = list(rng.choice(items)[1])
         for _ in range(rng.randint(0, 8)):
@@ -42,12 +42,33 @@ def test_nothing_within_the_budget_is_missed(seed):
         assert {h["item_id"]: h["distance"] for h in matcher.find(whole)} == expected
 
 
+def test_short_items_must_stand_whole():
+    matcher = dc.Matcher([(1, "cat sat on"), (2, "C++"), (3, "")])
+    assert [h["item_id"] for h in matcher.find("The  CAT\nsat on.")] == [1]
+    assert matcher.find("a bobcat sat on it, a cat sat once") == []
+    hit = matcher.find("in c++ only")[0]
+    assert (hit["item_id"], hit["distance"], hit["start"], hit["end"]) == (2, 0, 3, 6)
+
+
+def test_query_against_brute_force_with_edits(spark, sf_dir):
+    """Every document and item of the smallest tables, by the plain recurrence over the text's words around a shared word run."""
+    from lodegraph.llm.queries import op8_decontamination
+
+    items = [(r.item_id, dc.normal(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    texts = [(r.doc_id, dc.normal(r.text or "")) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if len(r.text or "") < 1500][:40]
+    found = {(r.doc_id, r.item_id): r.distance for r in op8_decontamination(spark, sf_dir).collect()}
+    for d, t in texts:
+        for i, x in items[:10]:
+            best = dc.myers(x, t)[0]  # held against the plain recurrence in test_myers
+            assert found.get((d, i)) == (best if best <= int(dc.RATE * len(x)) else None)
+
+
 def test_search(spark):
     item = "The quick brown fox jumps over the lazy dog near the quiet river bank"
     edited = item.replace("quick", "quik").upper().replace(" ", "\n  ")
     rows = [(1, f"é. {item} end"), (1, f"é. {item} end"), (None, f"xx {edited}"), (2, None), (3, ""), (4, "clean " * 50_000), (5, item[: len(item) // 2])]
     docs = spark.createDataFrame([(*r, "h") for r in rows], "doc_id long, text string, hits string")
-    bench = spark.createDataFrame([(7, item), (8, item), (9, None), (10, "short"), (None, "")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, item), (9, None), (10, "a short item"), (None, "")], "item_id long, text string")
     found = dc.leaks(docs, bench).collect()
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in found), key=str) == sorted([(1, 7, 0), (1, 8, 0)] * 2 + [(None, 7, 1), (None, 8, 1)], key=str)
     assert {(r.start, r.end) for r in found if r.doc_id == 1} == {(3, 3 + len(item))}
