@@ -5,12 +5,14 @@ identifier cues. Deterministic local parsers then expand each anchor to the left
 validate what they find: an address grammar around an at-sign, digit chains for cards (Luhn)
 and network addresses, dialled numbers after a plus-sign, credentials in a URL after its scheme,
 and account numbers after a cue (mod-97 for IBANs, group rules for social security numbers).
+After a cue, identifiers are taken one after another as long as each begins within `CUE_REACH` code points of
+the cue or of the candidate before it, valid or not ("accounts 12345678, 87654321").
 A parser walks the maximal run around its anchor once, so a text costs linear time.
 
 Kinds: email, ip, card and phone are the base; url (credentials in a URL), iban, ssn and account
 are added. Spans of a kind don't overlap.
 
-Defined cases: a null or empty text has no spans; rows that repeat a doc_id are scanned apart; an
+Defined cases: a null or empty text has no spans; texts of any length are whole; rows that repeat a doc_id are scanned apart; an
 empty table gives an empty result; other columns of the input are dropped unless named in `keep`.
 """
 
@@ -123,22 +125,30 @@ def valid_iban(value: str) -> bool:
     return 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
-def expand_cue(text: str, end: int, kind: str) -> tuple[int, int] | None:
-    """The identifier that begins within CUE_REACH code points after a cue."""
-    found = _LOCAL_PARTS[kind].search(text, end, min(len(text), end + CUE_REACH + 48))
-    if not found or found.start() > end + CUE_REACH:
-        return None
-    low, high = found.span()
+def valid_identifier(text: str, low: int, high: int, kind: str) -> tuple[int, int] | None:
     if kind == "iban":
         while high > low and not valid_iban(text[low:high]):  # letters of a following word may have been taken
             high -= 1
         return (low, high) if high - low >= 15 else None
     if kind == "ssn":
-        area, group, serial = found[0].split("-")
+        area, group, serial = text[low:high].split("-")
         return None if area in ("000", "666") or area >= "900" or group == "00" or serial == "0000" else (low, high)
     return low, high
 
 
+def expand_cue(text: str, end: int, kind: str) -> tuple[list[tuple[int, int]], int]:
+    """The identifiers after a cue that ends at `end`, each within CUE_REACH code points of what stands before it, and where the last candidate ends."""
+    spans: list[tuple[int, int]] = []
+    while found := _LOCAL_PARTS[kind].search(text, end, min(len(text), end + CUE_REACH + 48)):
+        if found.start() > end + CUE_REACH:
+            break
+        span = valid_identifier(text, *found.span(), kind)
+        if span:
+            spans.append(span)
+        end = span[1] if span else found.start() + (2 if kind == "iban" else found.end() - found.start())
+    return spans, end
+
+
 def _lowered(text: str) -> str:
     low = text.lower()
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -149,7 +159,7 @@ def find(text: str | None) -> list[Span]:
     if not text:
         return []
     spans: list[Span] = []
-    done = dict.fromkeys((*KINDS, "chain", "dotted"), 0)
+    done, cued = dict.fromkeys((*KINDS, "chain", "dotted"), 0), dict.fromkeys(CUES.values(), 0)
 
     def add(kind: str, span: tuple[int, int] | None) -> None:
         if span and span[0] >= done[kind]:
@@ -178,7 +188,11 @@ def find(text: str | None) -> list[Span]:
         elif anchor == "://":
             add("url", expand_url(text, last - 2))
         else:
-            add(CUES[anchor], expand_cue(text, last + 1, CUES[anchor]))
+            kind = CUES[anchor]
+            if last + 1 > cued[kind]:
+                identifiers, cued[kind] = expand_cue(text, last + 1, kind)
+                for span in identifiers:
+                    add(kind, span)
     return spans
 
 

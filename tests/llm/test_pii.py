@@ -35,6 +35,14 @@ def test_added_kinds():
     assert pii.find("IBAN DE00 3704 0044 0532 0130 00, SSN 000-12-3456, http://example.org/a@b, on account of 5") == []
 
 
+def test_cues_with_several_identifiers():
+    text = "IBANs: DE89 3704 0044 0532 0130 00, GB82 WEST 1234 5698 7654 32. Accounts 12345678, 87654321 and 5; social security: 000-12-3456 or 123-45-6789."
+    assert [(k, text[a:b]) for k, a, b in pii.find(text) if k not in pii.BASE_KINDS] == [
+        ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("account", "12345678"), ("account", "87654321"), ("ssn", "123-45-6789"),
+    ]
+    assert pii.find("ssn 000-00-0000 " * 20_000) == []
+
+
 def test_long_runs_are_linear():
     assert pii.find("a" * 300_000 + "@" + "b" * 300_000) == []
     assert pii.find("1" * 200_000) == [] and pii.find("+1 " * 50_000) == []
