@@ -1,6 +1,6 @@
 """Line deduplication by range-partitioned line hashes and per-document keep bitmaps.
 
-Lines become 128-bit keys. The keys are range-partitioned by (key, document) and sorted by
+Lines become 128-bit keys, written once. The keys are range-partitioned by (key, document) and sorted by
 position inside each range, so a key that a third of all documents hold is spread over ranges
 by document. One streaming window pass keeps each document's first occurrence of a key; those
 firsts are counted per key with map-side combining. Positions of frequent keys come back as
@@ -8,7 +8,7 @@ bitmaps of 64-line words; a word that keeps all its lines is not stored. The fre
 broadcast where a count proves them few; else they are joined with a salt per document. Text is never shuffled
 by line, and only DataFrame functions are used.
 
-Defined cases: a null or empty text is one empty line; rows that repeat a doc_id count as one
+Defined cases: a null or empty text is one empty line; very long texts are split whole; rows that repeat a doc_id count as one
 document but keep their own lines; a null doc_id counts as one document; an empty table gives
 an empty result; further columns are ignored by `keep_bitmaps` and carried by `drop_lines`.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.llm.common import text_key
-from lodegraph.runtime import BROADCAST_ROWS, checkpoint
+from lodegraph.runtime import BROADCAST_ROWS, checkpoint, written
 
 STRIPPED = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,7 +37,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.trim(line, F.lit(STRIPPED)), UPPER, LOWER)
 
 
-def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def hashed_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """One row per line: doc_id, row_key, pos, and the key's 128 bits h1, h2."""
     key = F.col("key")
     return (
         docs.select(F.col("doc_id"), text_key(F.col("text")).alias("row_key"), F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
@@ -46,10 +47,10 @@ def _hashed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def frequent_keys(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, partitions: int | None = None) -> DataFrame:
-    """Keys (h1, h2) that at least `min_docs` documents hold, with their document count."""
+def frequent_keys(lines: DataFrame, min_docs: int = 10, partitions: int | None = None) -> DataFrame:
+    """Of hashed lines, the keys (h1, h2) that at least `min_docs` documents hold, with their document count."""
     keys = ("h1", "h2", "doc_id")
-    hashed = _hashed_lines(docs, min_chars).select(*keys, "row_key", "pos")
+    hashed = lines.select(*keys, "row_key", "pos")
     ranged = hashed.repartitionByRange(partitions, *keys) if partitions else hashed.repartitionByRange(*keys)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("row_key", "pos"))
     firsts = ranged.withColumn("nth", nth).where("nth = 1")
@@ -62,8 +63,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, partit
     `words` holds (word, bits) for each run of 64 lines that loses at least one; bit i set means
     line 64 * word + i stays.
     """
-    frequent = checkpoint(frequent_keys(docs, min_docs, min_chars, partitions).select("h1", "h2"))
-    lines = _hashed_lines(docs, min_chars)
+    lines = written(hashed_lines(docs, min_chars))
+    frequent = checkpoint(frequent_keys(lines, min_docs, partitions).select("h1", "h2"))
     if len(frequent.head(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS:
         lost = lines.join(F.broadcast(frequent), ["h1", "h2"], "left_semi")
     else:
