@@ -1,23 +1,27 @@
 """Quality rules whose cutoffs come from labelled holdouts under a guaranteed risk.
 
-Every rule scores a text; a text fails a rule when its score exceeds the cutoff of its stratum.
-Cutoffs are calibrated, not guessed: documents labelled good are a holdout on which a candidate
-cutoff's false rejections are counted, and a cutoff is certified when the exact (Clopper-Pearson)
-upper bound on its rejection probability is at most the rule's share of `RISK`. Candidates are
-tested in a fixed order, from the loosest to the strictest, up to the first that isn't certified,
-which needs no correction along a rule's grid; across rules and strata the level `ERROR` is
-divided (Bonferroni). With probability 1 - ERROR, no stratum therefore loses more than RISK of its
-good documents to the rules. A stratum with too few labels has no cutoff, and nothing in it is
-rejected by rules.
-
-Text features are one narrow pass. Calibration sees a histogram of scores per stratum and rule,
-so its size doesn't depend on the number of labels, and each stratum is calibrated in its own
-group.
+Every rule scores a text. The documents labelled good, one of each class of near-duplicates so that
+they are independent draws, are dealt into two parts by a hash of their class. The smaller part, over
+all strata together, puts the rules on one scale: a score is as severe as it is rare among good
+documents, so the severity of a text is that of its most unusual score. The larger part is the
+holdout: per stratum, the false rejections of a candidate cutoff on severity are counted, and the
+cutoff is certified when the exact (Clopper-Pearson) upper bound on its rejection probability is at
+most `RISK`. Candidates are tested in a fixed order, from the loosest to the strictest, up to the
+first that isn't certified, which needs no correction along the grid; across strata the level
+`ERROR` is divided (Bonferroni). As all rules are rejected on together, they share one test.
+
+With probability 1 - ERROR, no stratum therefore loses more than RISK of its good documents (those
+that pass the base rule, counted by class) to the rules. A stratum with too few labels (220 at four strata)
+has no cutoff, and nothing in it is rejected by rules.
+
+Text features are one narrow pass. Calibration sees histograms per stratum, so their size doesn't
+depend on the number of labels, and each stratum is calibrated in its own group.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null stratum is a
-stratum of its own; a document with conflicting labels counts as not good; labels of absent
+stratum of its own, other than the empty one; a score between two bins counts to the upper one, and a score equal to
+the cutoff is kept; very long texts are measured whole; a document with conflicting labels counts as not good; labels of absent
 documents and null labels are ignored; rows that repeat a doc_id are judged apart; an empty
-labels table leaves the base rule alone.
+labels table leaves the base rule alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,12 +36,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import map_batches
-from lodegraph.runtime import written
+from lodegraph.llm.common import map_batches, text_key
+from lodegraph.llm.jaccard_join import near_duplicates
+from lodegraph.runtime import broadcast_if_small, checkpoint, written
 
 RISK = 0.02
 ERROR = 0.05
 BINS = 64
+#: One in so many classes of good documents sets the scale; the others are the holdout.
+SCALE_FOLDS = 4
 WINDOW = 8
 MIN_WORDS = 20
 MOST_REPEATED = 30  # percent of words in repeated windows
@@ -98,16 +105,17 @@ def features_of(text: str | None) -> tuple[int, ...]:
 
 
 def features(docs: DataFrame, stratum: str | None = "lang") -> DataFrame:
-    """Per row: doc_id, stratum and FEATURES."""
+    """Per row: doc_id, row_key, stratum and FEATURES."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features_of(t) for t in batch.column("text").to_pylist()]
         columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * len(FEATURES)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *columns], names=["doc_id", "stratum", *FEATURES])
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row_key", "stratum")), *columns], names=["doc_id", "row_key", "stratum", *FEATURES])
 
-    held = F.coalesce(F.col(stratum).cast("string"), F.lit("")) if stratum else F.lit("")
-    return map_batches(docs.select("doc_id", held.alias("stratum"), "text"), measure, ", ".join([f"doc_id {kind}, stratum string", *(f"{c} long" for c in FEATURES)]))
+    held = F.col(stratum).cast("string") if stratum else F.lit("")
+    rows = docs.select("doc_id", text_key(F.col("text")).alias("row_key"), held.alias("stratum"), "text")
+    return map_batches(rows, measure, ", ".join([f"doc_id {kind}, row_key long, stratum string", *(f"{c} long" for c in FEATURES)]))
 
 
 def score_bin(rule: str, bins: int = BINS) -> Column:
@@ -160,33 +168,64 @@ def certified_bin(counts: Iterable[tuple[int, int]], n: int, risk: float, level:
     return best
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, bins: int = BINS) -> DataFrame:
-    """Per stratum, one column per rule: the bin above which a text is rejected, or null."""
-    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
-    scored = measured.join(good, "doc_id", "left_semi").select("stratum", *[score_bin(r, bins).alias(r) for r in RULES])
-    stacked = scored.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("bin")) for r in RULES])).alias("s"))
-    histogram = stacked.groupBy("stratum", "s.rule", "s.bin").agg(F.count(F.lit(1)).alias("n"))
-    strata = measured.agg(F.count_distinct("stratum").alias("n")).first()["n"]
-    level, share = error / max(1, strata * len(RULES)), risk / len(RULES)
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
-    def calibrate(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        row: dict = {"stratum": [key[0]]}
-        for rule in RULES:
-            part = table[table["rule"] == rule]
-            row[rule] = pd.array([certified_bin(zip(part["bin"], part["n"], strict=True), int(part["n"].sum()), share, level, bins)], dtype="Int32")
-        return pd.DataFrame(row)
 
-    return histogram.groupBy("stratum").applyInPandas(calibrate, "stratum string, " + ", ".join(f"{r} int" for r in RULES))
+def good_classes(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row (_d, _k, scales) per class of near-duplicates among the documents labelled good."""
+    good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("_quality")).where("_quality = 1").select("doc_id")
+    rows = docs.select("doc_id", "text").join(broadcast_if_small(checkpoint(good)), "doc_id", "left_semi")
+    one = near_duplicates(rows).where("stays").dropDuplicates(["doc_id", "row_key"])
+    return one.select(F.col("doc_id").alias("_d"), F.col("row_key").alias("_k"), (F.pmod(F.crc32(F.col("class_id").cast("string")), F.lit(SCALE_FOLDS)) == 0).alias("scales"))
+
+
+def severity_scale(scaling: DataFrame, bins: int = BINS) -> dict[str, list[int]] | None:
+    """By rule, the severity (0 to `bins`) of each score bin: how rare it is that a good document scores as high."""
+    stacked = scaling.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), score_bin(r, bins).alias("bin")) for r in RULES])).alias("s"))
+    counts = {(r["rule"], r["bin"]): r["n"] for r in stacked.groupBy("s.rule", "s.bin").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per rule and bin at most
+    total = sum(n for (rule, _), n in counts.items() if rule == next(iter(RULES)))
+    if not total:
+        return None
+    out = {}
+    for rule in RULES:
+        levels, above = [0] * (bins + 1), 0
+        for b in range(bins, -1, -1):
+            above += counts.get((rule, b), 0)
+            levels[b] = round(bins * math.log((total + 1) / (above + 1)) / math.log(total + 1))
+        out[rule] = levels
+    return out
+
+
+def severity(rule: str, scale: dict[str, list[int]], bins: int = BINS) -> Column:
+    return F.element_at(F.array(*map(F.lit, scale[rule])), score_bin(rule, bins) + 1)
+
+
+def cutoffs(holdout: DataFrame, n_strata: int, scale: dict[str, list[int]], risk: float = RISK, error: float = ERROR, bins: int = BINS) -> DataFrame:
+    """Per stratum, the severity above which a text is rejected, or null."""
+    worst = F.greatest(*[severity(r, scale, bins) for r in RULES])
+    histogram = holdout.groupBy("stratum", worst.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    level = error / max(1, n_strata)
 
+    def calibrate(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
+        cut = certified_bin(zip(table["level"], table["n"], strict=True), int(table["n"].sum()), risk, level, bins)
+        return pd.DataFrame({"_stratum": pd.array([None if pd.isna(key[0]) else key[0]], dtype="string"), "cut": pd.array([cut], dtype="Int32")})
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return histogram.groupBy("stratum").applyInPandas(calibrate, "_stratum string, cut int")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str | None = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """Per row: doc_id, stratum, FEATURES, base_failed, failed_rules, kept."""
     measured = written(features(docs, stratum))
-    limits = cutoffs(measured, labels, risk, error).select(F.col("stratum"), *[F.col(r).alias(f"_{r}") for r in RULES])
-    failed = F.filter(F.array(*[F.when(score_bin(r) > F.col(f"_{r}"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    judged = measured.join(limits, "stratum", "left").withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
+    good = good_classes(docs, labels)
+    chosen = measured.where(~base_failed()).join(good, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("row_key") == F.col("_k")))
+    chosen = checkpoint(chosen.dropDuplicates(["doc_id", "row_key"]))
+    scale = severity_scale(chosen.where("scales"))
+    failed = F.array().cast("array<string>")
+    judged = measured
+    if scale:
+        limits = checkpoint(cutoffs(chosen.where("NOT scales"), measured.groupBy("stratum").count().count(), scale, risk, error))
+        judged = measured.join(broadcast_if_small(limits), F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
+        failed = F.filter(F.array(*[F.when(severity(r, scale) > F.col("cut"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    judged = judged.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed)
     return judged.select("doc_id", "stratum", *FEATURES, "base_failed", "failed_rules", (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"))

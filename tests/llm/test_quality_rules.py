@@ -61,22 +61,45 @@ def test_judge(spark):
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta"]
     good = [(i, " ".join(rng.choices(words, k=60)), "en") for i in range(4000)]
     bad = [(10_000 + i, " ".join(w + "***" for w in rng.choices(words, k=60)), "en") for i in range(50)]
-    rare = [(20_000 + i, " ".join(w + "***" for w in rng.choices(words, k=60)), None) for i in range(5)]
+    rare = [(20_000 + i, " ".join(w + "***" for w in rng.choices(words, k=60)), (None, "")[i % 2]) for i in range(6)]
     edge = [(30_000, None, "en"), (30_001, "", "xx"), (None, "one two", "en"), (5, good[5][1], "en")]
     docs = spark.createDataFrame([(*r, True) for r in good + bad + rare + edge], "doc_id long, text string, lang string, kept boolean")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(4000)] + [(7, 0, 0), (None, 1, 0), (8, None, 0), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
     rows = quality_rules.judge(docs, labels).collect()
-    assert len(rows) == 4000 + 50 + 5 + 4
+    assert len(rows) == 4000 + 50 + 6 + 4
     kept = {r.doc_id: r.kept for r in rows}
     assert sum(not kept[i] for i in range(4000)) <= 80
     assert not any(kept[10_000 + i] for i in range(50))
-    assert all(kept[20_000 + i] for i in range(5)), "a stratum without labels rejects nothing"
+    assert all(kept[20_000 + i] for i in range(6)), "a stratum without labels rejects nothing"
     assert not kept[30_000] and not kept[30_001] and not kept[None]
     none = quality_rules.judge(docs, labels.limit(0)).collect()
     assert all(r.kept == (not r.base_failed) for r in none)
     assert quality_rules.judge(docs.limit(0), labels).collect() == []
 
 
+def test_copies_of_a_good_document_count_once(spark):
+    """300 copies of one good document are one draw, which certifies nothing."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, text + " end" * (i % 2), "en") for i in range(300)] + [(999, "*** ### " * 5 + " ".join(f"v{i}***" for i in range(40)), "en")], "doc_id long, text string, lang string")
+    rows = quality_rules.judge(docs, spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")).collect()
+    assert all(r.kept for r in rows)
+
+
+def test_cutoffs_on_the_supplied_tables(spark):
+    """Every stratum with enough independent good labels gets a cutoff, and loses little more than its risk of all good documents."""
+    sf_dir = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r.doc_id for r in labels.where("quality = 1").collect()} - {r.doc_id for r in labels.where("quality = 0").collect()}
+    rows = quality_rules.judge(docs, labels).select("doc_id", "stratum", "base_failed", "failed_rules").collect()
+    by_rules = [r for r in rows if not r.base_failed and r.failed_rules]
+    bad = {r.doc_id for r in labels.where("quality = 0").collect()}
+    assert {"en", "de", "fr", "es"} <= {r.stratum for r in by_rules}
+    assert sum(r.doc_id in bad for r in by_rules) > 200
+    for s in {r.stratum for r in rows}:
+        own = [r for r in rows if r.stratum == s and r.doc_id in good and not r.base_failed]
+        assert sum(bool(r.failed_rules) for r in own) <= 0.03 * len(own)
+
+
 def test_query(spark, sf_dir):
     from lodegraph.llm.queries import op2_quality_rules
 
