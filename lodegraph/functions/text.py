@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words too common to tell names apart.
+#: Words too common to tell names apart.
 COMMON_WORDS = ("and", "app", "common", "core", "data", "for", "lib", "main", "service", "src", "the", "with")
-#: Keywords whose assigned value is withheld.
+#: Words that make the name of a key secret.
 SECRET_KEYS = ("api_key", "apikey", "passwd", "password", "secret", "token")
-#: Words that negate a predicate.
+#: Words that negate a predicate.
 NEGATIONS = ("cannot", "must not", "never", "no", "not", "without")
-#: Path segments that tell a class of provenance, the first match decides.
+#: Path segments that tell a class of provenance; the first match decides.
 PROVENANCE = (("fixture", ("fixture", "fixtures", "mock", "mocks")), ("test", ("spec", "test", "tests")), ("docs", ("doc", "docs", "documentation")))
-#: Path segments that are out of scope.
+#: Path segments that are out of scope.
 SCOPES = (("vendored", ("node_modules", "third_party", "vendor")), ("build_artifact", ("build", "dist", "target")))
 
 
@@ -62,9 +62,14 @@ def segment_class(path: Column, classes: tuple, default: str) -> Column:
     return out.otherwise(default)
 
 
+#: A key: a name, perhaps quoted, one of whose parts is a secret word; then an equals sign or a colon.
+SECRET_KEY = rf"""(?i)([\w.-]*(?:{'|'.join(SECRET_KEYS)})[\w.-]*["']?[ \t]*[=:][ \t]*)"""
+
+
 def withheld(text: Column) -> Column:
-    """Quoted values of secret-named assignments replaced; the line structure stays."""
-    return F.regexp_replace(text, rf"""(?i)((?:{'|'.join(SECRET_KEYS)})["']?\s*[:=]\s*)(["'])[^"'\n]+(["'])""", "$1$2[withheld]$3")
+    """Quoted values after a secret-named key replaced, whichever quote they have; the line structure stays."""
+    double = F.regexp_replace(text, SECRET_KEY + r'"[^"\n]+"', '$1"[withheld]"')
+    return F.regexp_replace(double, SECRET_KEY + r"'[^'\n]+'", "$1'[withheld]'")
 
 
 def negative(text: Column) -> Column:

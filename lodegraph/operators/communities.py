@@ -10,8 +10,8 @@ from lodegraph.operators.graph import reach
 from lodegraph.runtime import checkpoint
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Rows (node, label): synchronous label propagation, ties to the least label.
+def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """Rows (node, label, settled): synchronous label propagation, ties to the least label; settled says whether it ended by itself.
 
     A node keeps its own label as one vote, which stops two-colourings from swapping for ever.
     Votes are counted per (node, label) with map-side combining before the best is taken.
@@ -27,8 +27,8 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
         changed = after.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").head(1)
         labels = after
         if not changed:
-            break
-    return labels
+            return labels.withColumn("settled", F.lit(True))
+    return labels.withColumn("settled", F.lit(False))
 
 
 def closeness(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:

@@ -11,14 +11,19 @@ from pyspark.sql.window import Window
 
 from lodegraph.runtime import ensure_importable
 
+#: Bytes of text handled at once inside a Python task.
+BATCH_BYTES = 4_000_000
+
 
 def words(text: Column, pattern: str = "[a-z0-9_]{3,}") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({pattern})"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, term, n): each distinct term of a document once, with its occurrences."""
-    return docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """Rows (key, term, n): each distinct term of a document once, with its occurrences; with `only` (term), just those terms."""
+    said = docs.select(key, F.explode(words(F.col(text))).alias("term"))
+    said = said if only is None else said.join(only, "term", "left_semi")
+    return said.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequency(posted: DataFrame, n_docs: int, share: float = 0.05, least: int = 20) -> DataFrame:
@@ -45,7 +50,7 @@ def sections(lines: DataFrame, level: Column, levels: int, key: str = "doc_id")
     fence = F.col("content").rlike("^\\s*(```|~~~)")
     inside = F.sum(F.when(fence, 1).otherwise(0)).over(ordered) % 2 == 1
     marked = lines.withColumn("level", F.when(~inside & ~fence, level)).withColumn("last", F.max("line").over(Window.partitionBy(key)))
-    after = ordered.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy(key).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)  # a running minimum from the end
     nexts = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(after) for k in range(1, levels + 1)]
     following = F.element_at(F.array(*nexts), F.col("level"))
     return marked.withColumn("line_end", F.when(F.col("level").isNotNull(), F.coalesce(following - 1, F.col("last")))).where("level IS NOT NULL").select(key, "line", F.col("level").cast("int").alias("level"), F.col("line_end").cast("int").alias("line_end"))
@@ -60,7 +65,7 @@ def byte_windows(docs: DataFrame, most: int, overlap: int = 0, key: str = "doc_i
     ensure_importable(docs.sparkSession)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for step in [max(1, int(whole.num_rows * BATCH_BYTES / max(whole.nbytes, 1)))] for at in range(0, whole.num_rows, step)):
             rows: list[tuple] = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sizes = [len(x.encode("utf-8", "surrogatepass")) + 1 for x in (value or "").split("\n")]

@@ -11,17 +11,21 @@ def resolve(refs: DataFrame, targets: DataFrame, ref_id: str, key: str, target:
     """Rows (ref_id, status, target, n_candidates, candidates): unresolved, resolved or ambiguous.
 
     Targets are grouped by key before the join, so a key that very many references hold isn't
-    multiplied by its targets; the candidate list holds the first `most`, the count holds all.
+    multiplied by its targets. The count holds all; the list holds the first `most`, which are
+    ranked before they are collected, so no key gathers more.
     """
-    listed = targets.where(F.col(target_key).isNotNull()).groupBy(F.col(target_key).alias("_key")).agg(F.countDistinct(target).alias("n_candidates"), F.array_sort(F.collect_set(target)).alias("_all"))
+    pairs = targets.where(F.col(target_key).isNotNull()).select(F.col(target_key).alias("_key"), F.col(target).alias("_target")).distinct()
+    counted = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n_candidates"))
+    ranked = pairs.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_target"))).where(F.col("_nth") <= most)
+    listed = ranked.groupBy("_key").agg(F.array_sort(F.collect_list("_target")).alias("_first")).join(counted, "_key")
     joined = refs.join(listed, F.col(key) == F.col("_key"), "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return joined.select(
         ref_id,
         F.when(n == 0, "unresolved").when(n == 1, "resolved").otherwise("ambiguous").alias("status"),
-        F.when(n == 1, F.col("_all")[0]).alias("target"),
+        F.when(n == 1, F.col("_first")[0]).alias("target"),
         n.alias("n_candidates"),
-        F.when(n > 1, F.slice("_all", 1, most)).alias("candidates"),
+        F.when(n > 1, F.col("_first")).alias("candidates"),
     )
 
 

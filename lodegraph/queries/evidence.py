@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import text
 from lodegraph.operators import claims, delta, documents, evaluation
+from lodegraph.runtime import broadcast_if_small, checkpoint, written
 from lodegraph.sources.star import table
 from lodegraph.streaming.ingest import ingest
 
@@ -32,12 +33,13 @@ def doc_frequency_ambient(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark terms that aren't ambient, with the documents that hold them."""
+    """Benchmark terms that aren't ambient, with the documents that hold them; other terms are never posted."""
     docs = table(spark, sf_dir, "documents")
-    posted = documents.postings(docs)
+    surfaces = checkpoint(documents.postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term"))
+    terms = broadcast_if_small(checkpoint(surfaces.select("term").distinct()))
+    posted = written(documents.postings(docs, only=terms).select("term", "doc_id"))
     frequency = documents.document_frequency(posted, docs.count()).where("NOT ambient")
-    surfaces = documents.postings(table(spark, sf_dir, "benchmark"), "item_id").select("item_id", "term")
-    return surfaces.join(frequency, "term", "left_semi").join(posted.select("term", "doc_id"), "term").select("item_id", "doc_id").distinct()
+    return surfaces.join(frequency, "term", "left_semi").join(posted, "term").select("item_id", "doc_id").distinct()
 
 
 def occurrence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +221,8 @@ _GENERATION = "SELECT o_custkey AS id, CASE WHEN count(*) >= 5 THEN 'member' ELS
 
 ORACLE_SQL = {
     "secret_withholding": r"""SELECT doc_id, sha256(out) AS sha256, out <> text AS withheld FROM (SELECT doc_id, coalesce(text, '') AS text,
-        regexp_replace(coalesce(text, ''), '(?i)((?:api_key|apikey|passwd|password|secret|token)["'']?\s*[:=]\s*)(["''])[^"''\n]+(["''])', '\1\2[withheld]\3', 'g') AS out FROM documents)""",
+        regexp_replace(regexp_replace(coalesce(text, ''), '(?i)([\w.-]*(?:api_key|apikey|passwd|password|secret|token)[\w.-]*["'']?[ \t]*[=:][ \t]*)"[^"\n]+"', '\1"[withheld]"', 'g'),
+            '(?i)([\w.-]*(?:api_key|apikey|passwd|password|secret|token)[\w.-]*["'']?[ \t]*[=:][ \t]*)''[^''\n]+''', '\1''[withheld]''', 'g') AS out FROM documents)""",
     "language_census": "SELECT lang, source, count(*) AS n_docs, cast(sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS n_lines, cast(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents GROUP BY lang, source",
     "token_postings": f"WITH {_POSTED} SELECT doc_id, count(*) AS n_terms, cast(sum(n) AS BIGINT) AS n_tokens, max(n) AS most FROM posted GROUP BY doc_id",
     "doc_frequency_ambient": f"WITH {_POSTED} SELECT term, df FROM df WHERE df > (SELECT most FROM bound)",

@@ -46,9 +46,9 @@ def region_closeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records that share their label and kind, by digest of both."""
-    nodes = star.nodes(spark, sf_dir).select("kind", "label")
-    return record_digest(nodes).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_digest").alias("n_digests"))
+    """Parts by the digest of their canonical JSON: how many records each content has."""
+    parts = table(spark, sf_dir, "part").select("p_brand", "p_name", "p_size", "p_type")
+    return record_digest(parts).groupBy("record_digest").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (page_facts, page_links, host_communities, overview_descent, region_closeness, node_digests)}
@@ -76,5 +76,5 @@ ORACLE_SQL = {
             SELECT node_id AS source, node_id AS node, 0 AS depth FROM nodes WHERE kind IN ('Region', 'Nation') UNION SELECT source, b, depth + 1 FROM walk JOIN step ON node = a WHERE depth < 3),
             hops AS (SELECT source, node, min(depth) AS depth FROM walk GROUP BY ALL)
         SELECT source, count(*) AS reached, round(sum(1 / depth), 6) AS harmonic FROM hops WHERE depth > 0 GROUP BY source""",
-    "node_digests": f"WITH {GRAPH_SQL} SELECT kind, label, count(*) AS n, 1 AS n_digests FROM nodes GROUP BY kind, label",
+    "node_digests": """SELECT sha256('{"p_brand":"' || p_brand || '","p_name":"' || p_name || '","p_size":' || p_size || ',"p_type":"' || p_type || '"}') AS record_digest, count(*) AS n FROM part GROUP BY 1""",
 }

@@ -148,8 +148,7 @@ def atlas_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def census_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star.nodes(spark, sf_dir).createOrReplaceTempView("_lodegraph_nodes")
-    return spark.sql("SELECT kind, plane, count(*) AS n, cast(grouping_id() AS int) AS level FROM _lodegraph_nodes GROUP BY GROUPING SETS ((kind), (plane), ())")
+    return spark.sql("SELECT kind, plane, count(*) AS n, cast(grouping_id() AS int) AS level FROM {nodes} GROUP BY GROUPING SETS ((kind), (plane), ())", nodes=star.nodes(spark, sf_dir))
 
 
 def coupling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +156,11 @@ def coupling_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by their ends' nations and relation."""
+    """Edges by their ends' nations and relation; the digest is a sum of hashes of the distinct members, so nothing is gathered."""
     nation_of = star.table(spark, sf_dir, "customer").select(star.node_id("Customer", "c_custkey").alias("dst"), F.col("c_nationkey").alias("to_nation"))
-    members = star.edges(spark, sf_dir, ("member_of",)).join(nation_of, "dst")
-    return members.groupBy("relation", "to_nation").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.sort_array(F.array_distinct(F.collect_list("dst"))), ","), 256).alias("member_digest"))
+    members = star.edges(spark, sf_dir, ("member_of",)).groupBy("relation", "dst").agg(F.count(F.lit(1)).alias("n")).join(nation_of, "dst")
+    own = F.conv(F.substring(F.md5("dst"), 1, 15), 16, 10).cast("decimal(38,0)")
+    return members.groupBy("relation", "to_nation").agg(F.sum("n").alias("n"), F.sum(own).cast("string").alias("member_digest"))
 
 
 def downstream_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +174,7 @@ def downstream_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supersession_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's orders supersede each other by date: each order's last successor and steps to it, by pointer doubling."""
     orders = star.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    orders.createOrReplaceTempView("_lodegraph_orders")
-    links = checkpoint(spark.sql("SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM _lodegraph_orders"))
+    links = checkpoint(spark.sql("SELECT o_orderkey AS id, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM {orders}", orders=orders))
     chain = links.select("id", F.coalesce("next", "id").alias("last"), F.when(F.col("next").isNull(), 0).otherwise(1).alias("steps"))
     while True:
         ahead = chain.select(F.col("id").alias("_id"), F.col("last").alias("_last"), F.col("steps").alias("_steps"))
@@ -271,7 +270,7 @@ ORACLE_SQL = {
     "census_grouping_sets": f"WITH {GRAPH_SQL} SELECT kind, plane, count(*) AS n, cast(grouping(kind, plane) AS int) AS level FROM nodes GROUP BY GROUPING SETS ((kind), (plane), ())",
     "coupling_matrix": f"""WITH {GRAPH_SQL} SELECT a.kind AS from_scope, b.kind AS to_scope, role, count(*) AS n, count(DISTINCT relation) AS n_relations
         FROM edges JOIN nodes a ON src = a.node_id JOIN nodes b ON dst = b.node_id GROUP BY a.kind, b.kind, role""",
-    "edge_bundles": f"""WITH {GRAPH_SQL} SELECT relation, c_nationkey AS to_nation, count(*) AS n, sha256(string_agg(DISTINCT dst, ',' ORDER BY dst)) AS member_digest
+    "edge_bundles": f"""WITH {GRAPH_SQL} SELECT relation, c_nationkey AS to_nation, count(*) AS n, cast(sum(DISTINCT cast('0x' || left(md5(dst), 15) AS HUGEINT)) AS VARCHAR) AS member_digest
         FROM edges JOIN customer ON dst = 'customer:' || c_custkey WHERE relation = 'member_of' GROUP BY relation, c_nationkey""",
     "downstream_cone": f"""WITH {GRAPH_SQL}, e AS (SELECT src AS source, dst AS node FROM edges WHERE relation = 'emits'), d AS (SELECT DISTINCT e.source, x.src AS node FROM e JOIN edges x ON x.dst = e.node AND x.relation = 'depends_on')
         SELECT node_id AS source, 0 AS depth, 1 AS n FROM nodes WHERE kind = 'Supplier' UNION ALL SELECT source, 1, count(*) FROM e GROUP BY source UNION ALL SELECT source, 2, count(*) FROM d GROUP BY source""",

@@ -7,6 +7,7 @@ import json
 import pytest
 
 from lodegraph.functions import extract
+from lodegraph.operators import code
 from lodegraph.operators import communities
 from lodegraph.sources import artifacts, files
 from pyspark.sql import functions as F
@@ -55,12 +56,12 @@ requests>=2.0
 
 def test_extractors(spark):
     df = spark.createDataFrame([(1, TEXT), (2, None)], "id int, text string")
-    names = ("sql_object", "sql_write", "http_route", "http_client", "js_import", "hcl_resource", "thrown", "diagram_edge", "section_reference")
+    names = ("http_client", "js_import", "hcl_resource", "thrown", "diagram_edge", "section_reference")
     found: dict[str, list[str]] = {}
     for r in extract.facts(df, "id", "text", names).orderBy("kind", "ordinal").collect():
         found.setdefault(r.kind, []).append(r.value)
     assert found == {
-        "sql_object": ["users", "v1"], "sql_write": ["users"], "http_route": ["/items/:id"], "http_client": ["https://h.example/v1"], "js_import": ["./a.mjs"],
+        "http_client": ["https://h.example/v1"], "js_import": ["./a.mjs"],
         "hcl_resource": ['aws_sqs_queue" "jobs'], "thrown": ["BadThing"], "diagram_edge": ["A --> B"], "section_reference": ["4.2.1"],
     }
     assert "requests" in df.where("id = 1").select(extract.extracted(F.col("text"), "requirement")).first()[0]
@@ -77,3 +78,24 @@ def test_bounded_descent_reports_withheld(spark):
     nodes = spark.createDataFrame([(f"c{i}", "K") for i in range(7)] + [("d", "K"), ("r", "R")], "node_id string, kind string")
     rows = communities.bounded_descent(pairs, nodes, spark.createDataFrame([("r",)], "node_id string"), 5, 3).collect()
     assert sorted((r.node, r.depth, r.withheld) for r in rows) == [("c0", 1, 2), ("c1", 1, 0), ("c2", 1, 0), ("c3", 1, 0), ("c4", 1, 0), ("d", 2, 0)]
+
+
+SQL = """-- CREATE TABLE not_this (a int);
+CREATE OR REPLACE TEMPORARY VIEW
+  IF NOT EXISTS main."v 1" AS SELECT 'create table nor_this';
+create table [dbo].users (id int); CREATE UNIQUE INDEX by_name ON users (name);
+INSERT INTO main.users VALUES (1); UPDATE users SET a = 1; DELETE FROM `log`;
+ON UPDATE SET NULL"""
+JS = """// app.get("/no")
+app.get("/items/:id", f); router
+  .post('/new', g);
+api.delete(`/x/${id}`, h); cache.get("key"); put("/z")"""
+
+
+def test_statements_and_routes_have_lines(spark):
+    df = spark.createDataFrame([(1, SQL, JS), (2, None, "")], "id int, sql string, js string")
+    assert sorted((r.line, r.action, r.kind, r.name) for r in code.sql_statements(df, "id", "sql").collect()) == [
+        (2, "create", "view", "main.v 1"), (4, "create", "index", "by_name"), (4, "create", "table", "dbo.users"),
+        (5, "delete", "table", "log"), (5, "insert", "table", "main.users"), (5, "update", "table", "users"),
+    ]
+    assert sorted((r.line, r.receiver, r.method, r.path) for r in code.http_routes(df, "id", "js").collect()) == [(2, "app", "get", "/items/:id"), (2, "router", "post", "/new"), (4, "api", "delete", None)]
