@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import evidence, pages, star, tables
+from lodegraph.queries import evidence, knowledge, pages, star, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**star.QUERIES, **tables.QUERIES, **evidence.QUERIES, **pages.QUERIES}
-ORACLE_SQL: dict[str, str] = {**star.ORACLE_SQL, **tables.ORACLE_SQL, **evidence.ORACLE_SQL, **pages.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**star.QUERIES, **tables.QUERIES, **evidence.QUERIES, **pages.QUERIES, **knowledge.QUERIES}
+ORACLE_SQL: dict[str, str] = {**star.ORACLE_SQL, **tables.ORACLE_SQL, **evidence.ORACLE_SQL, **pages.ORACLE_SQL, **knowledge.ORACLE_SQL}
