@@ -60,6 +60,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0b]+'), lambda w: w <> '') AS w FROM documents
+        ), grams AS (
+            SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM words
+        ), keyed AS (
+            SELECT doc_id, g, CASE WHEN len(g) > 0 THEN md5(array_to_string(g, chr(10))) END AS set_id FROM grams
+        ), sets AS (
+            SELECT set_id, any_value(g) AS g, len(any_value(g)) AS n, min(doc_id) AS first, count(*) AS n_copies FROM keyed WHERE set_id IS NOT NULL GROUP BY set_id
+        ), held AS (
+            SELECT set_id, n, unnest(g) AS gram FROM sets
+        ), links AS (
+            SELECT a.set_id AS a, b.set_id AS b FROM held a JOIN held b ON a.gram = b.gram AND a.set_id <> b.set_id
+            GROUP BY 1, 2 HAVING 9 * count(*) >= 4 * (any_value(a.n) + any_value(b.n))
+        ), reached AS (
+            SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+        ), classes AS (
+            SELECT s.set_id, least(s.first, min(t.first)) AS class_id FROM sets s JOIN reached ON s.set_id = a JOIN sets t ON b = t.set_id GROUP BY s.set_id, s.first
+        ), counted AS (
+            SELECT a AS set_id, count(*) AS n_links FROM links GROUP BY a
+        )
+        SELECT k.doc_id, CASE WHEN k.set_id IS NULL THEN k.doc_id ELSE coalesce(c.class_id, s.first) END AS class_id, coalesce(n.n_links, 0) AS n_links, coalesce(s.n_copies, 1) AS n_copies
+        FROM keyed k LEFT JOIN sets s ON k.set_id = s.set_id LEFT JOIN classes c ON k.set_id = c.set_id LEFT JOIN counted n ON k.set_id = n.set_id
+    """,
     "op10_line_dedup": f"""
         WITH split AS (
             SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents

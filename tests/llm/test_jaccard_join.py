@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -157,13 +158,19 @@ def exact_classes(rows, threshold=0.8):
 
 def test_the_supplied_table_against_exact_pairs(spark):
     """Recall on whole documents: every class and link count of the registered query."""
-    from lodegraph.llm.queries import op5_jaccard_join
+    from lodegraph.llm.queries import ORACLE_SQL, op5_jaccard_join
 
     sf_dir = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     expected, pairs = exact_classes(rows)
     assert pairs >= 5
-    assert {r.doc_id: (r.class_id, r.n_links) for r in op5_jaccard_join(spark, sf_dir).collect()} == expected
+    found = op5_jaccard_join(spark, sf_dir).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in found} == expected
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    stated = duck.sql(ORACLE_SQL["op5_jaccard_join"])
+    at = [stated.columns.index(c) for c in ("doc_id", "class_id", "n_links", "n_copies")]
+    assert sorted((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in found) == sorted(tuple(x[i] for i in at) for x in stated.fetchall())
 
 
 def test_a_node_with_few_sets_outside_its_hubs_reach(spark, monkeypatch):
