@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodegraph.runtime import checkpoint
+
 #: Levels that a literal may be nested.
 MOST_LEVELS = 16
 
@@ -19,6 +21,7 @@ def leaves(df: DataFrame, key: str, json: str) -> DataFrame:
     level = df.select(F.col(key).alias("_k"), F.lit("").alias("path"), F.try_parse_json(json).alias("value")).where("value IS NOT NULL")
     found = None
     for _ in range(MOST_LEVELS):
+        level = checkpoint(level)
         kind = F.schema_of_variant("value")
         nested = kind.rlike("^(OBJECT|ARRAY)")
         part = level.where(~nested).select("_k", "path", F.col("value").cast("string").alias("value"))
