@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodegraph.operators.components import connected_components
+from lodegraph.runtime import checkpoint
 
 #: Claims that a bucket may have to be compared pair by pair; larger ones are listed instead.
 BUCKET_CAP = 40
@@ -43,12 +44,18 @@ def pair_classes(claims: DataFrame, keys: list[str], cap: int = BUCKET_CAP) -> D
 def constrained_union(equivalences: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Rows (id, group): ordered merges of (left, right) pairs, refusing those that would join a forbidden pair.
 
-    Only ids of one unconstrained component can meet, so merging runs per component; a refused
-    merge doesn't block later ones.
+    Only ids of one unconstrained component can meet. A component without a forbidden pair is one
+    group, as found by joins; only the others are merged in order, each in its own group of rows. A
+    refused merge doesn't block later ones.
     """
-    reached = connected_components(equivalences, "left", "right")
-    pairs = equivalences.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct().join(reached, F.col("left") == F.col("node")).select("component", "left", "right", F.lit(True).alias("join"))
-    walls = forbidden.join(reached, F.col("left") == F.col("node")).select("component", "left", "right", F.lit(False).alias("join"))
+    reached = checkpoint(connected_components(equivalences, "left", "right"))
+    other = reached.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    within = forbidden.join(reached, F.col("left") == F.col("node")).join(other, F.col("right") == F.col("_node")).where("component = _component")
+    walls = checkpoint(within.select("component", "left", "right", F.lit(False).alias("join")).distinct())
+    walled = walls.select("component").distinct()
+    free = reached.join(walled, "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("group"))
+    held = reached.join(walled, "component", "left_semi")
+    pairs = equivalences.select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct().join(held, F.col("left") == F.col("node")).select("component", "left", "right", F.lit(True).alias("join"))
 
     def merge(table: pd.DataFrame) -> pd.DataFrame:
         joins = table[table["join"]].sort_values(["left", "right"])
@@ -68,7 +75,7 @@ def constrained_union(equivalences: DataFrame, forbidden: DataFrame) -> DataFram
         return pd.DataFrame({"id": ids, "group": [group[i] for i in ids]})
 
     kind = dict(equivalences.dtypes)["left"]
-    return pairs.union(walls).groupBy("component").applyInPandas(merge, f"id {kind}, group {kind}")
+    return free.union(pairs.union(walls).groupBy("component").applyInPandas(merge, f"id {kind}, group {kind}"))
 
 
 def membership(holds: Column, known: Column, closed_world: bool) -> Column:

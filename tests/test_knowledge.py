@@ -131,3 +131,21 @@ def test_identity_and_storage_ids(spark):
     df = spark.createDataFrame([("i", "p"), ("i", "p"), ("i", "q"), ("j", "p")], "i string, c string")
     ids = sorted(r.storage_id for r in records.storage_ids(df, F.col("i"), F.col("c")).collect())
     assert len(set(ids)) == 4 and ids[-1] == "j" and sum(x.endswith("#2") for x in ids) == 1
+
+
+def test_constrained_union_against_brute_force(spark):
+    """Components with and without forbidden pairs, against ordered merges over all pairs at once."""
+    from lodegraph.operators import claims
+
+    rng = random.Random(9)
+    pairs = sorted({tuple(sorted((rng.randrange(60), rng.randrange(60)))) for _ in range(45)} - {(i, i) for i in range(60)})
+    apart = [(rng.randrange(60), rng.randrange(60)) for _ in range(25)]
+    group = {i: {i} for p in pairs for i in p}
+    for a, b in pairs:
+        if group[a] is not group[b] and not any((x in group[a] and y in group[b]) or (y in group[a] and x in group[b]) for x, y in apart):
+            merged = group[a] | group[b]
+            for i in merged:
+                group[i] = merged
+    df = lambda rows: spark.createDataFrame(rows, "left long, right long")
+    found = {r.id: r.group for r in claims.constrained_union(df(pairs), df(apart)).collect()}
+    assert found == {i: min(g) for i, g in group.items()}
