@@ -7,17 +7,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def candidates(targets: DataFrame, target: str, target_key: str, most: int = 25) -> DataFrame:
+    """Rows (_key, n_candidates, _first): per key the count of distinct targets and the first `most`, ranked before they are collected."""
+    pairs = targets.where(F.col(target_key).isNotNull()).select(F.col(target_key).alias("_key"), F.col(target).alias("_target")).distinct()
+    counted = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n_candidates"))
+    ranked = pairs.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_target"))).where(F.col("_nth") <= most)
+    return ranked.groupBy("_key").agg(F.array_sort(F.collect_list("_target")).alias("_first")).join(counted, "_key")
+
+
 def resolve(refs: DataFrame, targets: DataFrame, ref_id: str, key: str, target: str, target_key: str, most: int = 25) -> DataFrame:
     """Rows (ref_id, status, target, n_candidates, candidates): unresolved, resolved or ambiguous.
 
     Targets are grouped by key before the join, so a key that very many references hold isn't
-    multiplied by its targets. The count holds all; the list holds the first `most`, which are
-    ranked before they are collected, so no key gathers more.
+    multiplied by its targets. The count holds all; the list holds the first `most`.
     """
-    pairs = targets.where(F.col(target_key).isNotNull()).select(F.col(target_key).alias("_key"), F.col(target).alias("_target")).distinct()
-    counted = pairs.groupBy("_key").agg(F.count(F.lit(1)).alias("n_candidates"))
-    ranked = pairs.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_target"))).where(F.col("_nth") <= most)
-    listed = ranked.groupBy("_key").agg(F.array_sort(F.collect_list("_target")).alias("_first")).join(counted, "_key")
+    listed = candidates(targets, target, target_key, most)
     joined = refs.join(listed, F.col(key) == F.col("_key"), "left")
     n = F.coalesce("n_candidates", F.lit(0))
     return joined.select(
