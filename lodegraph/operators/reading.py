@@ -22,11 +22,11 @@ SCREENS = {
 def read_span(texts: DataFrame, facts: DataFrame, key: str, fact: str, at: str, before: int, after: int, text: str = "text") -> DataFrame:
     """Rows (key, fact, line, line_end, span, clipped): the lines around each fact's line, whole lines up to both bounds.
 
-    The first line is given whole whatever its length. A fact beyond the text has a null span.
+    The first line is given whole whatever its length. A fact whose line the text doesn't have gets a null span.
     """
     wide = facts.select(key, fact, F.col(at).cast("int").alias("_at")).join(texts.select(key, F.split(F.coalesce(text, F.lit("")), "\n", -1).alias("_lines")), key)
     first = F.greatest(F.col("_at") - before, F.lit(1))
-    wanted = F.greatest(F.least(F.col("_at") + after, F.size("_lines")) - first + 1, F.lit(0))
+    wanted = F.when(F.col("_at").between(1, F.size("_lines")), F.least(F.col("_at") + after, F.size("_lines")) - first + 1).otherwise(0)
     taken = wide.withColumn("line", first).withColumn("_wanted", wanted).withColumn("_taken", F.slice("_lines", F.col("line"), F.least(F.col("_wanted"), F.lit(SPAN_LINES)))).drop("_lines")
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("open"))
 

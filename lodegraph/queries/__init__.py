@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodegraph.queries import evidence, knowledge, ledgers, pages, star, surveys, tables
+from lodegraph.queries import evidence, knowledge, ledgers, pages, selection, star, surveys, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**star.QUERIES, **tables.QUERIES, **evidence.QUERIES, **pages.QUERIES, **knowledge.QUERIES, **surveys.QUERIES, **ledgers.QUERIES}
-ORACLE_SQL: dict[str, str] = {**star.ORACLE_SQL, **tables.ORACLE_SQL, **evidence.ORACLE_SQL, **pages.ORACLE_SQL, **knowledge.ORACLE_SQL, **surveys.ORACLE_SQL, **ledgers.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**star.QUERIES, **tables.QUERIES, **evidence.QUERIES, **pages.QUERIES, **knowledge.QUERIES, **surveys.QUERIES, **ledgers.QUERIES, **selection.QUERIES}
+ORACLE_SQL: dict[str, str] = {**star.ORACLE_SQL, **tables.ORACLE_SQL, **evidence.ORACLE_SQL, **pages.ORACLE_SQL, **knowledge.ORACLE_SQL, **surveys.ORACLE_SQL, **ledgers.ORACLE_SQL, **selection.ORACLE_SQL}
