@@ -62,14 +62,13 @@ def located(rows: DataFrame, text: str, quote: str) -> DataFrame:
     there is one; several are ambiguous. Null and empty quotes are missing.
     """
     ways = [("exact", lambda c: c), ("whitespace", _blanks), ("markup", _plain), ("case", lambda c: F.lower(_plain(c)))]
-    counted = rows
-    for name, fold in ways:
-        counted = counted.withColumn(f"_{name}", F.coalesce(_count(fold(F.col(text)), fold(F.col(quote))), F.lit(0)))
+    folded = rows.select("*", *[fold(F.col(c)).alias(f"_{part}_{name}") for name, fold in ways for c, part in ((text, "t"), (quote, "q"))])
+    counted = folded.select("*", *[F.coalesce(_count(F.col(f"_t_{name}"), F.col(f"_q_{name}")), F.lit(0)).alias(f"_{name}") for name, _ in ways])
     hit = lambda name: F.col(f"_{name}") > 0
     n = F.coalesce(*[F.when(hit(name), F.col(f"_{name}")) for name, _ in ways], F.lit(0))
-    place = F.coalesce(*[F.when(hit(name), F.when(F.col(f"_{name}") == 1, F.instr(fold(F.col(text)), fold(F.col(quote)))).otherwise(0)) for name, fold in ways])
+    place = F.coalesce(*[F.when(hit(name), F.when(F.col(f"_{name}") == 1, F.instr(F.col(f"_t_{name}"), F.col(f"_q_{name}"))).otherwise(0)) for name, _ in ways])
     method = F.coalesce(*[F.when(hit(name), F.lit(name)) for name, _ in ways], F.lit("missing"))
-    return counted.withColumn("method", method).withColumn("n_places", n).withColumn("place", F.nullif(place, F.lit(0))).drop(*[f"_{name}" for name, _ in ways])
+    return counted.withColumn("method", method).withColumn("n_places", n).withColumn("place", F.nullif(place, F.lit(0))).drop(*[f"{part}{name}" for name, _ in ways for part in ("_", "_t_", "_q_")])
 
 
 def screened(text: Column) -> Column:
