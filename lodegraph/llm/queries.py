@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding, suffix_dedup
+from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding, suffix_dedup, window_packing
 from lodegraph.llm.common import documents
 
 
@@ -55,7 +55,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup)}
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack_windows(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup, op13_window_packing)}
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
