@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, secret_scan, sharding, suffix_dedup, window_packing
+from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, run_detection, secret_scan, sharding, suffix_dedup, window_packing
 from lodegraph.llm.common import documents
 
 
@@ -55,11 +55,34 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _rewritten(docs: DataFrame) -> DataFrame:
+    """Makes each tenth text periodic from some word on, as the query's contract has it; words without an id stay."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    docs = docs.select("doc_id", "text", h.alias("_h"), g.alias("_g"), F.when(h % 10 == 0, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0)).alias("_words"))
+    n = F.size("_words")
+    a = F.pmod(F.col("_g"), F.greatest(n, F.lit(1))).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("_g") % 8))).cast("int")
+    block = F.slice("_words", a + 1, F.least(p, n - a))
+    repeated = F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int")))
+    words = F.slice(F.concat(F.slice("_words", F.lit(1), a), repeated), F.lit(1), n)
+    return docs.select("doc_id", F.when((F.col("_h") % 10 == 0) & (n > 0), F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_run_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = run_detection.detect(_rewritten(documents(spark, sf_dir)))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"], F.lit("\n"))), "")
+    listed = F.replace(listed, F.lit(",\n"), F.lit("\n"))
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *best, milli, F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.pack_windows(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup, op13_window_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup, op12_run_detection, op13_window_packing)}
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
