@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.llm import decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, run_detection, secret_scan, sharding, suffix_dedup, window_packing
+from lodegraph.llm import conversation_repair, decontamination, jaccard_join, language_id, line_dedup, packing, pii, quality_rules, run_detection, secret_scan, sharding, suffix_dedup, window_packing
 from lodegraph.llm.common import documents
 
 
@@ -55,6 +55,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dropped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Drops, empties, cuts, repeats and reroles one row in twenty each, as the query's contract has it; a dropped row still names its conversation."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn")).cast("binary")) % 20
+    gone, text, role = fate == 0, spaced("text"), spaced("role")
+    return rows.select(
+        "conv_id", F.when(~gone, F.col("turn")).alias("turn"),
+        F.when(gone, "").when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(gone | (fate == 1), "").when(fate == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(gone, 0).when(fate == 3, 2).otherwise(1).alias("copies"),
+    )
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def _rewritten(docs: DataFrame) -> DataFrame:
     """Makes each tenth text periodic from some word on, as the query's contract has it; words without an id stay."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -82,7 +99,7 @@ def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_packing.pack_windows(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup, op12_run_detection, op13_window_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_sharding, op4_suffix_dedup, op5_jaccard_join, op6_language_id, op7_packing, op8_decontamination, op9_pii, op10_line_dedup, op11_conversation_repair, op12_run_detection, op13_window_packing)}
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
