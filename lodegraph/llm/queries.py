@@ -103,7 +103,73 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+def _edit(state: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letter}', 'lines': {state}.lines || {line}}} END"
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a dynamic program that carries cost, audit and text of each state."""
+    line, told = "chr(10) || role || ':' || text", lambda role: f"chr(10) || '{role}:' || text"
+    keep = lambda s, initial: _edit(s, "more", "K", line, f"stays AND initial = '{initial}'")
+    rerole = lambda s, role: _edit(s, "1 + more", "R", told(role), "stays")
+    insert = lambda s, role: _edit(s, "5", "I", f"chr(10) || '{role}:'")
+    dropped = [_edit(f"s{q}", "2", "D") for q in range(4)]
+    n1 = _least(dropped[1], keep("s0", "s"))
+    n2 = _least(dropped[2], *(f(s, x) for s in ("s0", "s1", "s3") for f, x in ((keep, "u"), (rerole, "user"))))
+    n3 = _least(dropped[3], keep("s2", "a"), rerole("s2", "assistant"))
+    return rf"""
+        WITH RECURSIVE bits AS (
+            SELECT i AS byte, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+            UNION ALL SELECT byte, xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM bits WHERE k < 8
+        ), crc AS (
+            SELECT list(c ORDER BY byte) AS crcs FROM bits WHERE k = 8
+        ), keyed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+        ), fated AS (
+            SELECT keyed.*, xor(4294967295, list_reduce(list_transform(range(1, len(key) + 1), lambda i: ascii(key[i])::BIGINT), lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1]), 4294967295)) % 20 AS fate FROM keyed, crc
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM fated WHERE fate <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r,
+                   rtrim(text, {_SPACE}) AS bare
+            FROM damaged
+        ), judged AS (
+            SELECT conv_id, turn, role, text, r, left(role, 1) AS initial, bare = '' AS blank, bare <> '' AND min(r) OVER (PARTITION BY conv_id, role, text) < r AS duplicate,
+                   right(bare, 1) NOT IN ('.', '!', '?') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY r) AS before
+            FROM placed
+        ), ready AS (
+            SELECT *, NOT blank AND NOT duplicate AS stays, CASE WHEN cut THEN 5 ELSE 0 END AS more FROM judged
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE duplicate) AS duplicate,
+                   count(*) FILTER (WHERE stays AND cut) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(r) AS n
+            FROM ready GROUP BY conv_id
+        ), steps AS (
+            SELECT conv_id, 0::BIGINT AS r, {{'cost': 0, 'audit': '', 'lines': ''}} AS s0, NULL::STRUCT(cost INT, audit VARCHAR, lines VARCHAR) AS s1,
+                   {{'cost': 5, 'audit': 'I', 'lines': chr(10) || 'user:'}} AS s2, {{'cost': 10, 'audit': 'II', 'lines': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s3 FROM counted
+            UNION ALL
+            SELECT conv_id, r, s0, s1, s2, {_least("s3", insert("s2", "assistant"))} AS s3 FROM (
+                SELECT conv_id, r, s0, s1, {_least("s2", insert("s0", "user"), insert("s1", "user"), insert("s3", "user"))} AS s2, s3 FROM (
+                    SELECT s.conv_id, e.r, {dropped[0]} AS s0, {n1} AS s1, {n2} AS s2, {n3} AS s3
+                    FROM steps s JOIN ready e ON s.conv_id IS NOT DISTINCT FROM e.conv_id AND e.r = s.r + 1
+                )
+            )
+        ), ended AS (
+            SELECT c.*, {_least("s0", "s3")} AS best FROM counted c JOIN steps s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.r
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.lines, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
     "op5_jaccard_join": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x0b]+'), lambda w: w <> '') AS w FROM documents
