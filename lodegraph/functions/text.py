@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Words too common to tell names apart.
 COMMON_WORDS = ("and", "app", "common", "core", "data", "for", "lib", "main", "service", "src", "the", "with")
-#: Words that make the name of a key secret.
-SECRET_KEYS = ("api_key", "apikey", "passwd", "password", "secret", "token")
 #: Words that negate a predicate.
 NEGATIONS = ("cannot", "must not", "never", "no", "not", "without")
 #: Path segments that tell a class of provenance; the first match decides.
@@ -62,14 +60,21 @@ def segment_class(path: Column, classes: tuple, default: str) -> Column:
     return out.otherwise(default)
 
 
-#: A key: a name, perhaps quoted, one of whose parts is a secret word; then an equals sign or a colon.
-SECRET_KEY = rf"""(?i)([\w.-]*(?:{'|'.join(SECRET_KEYS)})[\w.-]*["']?[ \t]*[=:][ \t]*)"""
+_BLANKS = r"[ \t\x0b\f\r]*"
+#: A word that names a secret, perhaps a closing quote, then an equals sign or a colon.
+SECRET_KEY = rf"""(?i)((?:password|passwd|secret|api[_-]?key|token)["']?{_BLANKS}[=:]{_BLANKS})"""
+#: What the first pass puts around a value: two code points that never stand for characters.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 
 
 def withheld(text: Column) -> Column:
-    """Quoted values after a secret-named key replaced, whichever quote they have; the line structure stays."""
-    double = F.regexp_replace(text, SECRET_KEY + r'"[^"\n]+"', '$1"[withheld]"')
-    return F.regexp_replace(double, SECRET_KEY + r"'[^'\n]+'", "$1'[withheld]'")
+    """Quoted values after a secret-named key become '[redacted]', whichever quotes they have; an unquoted value names where a secret comes from and stays, and so does the line structure.
+
+    A value ends at the first quote of any kind, or, unquoted, before a blank, comma, semicolon or closing brace; a key inside a value isn't one.
+    Time is in proportion to the text.
+    """
+    marked = F.regexp_replace(text, SECRET_KEY + r"""(?:(["'`])[^"'`\n]*(["'`])|([^ \t\x0b\f\r\n,;}]+))""", f"$1$4{_OPEN}$2{_CLOSE}$3")
+    return F.regexp_replace(F.regexp_replace(marked, f"{_OPEN}[\"'`]{_CLOSE}[\"'`]", "'[redacted]'"), _OPEN + _CLOSE, "")
 
 
 def negative(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Comparison of propositions in ten classes, and verdicts from signals.
 
-A proposition has objects (an array of tokens), polarity, conformance, modality, scope, validity,
-term and referent. Propositions are compared inside buckets of a bounded size only; larger buckets
+A proposition has objects (an array of tokens), polarity, modality, scope, validity, the subject's term and
+whether its referent is resolved. Propositions are compared inside buckets of a bounded size only; larger buckets
 are returned by `oversize`, never silently left out.
 """
 
@@ -10,59 +10,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.functions.text import surface_fold
 from lodegraph.operators.claims import BUCKET_CAP, bucket_sizes
 
 CLASSES = (
-    "incomparable", "referent_ambiguity", "direct_conflict", "conformance_divergence", "modality_divergence", "scope_divergence", "temporal_divergence", "terminology_variant",
-    "equivalent", "compatible_partial",
+    "equivalent_proposition", "compatible_partial", "direct_conflict", "scope_divergence", "temporal_divergence", "modality_divergence", "conformance_gap_candidate", "referent_ambiguity",
+    "terminology_conflict", "incomparable",
 )
-FIELDS = ("polarity", "conformance", "modality", "scope", "validity", "term", "referent")
+FIELDS = ("polarity", "modality", "scope", "validity", "term", "resolved")
+#: The polarity that opposes every other, and the two modalities of a documented requirement and a factual statement.
+NEGATED, CONFORMANCE = "negated", ("normative", "descriptive")
+
+
+def canonical(term: Column) -> Column:
+    return F.regexp_replace(F.lower(term), "[^a-z0-9]+", "")
 
 
 def initials(term: Column) -> Column:
-    return F.array_join(F.transform(F.filter(F.split(F.lower(term), r"[\s_-]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 1)), "")
+    """First letters of a term of two word parts or more, else null."""
+    parts = F.filter(F.split(F.lower(term), "[^a-z0-9]+"), lambda w: w != "")
+    return F.when(F.size(parts) >= 2, F.array_join(F.transform(parts, lambda w: F.substring(w, 1, 1)), ""))
 
 
 def variant_of(a: Column, fa: Column, ia: Column, b: Column, fb: Column, ib: Column) -> Column:
-    """`term_variant` of terms that come with their folded forms and initials, which a join would compute again for each pair."""
-    prefix = lambda x, y: (F.length(x) >= 3) & F.startswith(y, x)
-    short = lambda x, y: (F.length(x) >= 2) & (x == y)
-    return (a != b) & ((fa == fb) | prefix(fa, fb) | prefix(fb, fa) | short(fa, ib) | short(fb, ia))
+    """`term_variant` of terms that come with their canonical forms and initials, which a join would compute again for each pair."""
+    prefix = (F.length(fa) >= 3) & (F.length(fb) >= 3) & (F.startswith(fa, fb) | F.startswith(fb, fa))
+    acronym = F.coalesce(fa == ib, F.lit(False)) | F.coalesce(fb == ia, F.lit(False))
+    return F.coalesce((a != b) & (fa != "") & (fb != "") & ((fa == fb) | prefix | acronym), F.lit(False))
 
 
 def term_variant(a: Column, b: Column) -> Column:
-    """Different terms for one thing: equal when folded, one a prefix (three or more characters) of the other, or its acronym."""
-    return variant_of(a, surface_fold(a), initials(a), b, surface_fold(b), initials(b))
+    """Different terms for one thing: equal when only letters and digits count, one a prefix of the other (both of three or more), or the acronym of its word parts."""
+    return variant_of(a, canonical(a), initials(a), b, canonical(b), initials(b))
 
 
 def relation_class(left: str = "l_", right: str = "r_") -> Column:
     """The class of a pair of `prepared` propositions of one bucket; the first rule that holds decides."""
     c = lambda side, f: F.col(side + f)
     differ = lambda f: ~c(left, f).eqNullSafe(c(right, f))
+    either = lambda f, value: F.coalesce(c(left, f) == value, F.lit(False)) | F.coalesce(c(right, f) == value, F.lit(False))
     lo, ro = c(left, "objects"), c(right, "objects")
     common, smaller = F.size(F.array_intersect(lo, ro)), F.least(F.size(lo), F.size(ro))
-    same = (common == F.size(lo)) & (common == F.size(ro))
-    unresolved = c(left, "referent").isNull() | c(right, "referent").isNull()
-    variant, referents = variant_of(*(c(side, f) for side in (left, right) for f in ("term", "folded", "initials"))), differ("referent")
+    equal = (common == F.size(lo)) & (common == F.size(ro))
+    disjoint = ~equal & ((common == 0) | (common * 2 < smaller))
+    unresolved = ~(F.coalesce(c(left, "resolved"), F.lit(False)) & F.coalesce(c(right, "resolved"), F.lit(False)))
+    variant = unresolved & variant_of(*(c(side, f) for side in (left, right) for f in ("term", "canonical", "initials")))
+    ambiguous = unresolved & differ("term")
     return (
-        F.when((common == 0) & unresolved, "referent_ambiguity")
-        .when(common == 0, "incomparable")
-        .when(differ("polarity"), "direct_conflict")
-        .when(same & differ("conformance"), "conformance_divergence")
-        .when(same & differ("modality"), "modality_divergence")
-        .when(same & differ("scope"), "scope_divergence")
-        .when(same & differ("validity"), "temporal_divergence")
-        .when((same | (common * 2 >= smaller)) & variant, "terminology_variant")
-        .when((same | (common * 2 >= smaller)) & referents, "referent_ambiguity")
-        .when(same, "equivalent")
-        .when(common * 2 >= smaller, "compatible_partial")
-        .otherwise("incomparable")
+        F.when(disjoint & ambiguous, "referent_ambiguity")
+        .when(disjoint, "incomparable")
+        .when(differ("polarity") & either("polarity", NEGATED), "direct_conflict")
+        .when(equal & either("modality", CONFORMANCE[0]) & either("modality", CONFORMANCE[1]), "conformance_gap_candidate")
+        .when(equal & differ("modality"), "modality_divergence")
+        .when(equal & differ("scope"), "scope_divergence")
+        .when(equal & differ("validity"), "temporal_divergence")
+        .when(variant, "terminology_conflict")
+        .when(ambiguous, "referent_ambiguity")
+        .when(equal, "equivalent_proposition")
+        .otherwise("compatible_partial")
     )
 
 
 def prepared(propositions: DataFrame) -> DataFrame:
-    return propositions.withColumn("objects", F.array_distinct("objects")).withColumn("folded", surface_fold(F.col("term"))).withColumn("initials", initials(F.col("term")))
+    return propositions.withColumn("objects", F.array_distinct("objects")).withColumn("canonical", canonical(F.col("term"))).withColumn("initials", initials(F.col("term")))
 
 
 def compared(propositions: DataFrame, bucket: str, cap: int = BUCKET_CAP) -> DataFrame:
@@ -70,7 +79,7 @@ def compared(propositions: DataFrame, bucket: str, cap: int = BUCKET_CAP) -> Dat
     fit = prepared(propositions).join(bucket_sizes(propositions, [bucket]).where(F.col("n") <= cap).select(bucket), bucket, "left_semi")
     parts = int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fit = fit.repartition(parts, bucket)  # few rows make many pairs, so small partitions mustn't be coalesced
-    side = lambda p: fit.select(bucket, F.col("id").alias(f"{p}id"), *[F.col(f).alias(p + f) for f in ("objects", "folded", "initials", *FIELDS)])
+    side = lambda p: fit.select(bucket, F.col("id").alias(f"{p}id"), *[F.col(f).alias(p + f) for f in ("objects", "canonical", "initials", *FIELDS)])
     return side("l_").join(side("r_"), bucket).where("l_id < r_id").select(bucket, F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), relation_class().alias("class"))
 
 

@@ -8,19 +8,16 @@ from pyspark.sql.window import Window
 
 from lodegraph.runtime import checkpoint
 
-#: Levels that a literal may be nested.
-MOST_LEVELS = 16
-
 
 def leaves(df: DataFrame, key: str, json: str) -> DataFrame:
     """Rows (key, path, value): every scalar of a JSON text with its dotted path; array elements share their array's path.
 
-    One variant level is exploded at a time, for all rows together; text that isn't JSON has no leaf.
+    One variant level is exploded at a time, for all rows together, until no value is nested; text that isn't JSON has no leaf.
     """
     spark = df.sparkSession
     level = df.select(F.col(key).alias("_k"), F.lit("").alias("path"), F.try_parse_json(json).alias("value")).where("value IS NOT NULL")
     found = None
-    for _ in range(MOST_LEVELS):
+    while True:
         level = checkpoint(level)
         kind = F.schema_of_variant("value")
         nested = kind.rlike("^(OBJECT|ARRAY)")

@@ -10,39 +10,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodegraph.operators.graph import both_ways
-from lodegraph.runtime import checkpoint
+from lodegraph.runtime import broadcast_if_small, checkpoint
 
 
 def bounded_walk(edges: DataFrame, starts: DataFrame, relations: tuple[str, ...], depth: int, frontier: int = 32, neighbours: int = 48, directed: bool = False) -> DataFrame:
-    """Rows (source, node, depth, relation, withheld) reached over `relations`.
+    """Rows (source, node, depth, position, path, edges, cut) of every node that a walk over `relations` visits.
 
-    A node passes on its first `neighbours` neighbours by ascending degree, relation and id; a level
-    keeps the first `frontier` new nodes of a source in that order, and a node counts on first arrival.
-    `withheld` is what the bounds kept back at that level, the same on each of its rows.
+    A node of the frontier lists its first `neighbours` edges by the other end's degree, relation and id (then edge
+    id). Each listed node that the source hasn't met is visited, from the first frontier node that lists it; `position` is its place
+    among the level's visits, by frontier place and place in the list. The first `frontier` visits of a level are expanded further; the others stay
+    visited, and `cut` says on the level's rows that there are some. `path` and `edges` are the ids from the source to the node.
     """
     wanted = edges.where(F.col("relation").isin(*relations))
     ends = both_ways(wanted).where("direction = 'out'") if directed else both_ways(wanted)
-    links = ends.select("node", "other", "relation").where("node <> other").distinct()
-    degree = both_ways(wanted).groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("degree"))
-    order = ("degree", "relation", "other")
-    ranked = links.join(degree, "other").withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy(*order)))
-    listed = checkpoint(ranked.where(F.col("nth") <= neighbours).select(F.col("node").alias("at"), "other", "relation", "degree"))
-    seen = checkpoint(starts.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct())
-    front, found = seen, None
+    degree = both_ways(edges).groupBy(F.col("node").alias("other")).agg(F.count(F.lit(1)).alias("degree"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("degree", "relation", "other", "edge_id"))
+    first = starts.select(F.col("node_id").alias("source"), F.col("node_id").alias("node")).distinct()
+    front = checkpoint(first.select("source", "node", F.lit(1).alias("position"), F.array("node").alias("path"), F.array().cast("array<string>").alias("edges")))
+    seen, found = front.select("source", "node"), None
     for level in range(1, depth + 1):
-        reached = front.select("source", "node").join(listed, F.col("node") == F.col("at")).select("source", F.col("other").alias("node"), "relation", "degree").join(seen, ["source", "node"], "left_anti")
-        first = reached.groupBy("source", "node").agg(F.min(F.struct("degree", "relation")).alias("by"))
-        nth = F.row_number().over(Window.partitionBy("source").orderBy("by.degree", "by.relation", "node"))
-        total = first.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-        kept = first.withColumn("nth", nth).where(F.col("nth") <= frontier).join(total, "source")
-        front = checkpoint(kept.select("source", "node", F.lit(level).alias("depth"), F.col("by.relation").alias("relation"), F.greatest(F.col("n") - frontier, F.lit(0)).alias("withheld")))
-        found = front if found is None else found.union(front)
-        if front.isEmpty():
+        asked = broadcast_if_small(checkpoint(front.select("node").distinct()))
+        listed = ends.join(asked, "node", "left_semi").join(degree, "other").select(F.col("node").alias("at"), "other", "edge_id", nth.alias("nth")).where(F.col("nth") <= neighbours)
+        reached = front.join(listed, F.col("node") == F.col("at")).select("source", F.col("other").alias("node"), F.struct("position", "nth", "path", "edges", "edge_id").alias("by"))
+        met = reached.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("by").alias("by"))
+        order = Window.partitionBy("source").orderBy("by.position", "by.nth")
+        visits = met.withColumn("position", F.row_number().over(order)).withColumn("cut", F.count(F.lit(1)).over(Window.partitionBy("source")) > frontier)
+        visits = checkpoint(visits.select("source", "node", F.lit(level).alias("depth"), "position", F.array_append("by.path", F.col("node")).alias("path"), F.array_append("by.edges", F.col("by.edge_id")).alias("edges"), "cut"))
+        found = visits if found is None else found.union(visits)
+        front = visits.where(F.col("position") <= frontier).select("source", "node", "position", "path", "edges")
+        if level == depth or front.isEmpty():
             break
-        seen = seen.union(front.select("source", "node"))
+        seen = seen.union(visits.select("source", "node"))
     return found
 
 
+def provenance(nodes: DataFrame, edges: DataFrame, starts: DataFrame, relations: tuple[str, ...], target_kinds: tuple[str, ...], depth: int = 6, limit: int = 12, frontier: int = 32, neighbours: int = 48) -> DataFrame:
+    """Rows (source, target, kind, rank, depth, path, edges, truncated): the first `limit` nodes of the target kinds that a bounded walk visits, with the edges that justify them.
+
+    `truncated` says that there are more targets, or that a level before had more visits than are expanded.
+    """
+    walked = bounded_walk(edges, starts, relations, depth, frontier, neighbours)
+    cut = walked.groupBy("source").agg(F.max("cut").alias("cut"))
+    wanted = nodes.where(F.col("kind").isin(*target_kinds)).select(F.col("node_id").alias("node"), "kind")
+    met = walked.drop("cut").join(wanted, "node")
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("depth", "position"))).where(F.col("rank") <= limit + 1)
+    more = F.max("rank").over(Window.partitionBy("source")) > limit
+    kept = ranked.withColumn("more", more).where(F.col("rank") <= limit).join(cut, "source")
+    return kept.select("source", F.col("node").alias("target"), "kind", "rank", "depth", "path", "edges", (F.col("more") | F.col("cut")).alias("truncated"))
+
+
 def nearest_root(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """Rows (node, depth): hops from the nearest of all roots together; a row per node, whatever the number of roots."""
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct()
@@ -110,32 +126,32 @@ def propagated(edges: DataFrame, anchors: DataFrame, nodes: DataFrame) -> DataFr
     return joined.select("node_id", F.when(n == 1, F.col("first")).alias("domain"), F.when(n == 1, "assigned").when(n > 1, "ambiguous").otherwise("no_anchor").alias("state"), n.alias("n_domains"))
 
 
-def sampled_betweenness(edges: DataFrame, sources: int = 200, depth: int = 12) -> DataFrame:
+def sampled_betweenness(nodes: DataFrame, edges: DataFrame, sources: int = 200) -> DataFrame:
     """Rows (node, score): shortest-path dependencies on each node from the first `sources` ids, scaled by nodes / sources.
 
-    Forward levels count shortest paths; backward levels pass dependencies up. Both are joins on
-    (source, node); only the first ids and the node count come to the driver.
+    Paths follow edges from src to dst, and each parallel edge is a path of its own; edges with an unknown end don't
+    count. Forward levels count shortest paths until no node is new; backward levels pass dependencies up. Both are joins
+    on (source, node); only the node count comes to the driver.
     """
-    pairs = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
-    links = checkpoint(pairs)
-    nodes = links.select(F.col("src").alias("node")).distinct()
-    total = nodes.count()
-    starts = nodes.orderBy("node").limit(sources)
-    front = checkpoint(starts.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("depth")))
-    levels, found = [front], front
-    for level in range(1, depth + 1):
-        moved = front.join(links, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
-        front = checkpoint(moved.join(found, ["source", "node"], "left_anti").select("source", "node", "paths", F.lit(level).alias("depth")))
+    known = checkpoint(nodes.select(F.col("node_id").alias("node")).distinct())
+    total = known.count()
+    inside = edges.where("src <> dst").join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    links = checkpoint(inside.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times")))
+    front = checkpoint(known.orderBy("node").limit(sources).select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths")))
+    levels, found = [front], front.select("source", "node")
+    while True:
+        moved = front.join(links, F.col("node") == F.col("src")).groupBy("source", F.col("dst").alias("node")).agg(F.sum(F.col("paths") * F.col("times")).alias("paths"))
+        front = checkpoint(moved.join(found, ["source", "node"], "left_anti"))
         if front.isEmpty():
             break
         levels.append(front)
-        found = found.union(front)
+        found = found.union(front.select("source", "node"))
     below, scores = levels[-1].withColumn("passed", F.lit(0.0)), None
     for upper in reversed(levels[:-1]):
         child = below.select("source", F.col("node").alias("dst"), ((1 + F.col("passed")) / F.col("paths")).alias("share"))
-        given = upper.join(links, F.col("node") == F.col("src")).join(child, ["source", "dst"]).groupBy("source", "node").agg(F.sum("share").alias("share"))
-        below = checkpoint(upper.join(given, ["source", "node"], "left").select("source", "node", "paths", "depth", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("passed")))
+        given = upper.join(links, F.col("node") == F.col("src")).join(child, ["source", "dst"]).groupBy("source", "node").agg(F.sum(F.col("share") * F.col("times")).alias("share"))
+        below = checkpoint(upper.join(given, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("passed")))
         scores = below if scores is None else scores.union(below)
     own = (scores if scores is not None else below).where("source <> node").groupBy("node").agg(F.sum("passed").alias("sum"))
     scale = total / max(1, min(sources, total))
-    return nodes.join(own, "node", "left").select("node", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("score"))
+    return known.join(own, "node", "left").select("node", F.round(F.coalesce("sum", F.lit(0.0)) * scale, 6).alias("score"))

@@ -220,9 +220,9 @@ _WILSON = "(p + 3.841458820694124 / (2 * n) {} 1.959963984540054 * sqrt(p * (1 -
 _GENERATION = "SELECT o_custkey AS id, CASE WHEN count(*) >= 5 THEN 'member' ELSE 'abstain' END AS outcome, count(*) AS n FROM orders WHERE o_orderdate {} TIMESTAMP '1998-01-01' GROUP BY 1"
 
 ORACLE_SQL = {
-    "secret_withholding": r"""SELECT doc_id, sha256(out) AS sha256, out <> text AS withheld FROM (SELECT doc_id, coalesce(text, '') AS text,
-        regexp_replace(regexp_replace(coalesce(text, ''), '(?i)([\w.-]*(?:api_key|apikey|passwd|password|secret|token)[\w.-]*["'']?[ \t]*[=:][ \t]*)"[^"\n]+"', '\1"[withheld]"', 'g'),
-            '(?i)([\w.-]*(?:api_key|apikey|passwd|password|secret|token)[\w.-]*["'']?[ \t]*[=:][ \t]*)''[^''\n]+''', '\1''[withheld]''', 'g') AS out FROM documents)""",
+    "secret_withholding": r"""SELECT doc_id, sha256(out) AS sha256, out <> text AS withheld FROM (SELECT doc_id, text, regexp_replace(regexp_replace(marked, chr(64976) || '["''`]' || chr(64977) || '["''`]', '''[redacted]''', 'g'), chr(64976) || chr(64977), '', 'g') AS out
+        FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '(?i)((?:password|passwd|secret|api[_-]?key|token)["'']?[ \t\x0b\f\r]*[=:][ \t\x0b\f\r]*)(?:(["''`])[^"''`\n]*(["''`])|([^ \t\x0b\f\r\n,;}]+))',
+            '\1\4' || chr(64976) || '\2' || chr(64977) || '\3', 'g') AS marked FROM documents))""",
     "language_census": "SELECT lang, source, count(*) AS n_docs, cast(sum(len(string_split(coalesce(text, ''), chr(10)))) AS BIGINT) AS n_lines, cast(sum(strlen(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents GROUP BY lang, source",
     "token_postings": f"WITH {_POSTED} SELECT doc_id, count(*) AS n_terms, cast(sum(n) AS BIGINT) AS n_tokens, max(n) AS most FROM posted GROUP BY doc_id",
     "doc_frequency_ambient": f"WITH {_POSTED} SELECT term, df FROM df WHERE df > (SELECT most FROM bound)",

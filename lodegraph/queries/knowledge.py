@@ -35,9 +35,9 @@ def _propositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_partkey").alias("bucket"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.array("l_returnflag", F.concat(F.lit("s"), "l_linestatus"), F.concat(F.lit("q"), F.floor(F.col("l_quantity") / 20).cast("string"))).alias("objects"),
-        (F.col("l_discount") >= 0.09).alias("polarity"), (F.col("l_tax") >= 0.07).alias("conformance"), (F.col("l_linenumber") <= 6).alias("modality"),
-        F.floor(F.col("l_quantity") / 25).alias("scope"), F.year("l_shipdate").alias("validity"), F.get(terms, (F.col("l_suppkey") % 4).cast("int")).alias("term"),
-        F.when(F.col("l_suppkey") % 10 != 0, F.col("l_suppkey") % 2).alias("referent"),
+        F.when(F.col("l_discount") >= 0.09, comparison.NEGATED).when(F.col("l_tax") >= 0.07, "hedged").otherwise("affirmed").alias("polarity"),
+        F.when(F.col("l_linenumber") <= 3, comparison.CONFORMANCE[0]).when(F.col("l_linenumber") <= 5, comparison.CONFORMANCE[1]).otherwise("permissive").alias("modality"),
+        F.floor(F.col("l_quantity") / 25).alias("scope"), F.year("l_shipdate").alias("validity"), F.get(terms, (F.col("l_suppkey") % 4).cast("int")).alias("term"), (F.col("l_suppkey") % 10 < 6).alias("resolved"),
     )
 
 
@@ -76,9 +76,10 @@ def plan_realization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provenance_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three bounded levels from every supplier over parts and the orders that take them."""
-    starts = star.nodes(spark, sf_dir).where("kind = 'Supplier'").select("node_id")
-    return walks.bounded_walk(star.edges(spark, sf_dir, ("emits", "depends_on")), starts, ("emits", "depends_on"), 3)
+    """From every supplier the first orders that its parts lead to, within three bounded levels."""
+    nodes, edges = star.nodes(spark, sf_dir), star.edges(spark, sf_dir, ("emits", "depends_on"))
+    found = walks.provenance(nodes, edges, nodes.where("kind = 'Supplier'").select("node_id"), ("emits", "depends_on"), ("Order",), depth=3)
+    return found.select("source", "target", "rank", "depth", F.array_join("path", " ").alias("path"), F.array_join("edges", " ").alias("edges"), "truncated")
 
 
 def ownership_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +126,10 @@ def domain_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampled betweenness of regions, nations, suppliers and customers."""
-    return walks.sampled_betweenness(star.edges(spark, sf_dir, ("contains",)), 200)
+    """Sampled betweenness of regions, nations, suppliers and parts; each line of an order is an edge from its supplier to its part."""
+    nodes = star.nodes(spark, sf_dir).where("kind IN ('Region', 'Nation', 'Supplier', 'Part')")
+    sold = table(spark, sf_dir, "lineitem").select(star.node_id("Supplier", "l_suppkey").alias("src"), star.node_id("Part", "l_partkey").alias("dst"))
+    return walks.sampled_betweenness(nodes, star.edges(spark, sf_dir, ("contains",)).select("src", "dst").union(sold), 200)
 
 
 def literal_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +177,9 @@ QUERIES = {
 }
 
 _PROPOSITIONS = """
-    p AS (SELECT l_partkey AS bucket, l_orderkey * 10 + l_linenumber AS id, [l_returnflag, 's' || l_linestatus, 'q' || cast(floor(l_quantity / 20) AS BIGINT)] AS objects, l_discount >= 0.09 AS polarity, l_tax >= 0.07 AS conformance,
-        l_linenumber <= 6 AS modality, floor(l_quantity / 25) AS scope, year(l_shipdate) AS validity, ['Net Price', 'net_price', 'NP', 'gross'][l_suppkey % 4 + 1] AS term, CASE WHEN l_suppkey % 10 <> 0 THEN l_suppkey % 2 END AS referent FROM lineitem),
+    p AS (SELECT l_partkey AS bucket, l_orderkey * 10 + l_linenumber AS id, [l_returnflag, 's' || l_linestatus, 'q' || cast(floor(l_quantity / 20) AS BIGINT)] AS objects,
+        CASE WHEN l_discount >= 0.09 THEN 'negated' WHEN l_tax >= 0.07 THEN 'hedged' ELSE 'affirmed' END AS polarity, CASE WHEN l_linenumber <= 3 THEN 'normative' WHEN l_linenumber <= 5 THEN 'descriptive' ELSE 'permissive' END AS modality,
+        floor(l_quantity / 25) AS scope, year(l_shipdate) AS validity, ['Net Price', 'net_price', 'NP', 'gross'][l_suppkey % 4 + 1] AS term, l_suppkey % 10 < 6 AS resolved FROM lineitem),
     sizes AS (SELECT bucket, count(*) AS n, cast(count(*) * (count(*) - 1) / 2 AS BIGINT) AS pairs FROM p GROUP BY bucket)"""
 _SIGNALS = """
     l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
@@ -184,10 +188,10 @@ _SIGNALS = """
 
 def _walk_level(level: int) -> str:
     seen = " UNION ALL ".join(f"SELECT source, node FROM l{k}" for k in range(level))
-    return f"""l{level} AS (SELECT source, node, {level} AS depth, relation, greatest(n - 32, 0) AS withheld FROM (
-        SELECT *, row_number() OVER (PARTITION BY source ORDER BY degree, relation, node) AS nth, count(*) OVER (PARTITION BY source) AS n FROM (
-            SELECT source, other AS node, min(degree) AS degree, min(g.relation) AS relation FROM l{level - 1} f JOIN listed g ON f.node = g.node GROUP BY source, other)
-        WHERE (source, node) NOT IN ({seen})) WHERE nth <= 32)"""
+    return f"""l{level} AS (SELECT source, node, row_number() OVER (PARTITION BY source ORDER BY place, nth) AS position, {level} AS depth, path || ' ' || node AS path, edges || CASE edges WHEN '' THEN '' ELSE ' ' END || edge_id AS edges,
+            count(*) OVER (PARTITION BY source) > 32 AS cut FROM (
+        SELECT source, other AS node, f.position AS place, nth, path, edges, edge_id, row_number() OVER (PARTITION BY source, other ORDER BY f.position, nth) AS again FROM l{level - 1} f JOIN listed g ON f.node = g.node
+        WHERE f.position <= 32 AND (source, other) NOT IN ({seen})) WHERE again = 1)"""
 
 
 def _identity(*parts: str) -> str:
@@ -202,12 +206,12 @@ ORACLE_SQL = {
             UNION ALL SELECT node_id, statuses, 'idle_or_asian', statuses IS NULL OR coalesce(r_name = 'ASIA', false) FROM c UNION ALL SELECT node_id, statuses, 'settled', coalesce(statuses = ['F', 'O'], false) FROM c)
         SELECT node_id, concept, CASE WHEN holds THEN 'member' WHEN statuses IS NOT NULL THEN 'not_member' ELSE 'abstain' END AS outcome FROM e""",
     "comparison_histogram": f"""WITH {_PROPOSITIONS}, pairs AS (
-            SELECT a.polarity <> b.polarity AS d_polarity, a.conformance <> b.conformance AS d_conformance, a.modality <> b.modality AS d_modality, a.scope <> b.scope AS d_scope, a.validity <> b.validity AS d_validity,
-                a.term <> b.term AND a.term <> 'gross' AND b.term <> 'gross' AS variant, a.referent IS DISTINCT FROM b.referent AS d_referent, a.referent IS NULL OR b.referent IS NULL AS unresolved, len(list_intersect(a.objects, b.objects)) AS common
+            SELECT a.polarity <> b.polarity AND 'negated' IN (a.polarity, b.polarity) AS opposed, a.modality <> b.modality AS d_modality, 'permissive' NOT IN (a.modality, b.modality) AS factual, a.scope <> b.scope AS d_scope, a.validity <> b.validity AS d_validity,
+                a.term <> b.term AS d_term, 'gross' NOT IN (a.term, b.term) AS alike, NOT a.resolved OR NOT b.resolved AS unresolved, len(list_intersect(a.objects, b.objects)) AS common
             FROM p a JOIN p b ON a.bucket = b.bucket AND a.id < b.id JOIN sizes s ON a.bucket = s.bucket WHERE s.n <= 40),
-        classed AS (SELECT CASE WHEN common = 0 THEN CASE WHEN unresolved THEN 'referent_ambiguity' ELSE 'incomparable' END WHEN d_polarity THEN 'direct_conflict'
-            WHEN common = 3 AND d_conformance THEN 'conformance_divergence' WHEN common = 3 AND d_modality THEN 'modality_divergence' WHEN common = 3 AND d_scope THEN 'scope_divergence' WHEN common = 3 AND d_validity THEN 'temporal_divergence'
-            WHEN common * 2 >= 3 AND variant THEN 'terminology_variant' WHEN common * 2 >= 3 AND d_referent THEN 'referent_ambiguity' WHEN common = 3 THEN 'equivalent' WHEN common * 2 >= 3 THEN 'compatible_partial' ELSE 'incomparable' END AS class FROM pairs)
+        classed AS (SELECT CASE WHEN common < 2 THEN CASE WHEN unresolved AND d_term THEN 'referent_ambiguity' ELSE 'incomparable' END WHEN opposed THEN 'direct_conflict'
+            WHEN common = 3 AND d_modality THEN CASE WHEN factual THEN 'conformance_gap_candidate' ELSE 'modality_divergence' END WHEN common = 3 AND d_scope THEN 'scope_divergence' WHEN common = 3 AND d_validity THEN 'temporal_divergence'
+            WHEN unresolved AND d_term THEN CASE WHEN alike THEN 'terminology_conflict' ELSE 'referent_ambiguity' END WHEN common = 3 THEN 'equivalent_proposition' ELSE 'compatible_partial' END AS class FROM pairs)
         SELECT class, count(*) AS n FROM classed GROUP BY class""",
     "oversize_buckets": f"WITH {_PROPOSITIONS} SELECT * FROM sizes WHERE n > 40",
     "signal_verdicts": f"WITH {_SIGNALS} SELECT lang, signal, count(*) AS n FROM s GROUP BY lang, signal",
@@ -216,11 +220,13 @@ ORACLE_SQL = {
     "plan_realization": """WITH h AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS new, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1998-01-01') AS old FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
         SELECT c_mktsegment, CASE WHEN new IS NULL THEN 'unknown' WHEN new > 0 AND new = old THEN 'implemented' WHEN new > 0 AND old > 0 THEN 'partial' WHEN new > 0 THEN 'diverged' WHEN old > 0 THEN 'removed' ELSE 'not_started' END AS state, count(*) AS n
         FROM customer LEFT JOIN h ON c_custkey = o_custkey GROUP BY 1, 2""",
-    "provenance_walk": f"""WITH {GRAPH_SQL}, w AS (SELECT * FROM edges WHERE relation IN ('emits', 'depends_on')), b AS (SELECT src AS node, dst AS other, relation FROM w UNION ALL SELECT dst, src, relation FROM w),
+    "provenance_walk": f"""WITH {GRAPH_SQL}, w AS (SELECT * FROM edges WHERE relation IN ('emits', 'depends_on')), b AS (SELECT src AS node, dst AS other, relation, edge_id FROM w UNION ALL SELECT dst, src, relation, edge_id FROM w),
             degree AS (SELECT node AS other, count(*) AS degree FROM b GROUP BY 1), listed AS (
-                SELECT * FROM (SELECT node, other, relation, degree, row_number() OVER (PARTITION BY node ORDER BY degree, relation, other) AS nth FROM (SELECT DISTINCT * FROM b) JOIN degree USING (other)) WHERE nth <= 48),
-            l0 AS (SELECT node_id AS source, node_id AS node FROM nodes WHERE kind = 'Supplier'), {_walk_level(1)}, {_walk_level(2)}, {_walk_level(3)}
-        SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3""",
+                SELECT * FROM (SELECT node, other, edge_id, row_number() OVER (PARTITION BY node ORDER BY degree, relation, other) AS nth FROM b JOIN degree USING (other)) WHERE nth <= 48),
+            l0 AS (SELECT node_id AS source, node_id AS node, 1 AS position, 0 AS depth, node_id AS path, '' AS edges, false AS cut FROM nodes WHERE kind = 'Supplier'), {_walk_level(1)}, {_walk_level(2)}, {_walk_level(3)},
+            walked AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3), flags AS (SELECT source, bool_or(cut) AS cut FROM walked GROUP BY source),
+            ranked AS (SELECT source, node AS target, row_number() OVER (PARTITION BY source ORDER BY depth, position) AS rank, count(*) OVER (PARTITION BY source) AS n, depth, path, edges FROM walked WHERE node LIKE 'order:%')
+        SELECT source, target, cast(rank AS INT) AS rank, depth, path, edges, n > 12 OR cut AS truncated FROM ranked JOIN flags USING (source) WHERE rank <= 12""",
     "ownership_depth": f"""WITH {GRAPH_SQL}, d AS (SELECT CASE kind WHEN 'Region' THEN 0 WHEN 'Nation' THEN 1 WHEN 'Customer' THEN 2 WHEN 'Supplier' THEN 2 WHEN 'Order' THEN 3 END AS depth, kind FROM nodes WHERE kind <> 'Part')
         SELECT kind, cast(depth AS INT) AS depth, count(*) AS n FROM d GROUP BY kind, depth""",
     "recipe_traversal": """WITH n AS (SELECT 'region:' || n_regionkey AS source, n_nationkey FROM nation)
@@ -241,6 +247,16 @@ ORACLE_SQL = {
     "domain_propagation": """WITH v AS (SELECT l_orderkey, min(p_type) AS domain, count(DISTINCT p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1),
             s AS (SELECT coalesce(k, 0) AS n_domains, CASE WHEN k = 1 THEN domain END AS domain FROM orders LEFT JOIN v ON o_orderkey = l_orderkey)
         SELECT CASE WHEN n_domains = 1 THEN 'assigned' WHEN n_domains > 1 THEN 'ambiguous' ELSE 'no_anchor' END AS state, domain, n_domains, count(*) AS n FROM s GROUP BY ALL""",
+    "betweenness": """WITH n AS (SELECT 'region:' || r_regionkey AS node FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier UNION ALL SELECT 'part:' || p_partkey FROM part),
+            e AS (SELECT 'region:' || n_regionkey AS src, 'nation:' || n_nationkey AS dst FROM nation UNION ALL SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier
+                UNION ALL SELECT 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem), m AS (SELECT src, dst, count(*) AS times FROM e SEMI JOIN n ON src = n.node GROUP BY ALL),
+            starts AS (SELECT node AS source FROM n ORDER BY node LIMIT 200),
+            h1 AS (SELECT source, dst AS node, times AS paths FROM starts JOIN m ON source = src), h2 AS (SELECT source, dst AS node, sum(paths * times) AS paths FROM h1 JOIN m ON node = src GROUP BY ALL),
+            h3 AS (SELECT source, dst AS node, sum(paths * times) AS paths FROM h2 JOIN m ON node = src GROUP BY ALL),
+            d2 AS (SELECT h2.source, h2.node, h2.paths, coalesce(sum(h2.paths * times / h3.paths), 0) AS passed FROM h2 LEFT JOIN (m JOIN h3 ON dst = h3.node) ON src = h2.node AND h2.source = h3.source GROUP BY ALL),
+            d1 AS (SELECT h1.source, h1.node, coalesce(sum(h1.paths * times / d2.paths * (1 + passed)), 0) AS passed FROM h1 LEFT JOIN (m JOIN d2 ON dst = d2.node) ON src = h1.node AND h1.source = d2.source GROUP BY ALL),
+            s AS (SELECT node, sum(passed) AS score FROM (SELECT node, passed FROM d1 UNION ALL SELECT node, passed FROM d2) GROUP BY node)
+        SELECT node, round(coalesce(score, 0) * (SELECT count(*) FROM n) / (SELECT count(*) FROM starts), 6) AS score FROM n LEFT JOIN s USING (node)""",
     "literal_leaves": """WITH l AS (SELECT l_orderkey AS k, l_partkey, l_linenumber, l_returnflag FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
             v AS (SELECT o_orderkey AS k, 'status' AS path, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', cast(o_custkey AS VARCHAR) FROM orders
                 UNION ALL SELECT k, 'lines[].part', cast(l_partkey AS VARCHAR) FROM l UNION ALL SELECT k, 'lines[].at.line', cast(l_linenumber AS VARCHAR) FROM l UNION ALL SELECT k, 'lines[].at.flag', l_returnflag FROM l),

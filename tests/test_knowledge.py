@@ -7,6 +7,7 @@ from collections import deque
 
 import pytest
 
+from lodegraph.functions import text
 from lodegraph.operators import comparison, patterns, records, walks
 from pyspark.sql import functions as F
 
@@ -46,23 +47,33 @@ def test_patterns(spark):
 
 
 def test_a_pair_of_each_class(spark):
-    base = dict(objects=["a", "b"], polarity=True, conformance="c", modality="m", scope="s", validity="v", term="Net Price", referent="r")
-    other = {
-        "equivalent": {}, "direct_conflict": {"polarity": False, "scope": "t"}, "conformance_divergence": {"conformance": "d", "modality": "n"}, "modality_divergence": {"modality": "n", "scope": "t"},
-        "scope_divergence": {"scope": "t", "validity": "w"}, "temporal_divergence": {"validity": "w", "term": "np"}, "terminology_variant": {"term": "np", "referent": "q"}, "referent_ambiguity": {"referent": None},
-        "compatible_partial": {"objects": ["a", "c"]}, "incomparable": {"objects": ["x"]},
-    }
+    base = dict(objects=["a", "b"], polarity="affirmed", modality="normative", scope="s", validity="v", term="Net Price", resolved=True)
+    pairs = [
+        ("equivalent_proposition", {}, {}), ("equivalent_proposition", {"objects": []}, {"objects": []}), ("equivalent_proposition", {}, {"term": "np"}), ("equivalent_proposition", {"resolved": False}, {"resolved": None}),
+        ("direct_conflict", {}, {"polarity": "negated", "scope": "t"}), ("direct_conflict", {"objects": ["a"]}, {"polarity": "negated"}), ("equivalent_proposition", {}, {"polarity": "hedged"}),
+        ("conformance_gap_candidate", {}, {"modality": "descriptive", "scope": "t"}), ("modality_divergence", {}, {"modality": "permissive", "scope": "t"}), ("modality_divergence", {"modality": "permissive"}, {"modality": "descriptive"}),
+        ("scope_divergence", {}, {"scope": "t", "validity": "w"}), ("scope_divergence", {}, {"scope": None}), ("temporal_divergence", {}, {"validity": "w", "term": "np", "resolved": False}),
+        ("terminology_conflict", {}, {"term": "np", "resolved": False}), ("terminology_conflict", {"objects": ["a"]}, {"term": "NetPrice!", "resolved": False}),
+        ("referent_ambiguity", {}, {"term": "gross", "resolved": False}), ("referent_ambiguity", {"resolved": False}, {"objects": ["x"], "term": "np"}),
+        ("compatible_partial", {}, {"objects": ["a", "c"]}), ("compatible_partial", {}, {"objects": ["a", "c"], "resolved": False}), ("compatible_partial", {}, {"objects": ["a", "c"], "scope": "t", "modality": "descriptive"}),
+        ("incomparable", {}, {"objects": ["x"]}), ("incomparable", {"objects": ["a", "b", "c"]}, {"objects": ["a", "x", "y"], "polarity": "negated"}), ("incomparable", {}, {"objects": []}), ("incomparable", {}, {"objects": ["x"], "resolved": False}),
+    ]
     names = ("objects", *comparison.FIELDS)
-    rows = [(k, i, *({**base, **(change if i else {})}[f] for f in names)) for k, change in other.items() for i in (0, 1)] + [("crowd", i, *(base[f] for f in names)) for i in range(41)]
-    df = spark.createDataFrame(rows, "bucket string, id int, objects array<string>, polarity boolean, conformance string, modality string, scope string, validity string, term string, referent string")
-    assert {r.bucket: r["class"] for r in comparison.compared(df, "bucket").collect()} == {k: k for k in comparison.CLASSES}
+    rows = [(f"{k}{i}", i, *({**base, **change}[f] for f in names)) for k, (_, *sides) in enumerate(pairs) for i, change in enumerate(sides)]
+    rows = [(bucket[:-1], *rest) for bucket, *rest in rows] + [("crowd", i, *(base[f] for f in names)) for i in range(41)]
+    df = spark.createDataFrame(rows, "bucket string, id int, objects array<string>, polarity string, modality string, scope string, validity string, term string, resolved boolean")
+    assert {r.bucket: r["class"] for r in comparison.compared(df, "bucket").collect()} == {str(k): want for k, (want, *_) in enumerate(pairs)}
+    assert {want for want, *_ in pairs} == set(comparison.CLASSES)
     assert [(r.bucket, r.n, r.pairs) for r in comparison.oversize(df, "bucket").collect()] == [("crowd", 41, 820)]
 
 
 def test_term_variants(spark):
-    pairs = [("NetPrice", "net_price", True), ("net", "NetPrice", True), ("ne", "net", False), ("a b", "ab", True), ("Order Line Item", "OLI", True), ("same", "same", False), ("x", "y", False)]
+    pairs = [
+        ("NetPrice", "net_price", True), ("net", "NetPrice", True), ("ne", "net", False), ("a b", "ab", True), ("Order Line Item", "OLI", True), ("same", "same", False), ("x", "y", False),
+        ("a.b", "A/B", True), ("O.L.I.", "Order/Line (Item)", True), ("o", "Order", False), ("--", "..", False), ("é", "e", False), (None, "x", False),
+    ]
     df = spark.createDataFrame(pairs, "a string, b string, want boolean")
-    assert all(r.want == r.got for r in df.select("want", comparison.term_variant(F.col("a"), F.col("b")).alias("got")).collect())
+    assert [r for r in df.select("*", comparison.term_variant(F.col("a"), F.col("b")).alias("got")).collect() if r.want != r.got] == []
 
 
 def test_verdicts(spark):
@@ -73,9 +84,57 @@ def test_verdicts(spark):
 
 
 def test_bounded_walk_over_cycles_and_loops(spark):
-    edges = graph_of(spark, [("r", "a", "b"), ("r", "b", "a"), ("r", "a", "a"), ("r", "a", "b"), ("r", "b", "c"), ("x", "a", "z")] + [("r", "c", f"d{i}") for i in range(5)])
-    rows = walks.bounded_walk(edges, spark.createDataFrame([("a",)], "node_id string"), ("r",), 4, frontier=3, directed=True).collect()
-    assert sorted((r.node, r.depth, r.withheld) for r in rows) == [("b", 1, 0), ("c", 2, 0), ("d0", 3, 2), ("d1", 3, 2), ("d2", 3, 2)]
+    edges = graph_of(spark, [("r", "a", "b"), ("r", "b", "a"), ("r", "a", "a"), ("r", "a", "b"), ("r", "b", "c"), ("x", "a", "z")] + [("r", "c", f"d{i}") for i in range(5)] + [("r", f"d{i}", f"e{i}") for i in range(5)])
+    rows = walks.bounded_walk(edges, spark.createDataFrame([("a",)], "node_id string"), ("r",), 5, frontier=3, directed=True).collect()
+    visits = [("b", 1, 1, False), ("c", 2, 1, False), *((f"d{i}", 3, i + 1, True) for i in range(5)), *((f"e{i}", 4, i + 1, False) for i in range(3))]
+    assert sorted((r.node, r.depth, r.position, r.cut) for r in rows) == sorted(visits)
+    assert next(r.path for r in rows if r.node == "e2") == ["a", "b", "c", "d2", "e2"]
+
+
+def walked(links, kinds, start, targets, depth, limit, frontier, neighbours):
+    """The bounded justification walk, one queue at a time. links: (edge id, relation, src, dst)."""
+    at: dict = {}
+    for edge, relation, a, b in links:
+        at.setdefault(a, []).append((edge, relation, b))
+        if a != b:
+            at.setdefault(b, []).append((edge, relation, a))
+    before, found, front, cut = {start: None}, [], [start], False
+    for _ in range(depth):
+        following = []
+        for node in front:
+            for edge, _, other in sorted(at.get(node, []), key=lambda e: (len(at[e[2]]), e[1], e[2], e[0]))[:neighbours]:
+                if other in before:
+                    continue
+                before[other] = (node, edge)
+                if kinds[other] in targets:
+                    found.append(other)
+                if len(following) < frontier:
+                    following.append(other)
+                else:
+                    cut = True
+        front = following
+    out = []
+    for target in found[:limit]:
+        path, edges = [target], []
+        while before[path[0]]:
+            node, edge = before[path[0]]
+            path, edges = [node, *path], [edge, *edges]
+        out.append((target, path, edges, len(found) > limit or cut))
+    return out
+
+
+@pytest.mark.parametrize("frontier, neighbours, limit", [(2, 3, 4), (32, 48, 12), (3, 2, 50)])
+def test_provenance_against_one_queue(spark, frontier, neighbours, limit):
+    rng = random.Random(frontier)
+    pairs = [(rng.choice(["r", "q"]), f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(45)]
+    edges = graph_of(spark, pairs)
+    links = [(r.edge_id, r.relation, r.src, r.dst) for r in edges.collect()]
+    kinds = {f"n{i:02}": rng.choice("ABC") for i in range(25)}
+    nodes = spark.createDataFrame(sorted(kinds.items()), "node_id string, kind string")
+    rows = walks.provenance(nodes, edges, nodes.where("kind = 'C'"), ("r", "q"), ("A",), 4, limit, frontier, neighbours).collect()
+    for start in (n for n, k in kinds.items() if k == "C"):
+        got = [(r.target, r.path, r.edges, r.truncated) for r in sorted(rows, key=lambda r: r["rank"]) if r.source == start]
+        assert got == walked(links, kinds, start, {"A"}, 4, limit, frontier, neighbours)
 
 
 def test_recipes(spark):
@@ -88,17 +147,26 @@ def test_recipes(spark):
         run("a", 4, "both", ("r",))
 
 
+def test_betweenness_by_hand(spark):
+    nodes = spark.createDataFrame([(n,) for n in "abcdx"], "node_id string")
+    links = [("r", "a", "b"), ("r", "b", "c"), ("r", "b", "d"), ("r", "d", "gone")]
+    assert {r.node: r.score for r in walks.sampled_betweenness(nodes, graph_of(spark, links)).collect()} == {"a": 0, "b": 2, "c": 0, "d": 0, "x": 0}
+    chain = spark.createDataFrame([(f"n{i:02}",) for i in range(20)], "node_id string")
+    found = walks.sampled_betweenness(chain, graph_of(spark, [("r", f"n{i:02}", f"n{i + 1:02}") for i in range(19)])).collect()
+    assert {r.node: r.score for r in found} == {f"n{i:02}": i * (19 - i) for i in range(20)}
+
+
 def test_betweenness_against_brute_force(spark):
     rng = random.Random(4)
-    pairs = {(f"n{rng.randrange(20):02}", f"n{rng.randrange(20):02}") for _ in range(32)}
-    links: dict = {}
+    pairs = [(f"n{rng.randrange(20):02}", f"n{rng.randrange(20):02}") for _ in range(60)]
+    pairs += pairs[:15]
+    ids = sorted(f"n{i:02}" for i in range(22))
+    links: dict = {n: [] for n in ids}
     for a, b in pairs:
-        if a != b:
-            links.setdefault(a, set()).add(b)
-            links.setdefault(b, set()).add(a)
-    score, starts = dict.fromkeys(links, 0.0), sorted(links)[:6]
+        links[a].append(b)
+    score, starts = dict.fromkeys(ids, 0.0), ids[:6]
     for s in starts:
-        depth, paths, order, queue = {s: 0}, {s: 1}, [], deque([s])
+        depth, paths, before, order, queue = {s: 0}, {s: 1}, {n: [] for n in ids}, [], deque([s])
         while queue:
             v = queue.popleft()
             order.append(v)
@@ -108,15 +176,37 @@ def test_betweenness_against_brute_force(spark):
                     queue.append(w)
                 if depth[w] == depth[v] + 1:
                     paths[w] += paths[v]
+                    before[w].append(v)
         passed = dict.fromkeys(order, 0.0)
         for w in reversed(order):
-            for v in links[w]:
-                if v in depth and depth[v] == depth[w] - 1:
-                    passed[v] += paths[v] / paths[w] * (1 + passed[w])
+            for v in before[w]:
+                passed[v] += paths[v] / paths[w] * (1 + passed[w])
             if w != s:
                 score[w] += passed[w]
-    found = {r.node: r.score for r in walks.sampled_betweenness(graph_of(spark, [("r", a, b) for a, b in pairs]), 6).collect()}
-    assert found == {n: pytest.approx(x * len(links) / 6, abs=1e-5) for n, x in score.items()}
+    edges = graph_of(spark, [("r", a, b) for a, b in pairs])
+    found = {r.node: r.score for r in walks.sampled_betweenness(spark.createDataFrame([(n,) for n in ids], "node_id string"), edges, 6).collect()}
+    assert found == {n: pytest.approx(x * len(ids) / 6, abs=1e-5) for n, x in score.items()}
+
+
+def test_leaves_of_any_depth(spark):
+    deep = '{"a": [' * 50 + '"end"' + "]}" * 50
+    found = records.leaves(spark.createDataFrame([(1, deep)], "id int, j string"), "id", "j").collect()
+    assert [(r.path.count("a[]"), r.value) for r in found] == [(50, "end")]
+
+
+def test_withholding_is_linear_and_keeps_references(spark):
+    import time
+
+    cases = {
+        'a.password: "x y"': "a.password: '[redacted]'", "token=`abc`;": "token='[redacted]';", "secret: \"a'": "secret: '[redacted]'", "API-KEY = process.env.KEY, api_key: ''": "API-KEY = process.env.KEY, api_key: '[redacted]'",
+        "token = secret='v'": "token = secret='v'", "token = x, secret='v'": "token = x, secret='[redacted]'", 'password "x"': 'password "x"', 'token: "a\nb"': 'token: "a\nb"', '"token": \'v\'}': '"token": \'[redacted]\'}',
+    }
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [(r.t, r.got) for r in df.select("*", text.withheld(F.col("t")).alias("got")).collect() if r.want != r.got] == []
+    long = spark.createDataFrame([("a" * 1_000_000,), ("token" * 200_000,), ("token='" * 100_000,), ("token" + " " * 1_000_000,)], "t string")
+    start = time.perf_counter()
+    long.select(F.length(text.withheld(F.col("t")))).collect()
+    assert time.perf_counter() - start < 10
 
 
 def test_leaves_and_addresses(spark):

@@ -104,7 +104,7 @@ def test_text_functions(spark):
         text.wilson(F.lit(0), F.lit(0)).alias("none"),
     ).first()
     assert row.slug == "my-app-name" and row.fold == "camelcasenamex" and row.path == "/a/b"
-    assert row.held == "password = \"[withheld]\" token: x api_key:'[withheld]'"
+    assert row.held == "password = '[redacted]' token: x api_key:'[redacted]'"
     assert row.bad == '{"unparsed":true,"raw":"{bad"}' and row.none is None
 
 
