@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites
+from lodegraph.operators import callsites, entities
 from lodegraph.sources.star import table
 
 #: Suppliers as modules, ship days as places in them: a year of 360 days holds twelve months, and the module all years.
@@ -46,9 +46,119 @@ def call_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("file", "status", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("declaration").alias("n_declarations"), F.sum(F.coalesce(F.size("declarations"), F.lit(0))).alias("n_candidates"))
 
 
-QUERIES = {f.__name__: f for f in (call_bindings,)}
+_NOUNS = ("order", "customer", "batch", "policy", "item", "status", "index", "vessel", "crew", "invoice", "berth", "bay")
+_ENDS = ("s", "_items", "_summary", "_log", "_batches", "s_new", "_links", "_state")
+_ROLES = ("", "parent_", "spawned_", "main_")
+
+
+def _noun(n, words: tuple[str, ...] = _NOUNS):
+    return F.element_at(F.array(*map(F.lit, words)), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
+
+
+def _schema_facts(spark: SparkSession, sf_dir: str) -> entities.EntityLayer:
+    """Suppliers declare tables; some of their order lines are identity columns; nations name the kinds of a model."""
+    k = F.col("s_suppkey")
+    name = lambda n: F.concat(_noun(n), _noun(F.floor(n / 12), _ENDS))
+    made = table(spark, sf_dir, "supplier").select("s_suppkey", name(k).alias("table"), F.concat(F.lit("f"), (k % 9).cast("string")).alias("file"))
+    own, following = F.concat(_noun(k), F.lit("_id")), F.concat(_noun(k + 1), F.lit("_id"))
+    keyed = made.select("table", F.explode(F.when(k % 3 == 0, F.array(own)).when(k % 3 == 1, F.array(own, following)).otherwise(F.array(F.lit("seq")))).alias("column")).distinct()
+    lines = table(spark, sf_dir, "lineitem").where("l_partkey % 50 = 0")
+    listed = lines.select(
+        name(F.col("l_suppkey")).alias("table"), F.concat(_noun(F.floor(F.col("l_orderkey") / 12), _ROLES), _noun(F.col("l_orderkey")), F.lit("_id")).alias("column"), (F.col("l_returnflag") == "A").alias("unique"),
+        F.when(F.col("l_tax") > 0.05, name(F.floor(F.col("l_partkey") / 50))).alias("target"),
+    )
+    kinded = made.where(k % 4 == 0)
+    columns = listed.union(keyed.where("column <> 'seq'").select("table", "column", F.lit(False), F.lit(None))).union(kinded.select("table", F.lit("item_id"), F.lit(False), F.lit(None)))
+    enums = kinded.select("table", F.lit("item_kind").alias("column"), F.explode(F.array(_noun(k), F.concat(_noun(k + 3), F.lit("s")), F.lit("other"))).alias("value"))
+    n = F.col("n_nationkey")
+    kinds = table(spark, sf_dir, "nation").select(F.when(n < 5, _noun(n)).when(n < 8, F.concat(_noun(n), F.lit("s"))).when(n < 11, F.concat(F.lit("client_"), _noun(n))).otherwise(F.concat(F.lit("ghost"), n.cast("string"))).alias("kind"))
+    signals = made.where(k % 12 < 10).select(_noun(k).alias("entity"), F.concat(F.lit("s"), (k % 2).cast("string")).alias("source"))
+    return entities.entity_layer(made.select("table", "file"), columns, keyed, enums, kinds, signals, ("spawned",), {"bay": "berth"})
+
+
+def entity_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with what became of them, and what each table backs."""
+    layer = _schema_facts(spark, sf_dir)
+    made = layer.decisions.select(F.lit("candidate").alias("family"), "entity", "root_table", "evidence", "n_sources", "refusal")
+    return made.union(layer.audit.select(F.lit("table"), "entity", "table", F.lit(None), F.lit(0), "reason"))
+
+
+def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relationships between entities, identity columns and tables that give none, and where schema and model disagree."""
+    layer = _schema_facts(spark, sf_dir)
+    made = layer.relationships.select(F.lit("relationship").alias("family"), "via", F.concat_ws(" ", "from_entity", "relation", "to_entity", "cardinality").alias("about"), F.concat_ws(" ", "basis", "status").alias("reason"))
+    return made.union(layer.refusals.select(F.lit("refusal"), "subject", F.lit(""), "reason")).union(layer.conflicts.select(F.lit("conflict"), "subject", "about", "reason"))
+
+
+QUERIES = {f.__name__: f for f in (call_bindings, entity_decisions, entity_relationships)}
+
+def _sql_noun(n: str, words: tuple[str, ...] = _NOUNS) -> str:
+    return f"[{', '.join(repr(w) for w in words)}][(({n}) % {len(words)}) + 1]"
+
+
+def _sql_table(n: str) -> str:
+    return f"{_sql_noun(n)} || {_sql_noun(f'({n}) // 12', _ENDS)}"
+
+
+def _one(x: str) -> str:
+    return f"CASE WHEN {x} SIMILAR TO '.*(ss|us|is)' THEN {x} WHEN {x} LIKE '%ies' THEN left({x}, -3) || 'y' WHEN {x} SIMILAR TO '.*(ch|sh|x|s)es' THEN left({x}, -2) WHEN {x} LIKE '%s' THEN left({x}, -1) ELSE {x} END"
+
+
+_PLUMBING = "regexp_matches({}, '(_summary|_log|_state|_new)$')"
+_SCHEMA = f"""
+    made AS (SELECT s_suppkey AS k, {_sql_table('s_suppkey')} AS t, 'f' || s_suppkey % 9 AS file FROM supplier), known AS (SELECT t, min(file) AS file FROM made GROUP BY t),
+    keyed AS (SELECT DISTINCT t, unnest(CASE k % 3 WHEN 0 THEN [{_sql_noun('k')} || '_id'] WHEN 1 THEN [{_sql_noun('k')} || '_id', {_sql_noun('k + 1')} || '_id'] ELSE ['seq'] END) AS c FROM made),
+    raw AS (SELECT {_sql_table('l_suppkey')} AS t, {_sql_noun('l_orderkey // 12', _ROLES)} || {_sql_noun('l_orderkey')} || '_id' AS c, l_returnflag = 'A' AS u, CASE WHEN l_tax > 0.05 THEN {_sql_table('l_partkey // 50')} END AS target FROM lineitem WHERE l_partkey % 50 = 0
+        UNION ALL SELECT t, c, false, NULL FROM keyed WHERE c <> 'seq' UNION ALL SELECT t, 'item_id', false, NULL FROM made WHERE k % 4 = 0),
+    cols AS (SELECT t, c, bool_or(u) AS u, min(target) AS target, left(c, -3) AS stem FROM raw WHERE t IN (SELECT t FROM known) GROUP BY t, c),
+    enums AS (SELECT DISTINCT t, unnest([{_sql_noun('k')}, {_sql_noun('k + 3')} || 's', 'other']) AS v FROM made WHERE k % 4 = 0),
+    kinds AS (SELECT CASE WHEN n_nationkey < 5 THEN {_sql_noun('n_nationkey')} WHEN n_nationkey < 8 THEN {_sql_noun('n_nationkey')} || 's' WHEN n_nationkey < 11 THEN 'client_' || {_sql_noun('n_nationkey')} ELSE 'ghost' || n_nationkey END AS kind FROM nation),
+    signals AS (SELECT {_sql_noun('k')} AS e, count(DISTINCT k % 2) AS n FROM made WHERE k % 12 < 10 GROUP BY 1),
+    pk AS (SELECT t, count(*) AS n_pk, min(c) AS key FROM keyed GROUP BY t),
+    roots AS (SELECT e, coalesce(max(t) FILTER (WHERE NOT keyed), max(t)) AS root FROM (SELECT {_one('t')} AS e, t, false AS keyed FROM known
+        UNION ALL SELECT {_one('left(key, -3)')}, t, true FROM pk WHERE n_pk = 1 AND key LIKE '%_id' AND {_one('left(key, -3)')} <> {_one('t')} AND list_contains(list_transform(string_split(t, '_'), lambda w: {_one('w')}), {_one('left(key, -3)')})) GROUP BY e),
+    tails AS (SELECT t, c, i AS start, array_to_string(string_split(stem, '_')[i:], '_') AS tail FROM (SELECT *, unnest(range(1, len(string_split(stem, '_')) + 1)) AS i FROM cols)),
+    refs AS (SELECT CASE WHEN e = 'bay' THEN 'berth' ELSE e END AS e, count(DISTINCT t) >= 2 AND count(DISTINCT file) >= 2 AS often FROM (SELECT {_one('tail')} AS e, t, file FROM tails JOIN known USING (t)) GROUP BY 1),
+    shipped AS (SELECT DISTINCT {_one('kind')} AS e, true AS has_kind FROM kinds),
+    weighed AS (SELECT e, root, coalesce({_PLUMBING.format('root')}, false) AS plumbing, coalesce(often, false) AS often, coalesce(has_kind, false) AS has_kind, coalesce(n, 0) + CASE WHEN has_kind THEN 1 ELSE 0 END AS n_sources
+        FROM roots FULL JOIN refs USING (e) FULL JOIN shipped USING (e) LEFT JOIN signals USING (e)),
+    decisions AS (SELECT e, CASE WHEN NOT plumbing THEN root END AS root, CASE WHEN root IS NOT NULL AND NOT plumbing THEN 'root_table' WHEN often THEN 'referenced_id' END AS evidence, has_kind, n_sources,
+        CASE WHEN plumbing AND NOT often THEN 'read_model_or_infrastructure_table' WHEN (root IS NULL OR plumbing) AND NOT often THEN CASE WHEN has_kind THEN 'model_kind_without_schema_evidence' ELSE 'insufficient_schema_evidence' END
+            WHEN n_sources = 0 THEN 'single_source_uncorroborated' END AS refusal FROM weighed),
+    good AS (SELECT e, root FROM decisions WHERE refusal IS NULL)"""
+_PROJECTED = f"CASE WHEN {{0}} LIKE '%_summary' THEN {_one('left({0}, -8)')} END"
 
 ORACLE_SQL = {
+    "entity_decisions": f"""WITH {_SCHEMA}, owners AS (SELECT root AS t, max(e) AS entity FROM good WHERE root IS NOT NULL GROUP BY root)
+        SELECT 'candidate' AS family, e AS entity, root AS root_table, evidence, n_sources, refusal FROM decisions
+        UNION ALL SELECT 'table', entity, t, NULL, 0, CASE WHEN entity IS NOT NULL THEN NULL WHEN {_PLUMBING.format('t')} THEN 'read_model_or_infrastructure_table' ELSE coalesce(refusal, 'table_superseded_by_other_root_table') END
+            FROM known LEFT JOIN owners USING (t) LEFT JOIN decisions ON e = {_one('t')}""",
+    "entity_relationships": f"""WITH {_SCHEMA},
+        subj AS (SELECT t, coalesce(n_pk, 0) AS n_pk, CASE WHEN a.root = t THEN a.e WHEN b.e IS NOT NULL THEN b.e ELSE c.e END AS subject, coalesce(a.root <> t, true) AND b.e IS NULL AND c.e IS NOT NULL AS weak
+            FROM known LEFT JOIN pk USING (t) LEFT JOIN good a ON a.e = {_one('t')} LEFT JOIN good b ON n_pk = 1 AND b.e = {_one("regexp_replace(key, '_id$', '')")} LEFT JOIN good c ON c.e = {_PROJECTED.format('t')}),
+        met AS (SELECT t, c, start, e, 0 AS via_alias FROM tails JOIN good ON e = tail UNION ALL SELECT t, c, start, e, 1 FROM tails JOIN good ON tail = 'bay' AND e = 'berth'),
+        named AS (SELECT t, c, e, nullif(array_to_string(string_split(left(c, -3), '_')[:start - 1], '_'), '') AS role FROM (SELECT *, row_number() OVER (PARTITION BY t, c ORDER BY start, via_alias) AS nth FROM met) WHERE nth = 1),
+        pointed AS (SELECT x.t, c, coalesce(a.e, b.e) AS declared FROM cols x JOIN known k ON target = k.t LEFT JOIN good a ON a.e = {_one('target')} LEFT JOIN good b ON b.e = {_PROJECTED.format('target')}),
+        r AS (SELECT t, c, u, target IS NOT NULL AS is_declared, coalesce(declared, n.e) AS e, CASE WHEN declared IS NOT NULL THEN nullif(regexp_replace(regexp_replace(c, '_?id$', ''), '_?' || declared || '$', ''), '') ELSE role END AS role,
+            (t, c) IN (SELECT t, c FROM keyed) AS in_pk, n_pk, subject, weak FROM cols LEFT JOIN named n USING (t, c) LEFT JOIN pointed USING (t, c) JOIN subj USING (t)),
+        heads AS (SELECT t, min(c) AS head, arg_min(e, c) AS head_e, arg_min(u, c) AS head_u FROM r WHERE subject IS NULL AND e IS NOT NULL AND in_pk GROUP BY t),
+        anchors AS (SELECT t, min(e) AS e FROM named WHERE c <> 'item_id' AND t IN (SELECT t FROM enums) GROUP BY t HAVING count(*) = 1),
+        every AS (SELECT e AS f, subject AS g, CASE WHEN u THEN 'has_one' ELSE 'has_many' END AS relation, CASE WHEN u THEN '1..1' ELSE '1..N' END AS card, t || '.' || c AS via, CASE WHEN is_declared THEN 'declared_foreign_key' ELSE 'fk_shaped_column' END AS basis,
+                CASE WHEN is_declared THEN 'schema_declared' WHEN weak THEN 'read_model_evidence' ELSE 'shape_only' END AS status, 1 AS turn FROM r WHERE e IS NOT NULL AND subject IS NOT NULL AND NOT (e = subject AND role IS NULL)
+            UNION ALL SELECT e, head_e, CASE WHEN n_pk > 1 AND in_pk THEN 'relates_to' WHEN head_u THEN 'has_one' ELSE 'has_many' END, CASE WHEN n_pk > 1 AND in_pk THEN 'N..N' WHEN head_u THEN '1..1' ELSE '1..N' END, t || '.' || c,
+                CASE WHEN is_declared THEN 'declared_foreign_key' ELSE 'link_table' END, CASE WHEN is_declared THEN 'schema_declared' ELSE 'shape_only' END, 2 FROM r JOIN heads USING (t) WHERE subject IS NULL AND e IS NOT NULL AND c <> head
+            UNION ALL SELECT DISTINCT a.e, g.e, 'relates_to', 'N..N', t || '.item_id', 'polymorphic_check_enum', 'schema_declared', 3 FROM enums JOIN anchors a USING (t) JOIN good g ON g.e = CASE WHEN v IN (SELECT e FROM good) THEN v ELSE {_one('v')} END WHERE t NOT LIKE '%_new' AND a.e <> g.e),
+        rel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY f, g, relation, via ORDER BY turn) AS nth FROM every WHERE NOT (f = g AND relation = 'has_one')) WHERE nth = 1),
+        ends AS (SELECT kind, i, array_to_string(string_split(kind, '_')[i:], '_') AS tail FROM (SELECT *, unnest(range(2, len(string_split(kind, '_')) + 1)) AS i FROM kinds))
+        SELECT 'relationship' AS family, via, concat_ws(' ', f, relation, g, card) AS about, basis || ' ' || status AS reason FROM rel
+        UNION ALL SELECT 'refusal', t || '.' || c, '', CASE WHEN c LIKE '%_item_id' OR c = 'item_id' THEN 'polymorphic_reference_not_resolvable_from_schema' ELSE 'id_column_names_no_promoted_entity' END FROM r
+            WHERE e IS NULL AND NOT in_pk AND (subject IS NOT NULL OR c LIKE '%_item_id' OR c = 'item_id')
+        UNION ALL SELECT DISTINCT 'refusal', t, '', 'detail_table_without_entity_subject' FROM r WHERE subject IS NULL AND e IS NOT NULL AND t NOT IN (SELECT t FROM heads)
+        UNION ALL SELECT 'conflict', kind, {_one('kind')}, 'entity_name_disagreement' FROM kinds WHERE {_one('kind')} <> kind AND {_one('kind')} IN (SELECT e FROM good)
+        UNION ALL SELECT 'conflict', kind, arg_min({_one('tail')}, i), 'entity_name_disagreement' FROM ends WHERE {_one('tail')} IN (SELECT e FROM good) AND {_one('kind')} NOT IN (SELECT e FROM good) GROUP BY kind
+        UNION ALL SELECT 'conflict', e, e, 'model_declares_entity_schema_has_no_table' FROM decisions WHERE refusal = 'model_kind_without_schema_evidence'
+        UNION ALL SELECT 'conflict', e, e, 'schema_declares_entity_model_has_no_kind' FROM decisions WHERE refusal IS NULL AND NOT has_kind AND e NOT IN (SELECT tail FROM ends)
+        UNION ALL SELECT 'conflict', via, f, 'schema_relationship_has_no_model_edge_kind' FROM rel WHERE f = g AND regexp_matches(via, 'spawn|lineage|parent|child') AND via NOT LIKE '%spawned%'""",
     "call_bindings": """WITH s AS (SELECT 'm/' || l_suppkey % 7 || '/f' || l_suppkey || '.js' AS file, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS day, 'n' || l_partkey % 60 AS name, l_orderkey || ':' || l_linenumber AS site, row_number() OVER () AS row, * FROM lineitem),
         d AS (SELECT *, CASE l_linenumber WHEN 1 THEN 3600 WHEN 2 THEN 360 ELSE 30 END AS width, CASE l_partkey % 4 WHEN 0 THEN 'import' WHEN 1 THEN 'non_function' ELSE 'function' END AS kind, l_orderkey % 100 + 1 AS other FROM s WHERE l_linenumber <= 3),
         b AS (SELECT file, width, day // width * width AS opened, name, kind, site, kind = 'function' AND l_quantity < 10 AS var, kind = 'function' AND l_quantity >= 10 AS fun, l_tax > 0.04 AS valued, l_linenumber,

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites
+from lodegraph.operators import callsites, entities
 
 FILES = "file string, grammar boolean, broken boolean, reexports boolean"
 BINDINGS = "file string, scope int, name string, kind string, source string, initialized boolean, specifier string, imported string, declaration string"
@@ -85,3 +85,61 @@ def test_shadowing_imports_and_refusals(spark):
     assert found == {at: want for at, (_, _, want) in cases.items()}
     assert {r[1] for r in found.values() if r[0] == "unresolved"} == set(callsites.REASONS)
     assert bound(spark, [], scopes, bindings, marks, exports, files) == {}
+
+
+def test_entity_layer(spark):
+    tables = [
+        ("orders", "a"), ("orders", "b"), ("customers", "a"), ("order_lines", "b"), ("order_summary", "c"), ("order_tags", "c"), ("tags", "a"), ("outbox", "a"), ("batches", "d"), ("shelf_items", "d"), ("notes", "d"), ("audits", "e"), ("policies", "e"),
+        ("order_index", "a"), ("profiles", "a"), ("loose", "a"), ("crew_rows", "b"),
+    ]
+    columns = [
+        ("orders", "order_id", True, None), ("orders", "customer_id", False, "customers"), ("orders", "parent_order_id", False, None), ("orders", "batch_id", False, None), ("orders", "ghost_id", False, None), ("customers", "customer_id", True, None),
+        ("order_lines", "order_id", False, None), ("order_summary", "order_id", True, None), ("order_summary", "customer_id", False, None), ("order_tags", "order_id", False, None), ("order_tags", "tag_id", False, None), ("tags", "tag_id", True, None),
+        ("batches", "batch_id", True, None), ("shelf_items", "batch_id", False, None), ("shelf_items", "item_id", False, None), ("notes", "crew_id", False, None), ("audits", "crew_id", False, None), ("profiles", "customer_id", True, None), ("profiles", "id", True, None),
+        ("loose", "order_id", False, None), ("loose", "customer_id", False, None), ("crew_rows", "lead_order_id", False, "order_index"), ("crew_rows", "order_id", True, None), ("orders", "cust_id", False, None),
+    ]
+    keys = [("orders", "order_id"), ("customers", "customer_id"), ("order_tags", "order_id"), ("order_tags", "tag_id"), ("tags", "tag_id"), ("batches", "batch_id"), ("order_lines", "seq"), ("shelf_items", "seq"), ("profiles", "customer_id"), ("crew_rows", "order_id"), ("crew_rows", "n")]
+    enums = [("shelf_items", "item_kind", v) for v in ("orders", "tag", "batch", "nothing")]
+    kinds, signals = [("orders",), ("tag",), ("client_batch",), ("ghost_kind",), ("crew",)], [("customer", "code"), ("batch", "code"), ("crew", "code"), ("crew", "events")]
+    frame = spark.createDataFrame
+    layer = layer_of(frame, tables, columns, keys, enums, kinds, signals)
+    decisions = {r.entity: (r.root_table, r.evidence, r.refusal) for r in layer.decisions.collect()}
+    assert decisions["order"] == ("orders", "root_table", None) and decisions["crew"] == (None, "referenced_id", None) and decisions["batch"] == ("batches", "root_table", None)
+    assert decisions["policy"] == ("policies", "root_table", "single_source_uncorroborated") and decisions["outbox"][2] == "read_model_or_infrastructure_table"
+    assert decisions["ghost_kind"][2] == "model_kind_without_schema_evidence" and decisions["parent_order"][2] == "insufficient_schema_evidence" and "cust" not in decisions
+    promoted = {e for e, d in decisions.items() if d[2] is None}
+    assert promoted == {"order", "customer", "tag", "batch", "crew"}
+    audit = {r.table: r.entity or r.reason for r in layer.audit.collect()}
+    assert len(audit) == 16
+    assert {t: audit[t] for t in ("orders", "order_summary", "policies", "outbox", "batches")} == {"orders": "order", "order_summary": "read_model_or_infrastructure_table", "policies": "single_source_uncorroborated", "outbox": "read_model_or_infrastructure_table", "batches": "batch"}
+    relationships = {(r.from_entity, r.relation, r.to_entity, r.cardinality, r.via, r.basis, r.status) for r in layer.relationships.collect()}
+    assert relationships == {
+        ("customer", "has_many", "order", "1..N", "orders.customer_id", "declared_foreign_key", "schema_declared"), ("order", "has_many", "order", "1..N", "orders.parent_order_id", "fk_shaped_column", "shape_only"), ("batch", "has_many", "order", "1..N", "orders.batch_id", "fk_shaped_column", "shape_only"),
+        ("customer", "has_many", "order", "1..N", "orders.cust_id", "fk_shaped_column", "shape_only"), ("customer", "has_many", "order", "1..N", "order_summary.customer_id", "fk_shaped_column", "read_model_evidence"), ("tag", "relates_to", "order", "N..N", "order_tags.tag_id", "link_table", "shape_only"),
+        ("batch", "relates_to", "order", "N..N", "shelf_items.item_id", "polymorphic_check_enum", "schema_declared"), ("batch", "relates_to", "tag", "N..N", "shelf_items.item_id", "polymorphic_check_enum", "schema_declared"),
+    }
+    assert {(r.subject, r.reason) for r in layer.refusals.collect()} == {
+        ("orders.ghost_id", "id_column_names_no_promoted_entity"), ("shelf_items.item_id", "polymorphic_reference_not_resolvable_from_schema"), ("order_lines", "detail_table_without_entity_subject"), ("shelf_items", "detail_table_without_entity_subject"),
+        ("notes", "detail_table_without_entity_subject"), ("audits", "detail_table_without_entity_subject"), ("loose", "detail_table_without_entity_subject"),
+    }
+    assert {(r.subject, r.about, r.reason) for r in layer.conflicts.collect()} == {
+        ("orders", "order", "entity_name_disagreement"), ("client_batch", "batch", "entity_name_disagreement"), ("ghost_kind", "ghost_kind", "model_declares_entity_schema_has_no_table"), ("client_batch", "client_batch", "model_declares_entity_schema_has_no_table"), ("customer", "customer", "schema_declares_entity_model_has_no_kind"),
+        ("orders.parent_order_id", "order", "schema_relationship_has_no_model_edge_kind"),
+    }
+    covered = layer_of(frame, tables, columns, keys, enums, kinds, signals, ("parent",))
+    assert covered.conflicts.where("reason = 'schema_relationship_has_no_model_edge_kind'").count() == 0
+    empty = layer_of(frame, [], [], [], [], [], [])
+    assert all(df.count() == 0 for df in empty)
+
+
+def layer_of(frame, tables, columns, keys, enums, kinds, signals, edges=("replaces",)):
+    return entities.entity_layer(
+        frame(tables, "table string, file string"), frame(columns, "table string, column string, unique boolean, target string"), frame(keys, "table string, column string"), frame(enums, "table string, column string, value string"),
+        frame(kinds, "kind string"), frame(signals, "entity string, source string"), edges, {"cust": "customer"},
+    )
+
+
+def test_singular_names(spark):
+    cases = {"orders": "order", "policies": "policy", "batches": "batch", "boxes": "box", "class": "class", "bus": "bus", "axis": "axis", "classes": "class", "search_criteria": "search_criterion", "indices": "index", "crew": "crew", "vessel_items": "vessel_item"}
+    df = spark.createDataFrame(list(cases.items()), "t string, want string")
+    assert [r for r in df.select("*", entities.singular(F.col("t")).alias("got")).collect() if r.want != r.got] == []
