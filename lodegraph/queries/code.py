@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites, entities
+from lodegraph.operators import callsites, entities, identity, obligations
 from lodegraph.sources.star import table
 
 #: Suppliers as modules, ship days as places in them: a year of 360 days holds twelve months, and the module all years.
@@ -90,7 +90,70 @@ def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.union(layer.refusals.select(F.lit("refusal"), "subject", F.lit(""), "reason")).union(layer.conflicts.select(F.lit("conflict"), "subject", "about", "reason"))
 
 
-QUERIES = {f.__name__: f for f in (call_bindings, entity_decisions, entity_relationships)}
+#: Code spread over the obligations of a claim: the kind of each line of an order.
+_KINDS = obligations.KINDS
+_DOC_PATH = F.concat_ws("/", F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("d"), (F.col("doc_id") % 40).cast("string")), F.col("doc_id").cast("string"))
+
+
+def _obligations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Lines of orders oblige their order by kinds in turn; parts are symbols, documents the tree, events the runs of checks."""
+    at = lambda d: F.concat_ws("/", F.concat(F.lit("r"), (d % 7).cast("string")), F.concat(F.lit("d"), (d % 40).cast("string")), d.cast("string"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    k, n = F.col("l_partkey"), F.col("l_quantity").cast("long")
+    made = lines.select(
+        F.col("l_orderkey").alias("claim_id"), ((k * 100 + n) * 10 + F.col("l_linenumber")).alias("obligation_id"), F.element_at(F.array(*map(F.lit, _KINDS)), F.col("l_linenumber")).alias("kind"),
+        F.when(n == 1, "missing name").otherwise(F.col("p_name")).alias("symbol"), F.when(F.col("l_linenumber") == 2, at(k)).when(k % 2 == 0, F.col("p_brand")).alias("path"), F.when(k % 3 == 0, F.col("p_type")).alias("declaration_kind"), (n % 4 != 0).alias("require_unique"),
+        (n % 6).alias("line"), F.element_at(F.array(*map(F.lit, ("e", "zq", "the", ""))), (k % 4 + 1).cast("int")).alias("quote"), F.concat(F.lit("r"), (k % 7).cast("string"), F.lit("/d"), (k % 40).cast("string"), F.when(k % 2 == 0, "/").otherwise("")).alias("prefix"),
+        F.when(F.col("l_linenumber") == 3, F.transform(F.sequence(F.lit(0), n % 5), lambda i: at(k % 280 + i.cast("long") * 280))).otherwise(F.array(at(k), at(k + 1), at(k))).alias("paths"), F.array(F.lit("qqq"), F.concat(F.lit("w"), (n % 10).cast("string"))).alias("needles"),
+        F.concat(F.lit("c"), (k % 300).cast("string")).alias("command"),
+    ).dropDuplicates(["claim_id", "obligation_id"])
+    symbols = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"))
+    files = table(spark, sf_dir, "documents").select(_DOC_PATH.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    events = table(spark, sf_dir, "events").where("event_id % 20 = 0")
+    runs = events.select(F.concat(F.lit("c"), (F.floor(F.col("event_id") / 20) % 400).cast("string")).alias("command"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code"), (F.col("value") > 5).alias("matched"), F.when(F.col("user_id") % 30 == 0, "timeout").alias("error"))
+    return made, symbols, files, runs
+
+
+def obligation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = obligations.evaluated(*_obligations(spark, sf_dir))
+    return found.groupBy("kind", "state").agg(F.count(F.lit(1)).alias("n"), F.sum("n_evidence").alias("n_evidence"))
+
+
+def claim_adjudication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.element_at(F.array(*map(F.lit, ("accepted_design", "proposed_design", "historical_design", "statement"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    claims = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim_id"), kinds.alias("claim_kind"))
+    return obligations.adjudicated(obligations.evaluated(*_obligations(spark, sf_dir)), claims)
+
+
+def _identities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events are declarations, documents mention places, labels link or forbid."""
+    events, documents, labels = (table(spark, sf_dir, t) for t in ("events", "documents", "labels"))
+    e, d = F.col("event_id"), F.col("doc_id")
+    kinds = F.array(*map(F.lit, ("click", "view", "purchase", "signup", "error")))
+    said = lambda c: F.concat(F.lit(c), d.cast("string"))
+    candidates = events.select(
+        F.concat(F.lit("c"), e.cast("string")).alias("mention_id"), F.col("event_type").alias("fact_kind"), F.when(e % 101 != 0, F.concat_ws("/", "user_id", "event_type", F.floor(F.col("value") / 4).cast("string"))).alias("basis"),
+        (e % 200).alias("file"), (F.floor(e / 200) % 60).alias("line"), F.col("event_type").alias("surface"),
+    )
+    mention = lambda name, df: df.select(said(name).alias("mention_id"), (d % 200).alias("file"), F.floor(d / 200).alias("line"), F.element_at(kinds, (d % 5 + 1).cast("int")).alias("surface"))
+    documentary = mention("d", documents).union(mention("e", documents.where("doc_id % 40 = 0")))
+    pairs = labels.select(said("d").alias("left"), F.concat(F.lit("d"), (d - d % 7).cast("string")).alias("right"), F.when(F.col("toxic") == 1, "cannot_link").otherwise("must_link").alias("disposition"), F.when((F.col("quality") == 0) & (d % 5 == 0), "type").otherwise("reviewed").alias("kind"))
+    return candidates, documentary, pairs
+
+
+def identity_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.join_receipts(*_identities(spark, sf_dir)).select("mention_id", "fact_kind", "component", "n_documentary", "disposition", "referent")
+
+
+def traversable_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's event and the one numbered next relate; both ends must have a referent."""
+    receipts = identity.join_receipts(*_identities(spark, sf_dir))
+    e = F.col("event_id")
+    relations = table(spark, sf_dir, "events").select(e.alias("relation_id"), F.col("event_type").alias("edge_kind"), F.concat(F.lit("c"), e.cast("string")).alias("from_mention"), F.concat(F.lit("c"), (e + 1).cast("string")).alias("to_mention"), F.when(F.col("value") > 3, "resolved").otherwise("ambiguous").alias("status"))
+    return identity.traversable(relations, receipts)
+
+
+QUERIES = {f.__name__: f for f in (call_bindings, entity_decisions, entity_relationships, obligation_states, claim_adjudication, identity_dispositions, traversable_relations)}
 
 def _sql_noun(n: str, words: tuple[str, ...] = _NOUNS) -> str:
     return f"[{', '.join(repr(w) for w in words)}][(({n}) % {len(words)}) + 1]"
@@ -128,6 +191,43 @@ _SCHEMA = f"""
     good AS (SELECT e, root FROM decisions WHERE refusal IS NULL)"""
 _PROJECTED = f"CASE WHEN {{0}} LIKE '%_summary' THEN {_one('left({0}, -8)')} END"
 
+_PATH_SQL = "'r' || ({0}) % 7 || '/d' || ({0}) % 40 || '/' || ({0})"
+_OBLIGATIONS = f"""
+    files AS (SELECT {_PATH_SQL.format('doc_id')} AS path, 'r' || doc_id % 7 || '/d' || doc_id % 40 AS folder, coalesce(text, '') AS text FROM documents), sym AS (SELECT p_name, p_brand, p_type FROM part WHERE p_partkey % 5 <> 0),
+    o AS (SELECT row_number() OVER () AS row, * FROM (SELECT DISTINCT l_orderkey AS claim_id, l_partkey AS k, l_quantity::BIGINT AS n, l_linenumber AS j, p_name, p_brand, p_type FROM lineitem JOIN part ON l_partkey = p_partkey)),
+    o1 AS (SELECT row, claim_id, n % 4 <> 0 AS one, count(s.p_name) AS found FROM o LEFT JOIN sym s ON n <> 1 AND s.p_name = o.p_name AND (k % 2 <> 0 OR s.p_brand = o.p_brand) AND (k % 3 <> 0 OR s.p_type = o.p_type) WHERE j = 1 GROUP BY ALL),
+    o2 AS (SELECT claim_id, text IS NULL OR n % 6 = 0 OR k % 4 = 3 AS lost, coalesce(contains(string_split(text, chr(10))[n % 6], ['e', 'zq', 'the', ''][k % 4 + 1]), false) AS held FROM o LEFT JOIN files ON path = {_PATH_SQL.format('k')} WHERE j = 2),
+    o3 AS (SELECT row, claim_id, 'r' || k % 7 || '/d' || k % 40 AS folder, k % 280 + i * 280 AS doc FROM (SELECT *, unnest(range(0, n % 5 + 1)) AS i FROM o WHERE j = 3)),
+    m3 AS (SELECT row, claim_id, o3.folder, count(*) AS n, count(*) FILTER (WHERE f.folder = o3.folder) AS met FROM o3 LEFT JOIN files f ON path = {_PATH_SQL.format('doc')} GROUP BY ALL),
+    o4 AS (SELECT claim_id, (a.path IS NOT NULL)::INT + (b.path IS NOT NULL)::INT AS there FROM o LEFT JOIN files a ON a.path = {_PATH_SQL.format('k')} LEFT JOIN files b ON b.path = {_PATH_SQL.format('k + 1')} WHERE j = 4),
+    o5 AS (SELECT claim_id, a.text IS NULL OR b.text IS NULL AS lost, coalesce(contains(a.text, 'qqq')::INT + contains(a.text, 'w' || n % 10)::INT, 0) + coalesce(contains(b.text, 'qqq')::INT + contains(b.text, 'w' || n % 10)::INT, 0) AS hits
+        FROM o LEFT JOIN files a ON a.path = {_PATH_SQL.format('k')} LEFT JOIN files b ON b.path = {_PATH_SQL.format('k + 1')} WHERE j = 5),
+    runs AS (SELECT event_id // 20 % 400 AS c, bool_and(event_type <> 'error' AND value > 5) AS passed, bool_or(user_id % 30 = 0) AS broken FROM events WHERE event_id % 20 = 0 GROUP BY 1),
+    o6 AS (SELECT claim_id, passed, broken FROM o LEFT JOIN runs ON c = k % 300 WHERE j = 6),
+    results AS (SELECT claim_id, 'code_symbol_declared' AS kind, CASE WHEN found = 0 THEN 'refuted' WHEN one AND found > 1 THEN 'underdetermined' ELSE 'supported' END AS state, found AS n_evidence FROM o1
+        UNION ALL SELECT claim_id, 'source_text_present', CASE WHEN lost THEN 'unverifiable' WHEN held THEN 'supported' ELSE 'refuted' END, held::INT FROM o2
+        UNION ALL SELECT claim_id, 'tree_paths_exact', CASE WHEN (SELECT count(*) FROM files f WHERE f.folder = m3.folder) = met AND n = met THEN 'supported' ELSE 'refuted' END, met FROM m3
+        UNION ALL SELECT claim_id, 'tree_paths_present', CASE there WHEN 2 THEN 'supported' ELSE 'refuted' END, there FROM o4
+        UNION ALL SELECT claim_id, 'tree_text_absent', CASE WHEN lost THEN 'unverifiable' WHEN hits > 0 THEN 'refuted' ELSE 'supported' END, hits FROM o5
+        UNION ALL SELECT claim_id, 'verification_check_passed', CASE WHEN coalesce(broken, true) THEN 'unverifiable' WHEN passed THEN 'supported' ELSE 'refuted' END, (passed IS NOT NULL)::INT FROM o6
+        UNION ALL SELECT claim_id, 'open_question', 'underdetermined', 0 FROM o WHERE j = 7)"""
+_IDENTITY = """
+    cand AS (SELECT 'c' || event_id AS id, event_type AS fact_kind, CASE WHEN event_id % 101 <> 0 THEN user_id || '/' || event_type || '/' || floor(value / 4)::BIGINT END AS basis, event_id % 200 AS file, event_id // 200 % 60 AS line FROM events),
+    doc AS (SELECT 'd' || doc_id AS id, doc_id % 200 AS file, doc_id // 200 AS line, ['click', 'view', 'purchase', 'signup', 'error'][doc_id % 5 + 1] AS surface FROM documents
+        UNION ALL SELECT 'e' || doc_id, doc_id % 200, doc_id // 200, ['click', 'view', 'purchase', 'signup', 'error'][doc_id % 5 + 1] FROM documents WHERE doc_id % 40 = 0),
+    cons AS (SELECT 'd' || doc_id AS l, 'd' || (doc_id - doc_id % 7) AS r, CASE WHEN toxic = 1 THEN 'cannot_link' ELSE 'must_link' END AS disposition, quality = 0 AND doc_id % 5 = 0 AS typed FROM labels),
+    places AS (SELECT c.id AS cid, c.basis, count(*) AS n, min(d.id) AS did FROM cand c JOIN doc d ON c.file = d.file AND c.line = d.line AND c.fact_kind = d.surface GROUP BY ALL),
+    links AS (SELECT id AS a, min(id) OVER (PARTITION BY basis) AS b FROM cand WHERE basis IS NOT NULL UNION ALL SELECT cid, did FROM places WHERE n = 1 AND basis IS NOT NULL UNION ALL SELECT l, r FROM cons WHERE disposition = 'must_link'),
+    both_ways AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) WHERE a <> b),
+    walk AS (SELECT a AS x, b AS y FROM both_ways UNION SELECT x, b FROM walk JOIN both_ways ON y = a),
+    least AS (SELECT x, least(x, min(y)) AS component FROM walk GROUP BY x),
+    members AS (SELECT id, code, coalesce(component, id) AS component FROM (SELECT id, true AS code FROM cand WHERE basis IS NOT NULL UNION SELECT id, false FROM doc) LEFT JOIN least ON id = x),
+    barred AS (SELECT DISTINCT a.component FROM cons JOIN members a ON l = a.id JOIN members b ON r = b.id WHERE (disposition <> 'must_link' OR typed) AND a.component = b.component),
+    counts AS (SELECT component, count(*) FILTER (WHERE NOT code) AS n_documentary FROM members GROUP BY component),
+    settled AS (SELECT c.id AS mention_id, fact_kind, component, coalesce(n_documentary, 0) AS n_documentary, CASE WHEN component IN (SELECT component FROM barred) THEN 'cannot_link'
+            WHEN component IS NULL OR c.id IN (SELECT cid FROM places WHERE n > 1) THEN 'terminal_incomplete' WHEN n_documentary > 0 THEN 'joined' ELSE 'unresolved' END AS disposition FROM cand c LEFT JOIN members m ON c.id = m.id LEFT JOIN counts USING (component)),
+    receipts AS (SELECT *, CASE WHEN disposition = 'joined' THEN component END AS referent FROM settled)"""
+
 ORACLE_SQL = {
     "entity_decisions": f"""WITH {_SCHEMA}, owners AS (SELECT root AS t, max(e) AS entity FROM good WHERE root IS NOT NULL GROUP BY root)
         SELECT 'candidate' AS family, e AS entity, root AS root_table, evidence, n_sources, refusal FROM decisions
@@ -185,4 +285,14 @@ ORACLE_SQL = {
         t AS (SELECT *, CASE WHEN reason IS NOT NULL THEN 'unresolved' WHEN n > 1 OR kind = 'import' AND n_exported > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM r)
         SELECT file, status, coalesce(reason, '') AS reason, count(*) AS n, count(DISTINCT CASE WHEN status = 'resolved' THEN CASE WHEN kind = 'import' THEN exported ELSE declaration END END) AS n_declarations,
             sum(CASE WHEN status = 'ambiguous' THEN CASE WHEN n = 1 THEN least(25, n_exported) ELSE coalesce(n_declared, 0) END ELSE 0 END)::BIGINT AS n_candidates FROM t GROUP BY ALL""",
+    "obligation_states": f"WITH {_OBLIGATIONS} SELECT kind, state, count(*) AS n, sum(n_evidence)::BIGINT AS n_evidence FROM results GROUP BY kind, state",
+    "claim_adjudication": f"""WITH {_OBLIGATIONS}, c AS (SELECT claim_id, bool_or(state = 'refuted') AS r, bool_or(state = 'unverifiable') AS v, bool_or(state = 'underdetermined') AS u, count(*) AS n_results,
+            bool_or(state = 'supported' AND kind = 'verification_check_passed') AS executed, bool_or(state = 'supported' AND (kind LIKE 'tree%' OR kind = 'code_symbol_declared')) AS declared FROM results GROUP BY claim_id),
+        w AS (SELECT o_orderkey AS claim_id, o_custkey % 4 AS k, c.* EXCLUDE (claim_id), CASE WHEN r THEN 'refuted' WHEN v THEN 'unverifiable' WHEN u OR r IS NULL THEN 'underdetermined' ELSE 'supported' END AS verdict FROM orders LEFT JOIN c ON o_orderkey = c.claim_id)
+        SELECT claim_id, verdict, CASE WHEN verdict IN ('underdetermined', 'unverifiable') THEN 'unknown' WHEN k = 1 THEN CASE verdict WHEN 'supported' THEN 'not_started' ELSE 'diverged' END
+            WHEN k = 2 THEN CASE WHEN verdict = 'refuted' THEN 'diverged' WHEN executed OR declared THEN 'unknown' ELSE 'removed' END WHEN verdict = 'refuted' THEN CASE k WHEN 0 THEN 'not_started' ELSE 'diverged' END
+            WHEN executed THEN 'implemented' WHEN declared THEN 'partial' ELSE 'unknown' END AS realization, coalesce(n_results, 0) AS n_results FROM w""",
+    "identity_dispositions": f"WITH RECURSIVE {_IDENTITY} SELECT * FROM receipts",
+    "traversable_relations": f"""WITH RECURSIVE {_IDENTITY} SELECT event_id AS relation_id, event_type AS edge_kind, a.referent AS from_referent, b.referent AS to_referent
+        FROM events JOIN receipts a ON a.mention_id = 'c' || event_id JOIN receipts b ON b.mention_id = 'c' || (event_id + 1) WHERE value > 3 AND a.referent IS NOT NULL AND b.referent IS NOT NULL""",
 }

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites, entities
+from lodegraph.operators import callsites, entities, identity, obligations
 
 FILES = "file string, grammar boolean, broken boolean, reexports boolean"
 BINDINGS = "file string, scope int, name string, kind string, source string, initialized boolean, specifier string, imported string, declaration string"
@@ -143,3 +144,66 @@ def test_singular_names(spark):
     cases = {"orders": "order", "policies": "policy", "batches": "batch", "boxes": "box", "class": "class", "bus": "bus", "axis": "axis", "classes": "class", "search_criteria": "search_criterion", "indices": "index", "crew": "crew", "vessel_items": "vessel_item"}
     df = spark.createDataFrame(list(cases.items()), "t string, want string")
     assert [r for r in df.select("*", entities.singular(F.col("t")).alias("got")).collect() if r.want != r.got] == []
+
+
+def test_obligations_of_each_kind_and_outcome(spark):
+    files = [("a/x.js", "one\ntwo words\n"), ("a/y.js", "secret"), ("a/b/z.js", ""), ("ab/q.js", "one"), ("top", "t")]
+    symbols = [("run", "a/x.js", "function"), ("run", "a/y.js", "class"), ("stop", "a/x.js", "function"), ("stop", "a/x.js", "class"), (None, "a/x.js", "function")]
+    runs = [("ok", 0, True, None), ("ok", 0, None, None), ("bad", 1, True, None), ("quiet", 0, False, None), ("slow", None, None, "ETIMEDOUT"), ("flaky", 0, True, None), ("flaky", 2, True, None)]
+    names = [part.split()[0] for part in obligations.SCHEMA.split(", ")]
+    rows, want = [], {}
+
+    def add(kind, state, n, **body):
+        key = len(rows)
+        rows.append(tuple({"claim_id": key // 3, "obligation_id": key, "kind": kind, **body}.get(c) for c in names))
+        want[key] = (state, n)
+
+    symbol, text, exact, present, absent, check = obligations.KINDS[:6]
+    add(symbol, "underdetermined", 2, symbol="run"), add(symbol, "supported", 2, symbol="run", require_unique=False), add(symbol, "supported", 1, symbol="run", path="a/x.js"), add(symbol, "supported", 1, symbol="run", declaration_kind="class")
+    add(symbol, "refuted", 0, symbol="gone"), add(symbol, "underdetermined", 2, symbol="stop", path="a/x.js"), add(symbol, "supported", 1, symbol="stop", path="a/x.js", declaration_kind="class"), add(symbol, "refuted", 0, symbol="stop", path="a/y.js"), add(symbol, "refuted", 0)
+    add(text, "supported", 1, path="a/x.js", line=2, quote="wo wo"), add(text, "refuted", 0, path="a/x.js", line=1, quote="two"), add(text, "refuted", 0, path="a/x.js", line=9, quote="one"), add(text, "unverifiable", 0, path="no", line=1, quote="one"), add(text, "unverifiable", 0, path="a/x.js", line=1, quote=" ")
+    add(exact, "supported", 3, prefix="a/", paths=["a/x.js", "a/y.js", "a/b/z.js", "a/x.js"]), add(exact, "refuted", 2, prefix="a", paths=["a/x.js", "a/y.js"]), add(exact, "refuted", 3, prefix="a", paths=["a/x.js", "a/y.js", "a/b/z.js", "ab/q.js"]), add(exact, "supported", 1, prefix="a/b", paths=["a/b/z.js"])
+    add(exact, "supported", 1, prefix="top", paths=["top"]), add(exact, "supported", 5, paths=[f for f, _ in files]), add(exact, "unverifiable", 0, prefix="a", paths=[]), add(exact, "refuted", 0, prefix="void", paths=["void/x"])
+    add(present, "supported", 2, paths=["top", "a/x.js"]), add(present, "refuted", 1, paths=["top", "gone"]), add(present, "unverifiable", 0)
+    add(absent, "supported", 0, paths=["a/x.js", "top"], needles=["secret", "three"]), add(absent, "refuted", 1, paths=["a/x.js", "a/y.js"], needles=["secret"]), add(absent, "unverifiable", 0, paths=["a/x.js", "gone"], needles=["zz"]), add(absent, "unverifiable", 0, paths=["top"], needles=[]), add(absent, "refuted", 2, paths=["a/x.js"], needles=["one", "two", "none"])
+    add(check, "supported", 1, command="ok"), add(check, "refuted", 1, command="bad"), add(check, "refuted", 1, command="quiet"), add(check, "unverifiable", 1, command="slow"), add(check, "unverifiable", 0, command="never"), add(check, "refuted", 1, command="flaky")
+    add("open_question", "underdetermined", 0)
+    frames = (spark.createDataFrame(rows, obligations.SCHEMA), spark.createDataFrame(symbols, "name string, file string, kind string"), spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(runs, "command string, exit_code int, matched boolean, error string"))
+    found = obligations.evaluated(*frames)
+    assert {r.obligation_id: (r.state, r.n_evidence) for r in found.collect()} == want
+    open_world = {r.obligation_id: r.state for r in obligations.evaluated(*frames, complete_symbols=False, complete_tree=False).collect()}
+    assert [open_world[k] for k in (4, 15, 16, 23, 25, 26)] == ["underdetermined", "refuted", "underdetermined", "underdetermined", "underdetermined", "refuted"]
+    assert obligations.evaluated(frames[0].limit(0), *frames[1:]).collect() == []
+    with pytest.raises(ValueError):
+        obligations.evaluated(frames[0].withColumn("kind", F.lit("guess")), *frames[1:])
+
+
+def test_verdicts_and_realizations(spark):
+    results = [(1, "verification_check_passed", "supported"), (1, "open_question", "underdetermined"), (2, "tree_paths_present", "supported"), (3, "verification_check_passed", "supported"), (3, "code_symbol_declared", "supported"), (4, "source_text_present", "supported"), (5, "source_text_present", "refuted"), (5, "open_question", "underdetermined"), (6, "source_text_present", "unverifiable")]
+    claims = [(k, "accepted_design") for k in range(1, 8)]
+    frame = spark.createDataFrame([(*r, 1) for r in results], "claim_id int, kind string, state string, n int")
+    run = lambda kind: {r.claim_id: (r.verdict, r.realization) for r in obligations.adjudicated(frame, spark.createDataFrame([(k, kind) for k, _ in claims], "claim_id int, claim_kind string")).collect()}
+    assert run("accepted_design") == {1: ("underdetermined", "unknown"), 2: ("supported", "partial"), 3: ("supported", "implemented"), 4: ("supported", "unknown"), 5: ("refuted", "not_started"), 6: ("unverifiable", "unknown"), 7: ("underdetermined", "unknown")}
+    assert {k: v[1] for k, v in run("historical_design").items()} == {1: "unknown", 2: "unknown", 3: "unknown", 4: "removed", 5: "diverged", 6: "unknown", 7: "unknown"}
+    assert {k: v[1] for k, v in run("proposed_design").items()} == {1: "unknown", 2: "not_started", 3: "not_started", 4: "not_started", 5: "diverged", 6: "unknown", 7: "unknown"}
+    assert run("statement")[5] == ("refuted", "diverged")
+
+
+def test_identity_closure_ends_every_component(spark):
+    place = lambda k: ("f", k, "s")
+    candidates = [("c1", "A", "b1", *place(1)), ("c2", "A", "b1", *place(90)), ("c3", "A", "b2", *place(91)), ("c4", "B", "b3", *place(4)), ("c5", "B", "b4", *place(5)), ("c6", "B", None, *place(6)), ("c7", "B", "b5", *place(7)), ("c8", "B", "b6", *place(92)), ("c9", "B", "b7", "f", 1, "other")]
+    documentary = [("d1", *place(1)), ("d4", *place(4)), ("d5", *place(5)), ("d5b", *place(5)), ("d6", *place(6)), ("d7", *place(7)), ("d8", *place(80)), ("d9", *place(81)), ("d10", *place(82))]
+    constraints = [("d4", "d8", "must_link", "reviewed"), ("d8", "d4", "cannot_link", "reviewed"), ("d7", "d9", "must_link", "type"), ("c8", "d9", "cannot_link", "reviewed"), ("d1", "d10", "must_link", "reviewed"), ("d1", "lost", "cannot_link", "reviewed")]
+    frames = (spark.createDataFrame(candidates, "mention_id string, fact_kind string, basis string, file string, line int, surface string"), spark.createDataFrame(documentary, "mention_id string, file string, line int, surface string"), spark.createDataFrame(constraints, '"left" string, "right" string, disposition string, kind string'.replace('"', "`")))
+    receipts = {r.mention_id: (r.disposition, r.n_documentary, r.referent) for r in identity.join_receipts(*frames).collect()}
+    assert receipts == {
+        "c1": ("joined", 2, "c1"), "c2": ("joined", 2, "c1"), "c3": ("unresolved", 0, None), "c4": ("cannot_link", 2, None), "c5": ("terminal_incomplete", 0, None), "c6": ("terminal_incomplete", 0, None), "c7": ("cannot_link", 2, None), "c8": ("unresolved", 0, None), "c9": ("unresolved", 0, None),
+    }
+    assert {d for d, _, _ in receipts.values()} == set(identity.DISPOSITIONS)
+    components = identity.identity_components(frames[0].where("basis IS NOT NULL"), *frames[1:]).collect()
+    assert len(components) == 8 + 9 and {r.status for r in components} == {"blocked", "resolved", "unresolved"}
+    relations = spark.createDataFrame([(1, "calls", "c1", "c2", "resolved"), (2, "calls", "c1", "c3", "resolved"), (3, "calls", "c2", "c1", "ambiguous"), (4, "calls", "c2", "nobody", "resolved")], "relation_id int, edge_kind string, from_mention string, to_mention string, status string")
+    assert [tuple(r) for r in identity.traversable(relations, identity.join_receipts(*frames)).collect()] == [(1, "calls", "c1", "c1")]
+    locators = spark.createDataFrame([("r", "f", 1, "m", "c1"), ("r", "f", 2, "m", "c2"), ("r", "f", 2, "m", "c3")], "repo string, file string, line int, fact_kind string, mention_id string")
+    ends = spark.createDataFrame([(1, "from", "r", "f", 1, "m"), (1, "to", "r", "f", 2, "m"), (2, "from", "r", "f", 3, "m"), (2, "to", "r", "f", 1, "x")], "relation_id int, end string, repo string, file string, line int, fact_kind string")
+    assert sorted((r.relation_id, r.end, r.mention_id, r.state) for r in identity.anchored(ends, locators).collect()) == [(1, "from", "c1", "anchored"), (1, "to", None, "ambiguous_locator"), (2, "from", None, "no_candidate"), (2, "to", None, "no_candidate")]
