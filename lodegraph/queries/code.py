@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites, entities, identity, obligations
-from lodegraph.sources.star import table
+from lodegraph.operators import callsites, entities, identity, obligations, slices
+from lodegraph.sources import star
+from lodegraph.sources.star import GRAPH_SQL, table
 
 #: Suppliers as modules, ship days as places in them: a year of 360 days holds twelve months, and the module all years.
 _YEAR, _MONTH, _MODULE = 360, 30, 3600
@@ -153,7 +154,26 @@ def traversable_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.traversable(relations, receipts)
 
 
-QUERIES = {f.__name__: f for f in (call_bindings, entity_decisions, entity_relationships, obligation_states, claim_adjudication, identity_dispositions, traversable_relations)}
+def graph_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven enumerators over orders, customers, suppliers and parts; the members of a slice as one digest."""
+    nodes = star.nodes(spark, sf_dir).where("kind IN ('Order', 'Customer', 'Supplier', 'Part')").select("node_id")
+    edges = star.edges(spark, sf_dir, ("member_of", "emits")).where("relation = 'member_of' OR src LIKE '%7'")
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
+    seed = lambda name, node, hops: F.struct(F.lit(name).alias("enumerator"), node.alias("primary"), node.alias("node"), F.lit(hops).alias("hops"))
+    flows = edges.where("relation = 'emits'").select(F.col("dst").alias("node")).distinct().select(seed("E1-flow", F.col("node"), 1).alias("s"))
+    closures = customer.select(seed("E2-closure", star.node_id("Customer", "c_custkey"), 2).alias("s"))
+    hubs = slices.top_hubs(edges, nodes, 12).select(seed("E6-hub", F.col("node"), 1).alias("s"))
+    group = lambda name, df, primary, node: df.select(F.lit(name).alias("enumerator"), primary.alias("primary"), node.alias("node"))
+    groups = (
+        group("E3-members", part, F.col("p_brand"), star.node_id("Part", "p_partkey")).union(group("E4-group", customer, F.col("c_nationkey").cast("string"), star.node_id("Customer", "c_custkey")))
+        .union(group("E5-family", part, F.concat_ws("/", "p_brand", "p_type"), star.node_id("Part", "p_partkey"))).union(group("E7-component", slices.lesser_components(edges, nodes), F.col("primary"), F.col("node")))
+    )
+    judged, members = slices.enumerated(flows.union(closures).union(hubs).select("s.*"), groups, edges)
+    listed = members.groupBy("enumerator", "primary").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), " "), 256).alias("members"))  # a slice is bounded
+    return judged.join(listed, ["enumerator", "primary"], "left").select("enumerator", "primary", F.when(F.col("disposition") != "over_projection_bound", F.col("n_members")).alias("n_members"), "disposition", "members")
+
+
+QUERIES = {f.__name__: f for f in (call_bindings, entity_decisions, entity_relationships, obligation_states, claim_adjudication, identity_dispositions, traversable_relations, graph_slices)}
 
 def _sql_noun(n: str, words: tuple[str, ...] = _NOUNS) -> str:
     return f"[{', '.join(repr(w) for w in words)}][(({n}) % {len(words)}) + 1]"
@@ -295,4 +315,20 @@ ORACLE_SQL = {
     "identity_dispositions": f"WITH RECURSIVE {_IDENTITY} SELECT * FROM receipts",
     "traversable_relations": f"""WITH RECURSIVE {_IDENTITY} SELECT event_id AS relation_id, event_type AS edge_kind, a.referent AS from_referent, b.referent AS to_referent
         FROM events JOIN receipts a ON a.mention_id = 'c' || event_id JOIN receipts b ON b.mention_id = 'c' || (event_id + 1) WHERE value > 3 AND a.referent IS NOT NULL AND b.referent IS NOT NULL""",
+    "graph_slices": f"""WITH RECURSIVE {GRAPH_SQL}, n AS (SELECT node_id AS node FROM nodes WHERE kind IN ('Order', 'Customer', 'Supplier', 'Part')),
+            e AS (SELECT src, dst, relation FROM edges WHERE relation = 'member_of' OR relation = 'emits' AND src LIKE '%7'), l AS (SELECT src AS node, dst AS other FROM e UNION SELECT dst, src FROM e),
+            hubs AS (SELECT node FROM n LEFT JOIN l USING (node) GROUP BY node ORDER BY count(other) DESC, node LIMIT 12),
+            hop1 AS (SELECT node AS seed, node FROM n UNION SELECT node, other FROM l), hop2 AS (SELECT seed, node FROM hop1 WHERE seed LIKE 'customer:%' UNION SELECT seed, other FROM hop1 JOIN l USING (node) WHERE seed LIKE 'customer:%'),
+            small_links AS (SELECT * FROM l WHERE node NOT IN (SELECT node FROM l GROUP BY node HAVING count(*) > 1000)),
+            reach AS (SELECT node, other FROM l WHERE node LIKE 'customer:%' OR other LIKE 'customer:%' UNION SELECT r.node, l.other FROM reach r JOIN l ON r.other = l.node),
+            customers AS (SELECT node, least(node, min(other)) AS component FROM reach GROUP BY node), sold AS (SELECT DISTINCT node FROM l WHERE node LIKE 'part:%' OR node LIKE 'supplier:%'),
+            components AS (SELECT node, coalesce(component, CASE WHEN s.node IS NOT NULL THEN (SELECT min(node) FROM sold) END, node) AS primary_ FROM n LEFT JOIN customers USING (node) LEFT JOIN sold s USING (node)),
+            giant AS (SELECT primary_ FROM components GROUP BY primary_ ORDER BY count(*) DESC, primary_ LIMIT 1),
+            m AS (SELECT 'E1-flow' AS enumerator, seed AS primary_, node FROM hop1 WHERE seed IN (SELECT dst FROM e WHERE relation = 'emits') UNION ALL SELECT 'E2-closure', seed, node FROM hop2 UNION ALL SELECT 'E6-hub', seed, node FROM hop1 WHERE seed IN (SELECT node FROM hubs)
+                UNION ALL SELECT 'E3-members', p_brand, 'part:' || p_partkey FROM part UNION ALL SELECT 'E4-group', cast(c_nationkey AS VARCHAR), 'customer:' || c_custkey FROM customer UNION ALL SELECT 'E5-family', p_brand || '/' || p_type, 'part:' || p_partkey FROM part
+                UNION ALL SELECT 'E7-component', primary_, node FROM components WHERE primary_ NOT IN (SELECT primary_ FROM giant)),
+            s AS (SELECT enumerator, primary_, count(*) AS k, CASE WHEN count(*) <= 80 THEN string_agg(node, ' ' ORDER BY node) END AS listed FROM m GROUP BY ALL),
+            d AS (SELECT *, row_number() OVER (PARTITION BY listed ORDER BY enumerator, primary_) AS nth FROM s),
+            j AS (SELECT enumerator, primary_, k, listed, CASE WHEN k > 80 THEN 'over_projection_bound' WHEN k < 4 THEN 'below_minimum_members' WHEN nth > 1 THEN 'duplicate_member_set' ELSE 'slice' END AS disposition FROM d)
+        SELECT enumerator, primary_ AS "primary", CASE WHEN k <= 80 THEN k END AS n_members, disposition, CASE disposition WHEN 'slice' THEN sha256(listed) END AS members FROM j""",
 }

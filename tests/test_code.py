@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodegraph.operators import callsites, entities, identity, obligations
+from lodegraph.operators import callsites, entities, identity, obligations, slices
 
 FILES = "file string, grammar boolean, broken boolean, reexports boolean"
 BINDINGS = "file string, scope int, name string, kind string, source string, initialized boolean, specifier string, imported string, declaration string"
@@ -207,3 +207,23 @@ def test_identity_closure_ends_every_component(spark):
     locators = spark.createDataFrame([("r", "f", 1, "m", "c1"), ("r", "f", 2, "m", "c2"), ("r", "f", 2, "m", "c3")], "repo string, file string, line int, fact_kind string, mention_id string")
     ends = spark.createDataFrame([(1, "from", "r", "f", 1, "m"), (1, "to", "r", "f", 2, "m"), (2, "from", "r", "f", 3, "m"), (2, "to", "r", "f", 1, "x")], "relation_id int, end string, repo string, file string, line int, fact_kind string")
     assert sorted((r.relation_id, r.end, r.mention_id, r.state) for r in identity.anchored(ends, locators).collect()) == [(1, "from", "c1", "anchored"), (1, "to", None, "ambiguous_locator"), (2, "from", None, "no_candidate"), (2, "to", None, "no_candidate")]
+
+
+def test_slices_grow_within_bounds_and_stand_once(spark):
+    edges = [("hub", f"x{i:02}") for i in range(80)] + [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "a"), ("b", "a"), ("p", "q"), ("x00", "near")]
+    edges = spark.createDataFrame(edges, "src string, dst string")
+    nodes = spark.createDataFrame([(n,) for n in ["hub", *(f"x{i:02}" for i in range(80)), *"abcdepq", "near", "alone"]], "node_id string")
+    seeds = spark.createDataFrame([("E1", "hub", "hub", 1), ("E1", "x00", "x00", 1), ("E2", "near", "near", 2), ("E2", "x01", "x01", 2), ("E2", "c", "c", 2), ("E2", "b", "b", 2), ("E1", "b", "b", 1), ("E2", "far", "near", 1)], "enumerator string, primary string, node string, hops int")
+    lesser = slices.lesser_components(edges, nodes)
+    assert {(r.primary, r.node) for r in lesser.collect()} == {("a", n) for n in "abcde"} | {("p", "p"), ("p", "q"), ("alone", "alone")}
+    groups = lesser.select(F.lit("E7").alias("enumerator"), "primary", "node").union(spark.createDataFrame([("E4", "all", f"x{i:02}") for i in range(80)] + [("E5", "most", f"x{i:02}") for i in range(80)] + [("E5", "most", "y")] + [("E4", "abcd", n) for n in "dcbaa"], "a string, b string, c string"))
+    judged, members = slices.enumerated(seeds, groups, edges)
+    assert {(r.enumerator, r.primary): (r.n_members, r.disposition) for r in judged.collect()} == {
+        ("E1", "hub"): (None, "over_projection_bound"), ("E1", "x00"): (3, "below_minimum_members"), ("E2", "near"): (3, "below_minimum_members"), ("E2", "x01"): (None, "over_projection_bound"), ("E2", "c"): (5, "slice"), ("E2", "b"): (4, "slice"), ("E1", "b"): (3, "below_minimum_members"),
+        ("E2", "far"): (2, "below_minimum_members"), ("E7", "a"): (5, "duplicate_member_set"), ("E7", "p"): (2, "below_minimum_members"), ("E7", "alone"): (1, "below_minimum_members"), ("E4", "all"): (80, "slice"), ("E5", "most"): (81, "over_projection_bound"), ("E4", "abcd"): (4, "duplicate_member_set"),
+    }
+    kept = members.groupBy("enumerator", "primary").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {(r.enumerator, r.primary, r.n) for r in kept} == {("E2", "c", 5), ("E2", "b", 4), ("E4", "all", 80)}
+    assert [r.node for r in slices.top_hubs(edges, nodes, 3).collect()] == ["hub", "b", "c"]
+    empty = slices.enumerated(seeds.limit(0), groups.limit(0), edges.limit(0))
+    assert all(df.count() == 0 for df in empty)
