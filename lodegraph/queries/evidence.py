@@ -59,11 +59,7 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.sections(lines, level, 3)
 
 
-def section_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.byte_windows(table(spark, sf_dir, "documents"), most=4096)
-
-
-def overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.byte_windows(table(spark, sf_dir, "documents"), most=4096, overlap=512)
 
 
@@ -187,7 +183,7 @@ def stream_event_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        secret_withholding, language_census, token_postings, doc_frequency_ambient, occurrence_join, hit_buckets, document_sections, section_windows, overlap_windows,
+        secret_withholding, language_census, token_postings, doc_frequency_ambient, occurrence_join, hit_buckets, document_sections, line_windows,
         proposition_buckets, candidate_pair_count, claim_pair_classes, ten_class_histogram, modality_diff, identity_groups, pattern_membership, membership_outcomes,
         confusion, precision_recall, wilson_by_source, arm_effects, paired_difference, bootstrap_interval, unit_plan_reuse, outcome_drift, stream_event_totals,
     )
@@ -220,6 +216,12 @@ _WILSON = "(p + 3.841458820694124 / (2 * n) {} 1.959963984540054 * sqrt(p * (1 -
 _GENERATION = "SELECT o_custkey AS id, CASE WHEN count(*) >= 5 THEN 'member' ELSE 'abstain' END AS outcome, count(*) AS n FROM orders WHERE o_orderdate {} TIMESTAMP '1998-01-01' GROUP BY 1"
 
 ORACLE_SQL = {
+    "line_windows": """WITH RECURSIVE split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), lines AS (SELECT doc_id, i AS line, strlen(l[i]) + 1 AS n FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split)),
+            folded AS (SELECT doc_id, line, n, 0 AS w, n AS held FROM lines WHERE line = 1 UNION ALL SELECT l.doc_id, l.line, l.n, CASE WHEN held + l.n > 4096 THEN w + 1 ELSE w END, CASE WHEN held + l.n > 4096 THEN l.n ELSE held + l.n END FROM folded f JOIN lines l ON f.doc_id = l.doc_id AND l.line = f.line + 1),
+            made AS (SELECT doc_id, w, min(line) AS line, max(line) AS line_end, sum(n)::BIGINT AS n_bytes FROM folded GROUP BY doc_id, w),
+            upto AS (SELECT doc_id, line, sum(n) OVER (PARTITION BY doc_id ORDER BY line) - n AS before FROM lines),
+            context AS (SELECT m.doc_id, w, max(c.line) FILTER (WHERE u.before - c.before >= 512) AS reached FROM made m JOIN upto u ON u.doc_id = m.doc_id AND u.line = m.line JOIN upto c ON c.doc_id = m.doc_id AND c.line < m.line GROUP BY ALL)
+        SELECT m.doc_id, m.w::BIGINT AS "window", m.line, m.line_end, CASE WHEN m.w = 0 THEN 1 ELSE coalesce(reached, 1) END AS context_line, n_bytes FROM made m LEFT JOIN context USING (doc_id, w)""",
     "secret_withholding": r"""SELECT doc_id, sha256(out) AS sha256, out <> text AS withheld FROM (SELECT doc_id, text, regexp_replace(regexp_replace(marked, chr(64976) || '["''`]' || chr(64977) || '["''`]', '''[redacted]''', 'g'), chr(64976) || chr(64977), '', 'g') AS out
         FROM (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '(?i)((?:password|passwd|secret|api[_-]?key|token)["'']?[ \t\x0b\f\r]*[=:][ \t\x0b\f\r]*)(?:(["''`])[^"''`\n]*(["''`])|([^ \t\x0b\f\r\n,;}]+))',
             '\1\4' || chr(64976) || '\2' || chr(64977) || '\3', 'g') AS marked FROM documents))""",
