@@ -8,10 +8,11 @@ the least distance of the item to any substring of a window. Nothing within the
 and nothing beyond it is reported.
 
 Texts and items are compared in lower case with white space runs as one blank. The benchmark is
-the query set: it is read in blocks of at most `BLOCK_CHARS` characters, each of which is sent to
-the executors with one narrow pass over the corpus, so a benchmark of any size is handled.
+the query set, dealt into blocks of about `BLOCK_CHARS` characters by the executors, which write them to the shared folder as files
+that Spark hands to every worker; the driver sees their names only. The corpus is passed over once: a worker holds one
+block's automaton at a time, and if there are several blocks, it gathers `HELD_BYTES` of text before it goes through them. So neither memory nor the plan grows with the benchmark.
 
-An item shorter than `short` characters has no budget, since a few edits make it another; it must
+The budget is floor(rate * m) edits for an item of any length. Where that is none, the item must
 stand whole, between characters that are no letters or digits (or at the text's ends).
 
 Defined cases: null or empty texts and items match nothing; texts of any length are searched whole; of places
@@ -22,18 +23,23 @@ give empty results; other columns of the documents are carried, and one named `h
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import map_batches
+from lodegraph.llm.common import BATCH_BYTES, bound_batches
+from lodegraph.runtime import ensure_importable, shared_dir
 
 RATE = 0.06
-SHORT = 40
 BLOCK_CHARS = 2_000_000
+#: Bytes of text that a worker gathers before it goes through more than one block.
+HELD_BYTES = 32_000_000
 
 _WORD = re.compile(r"\S+")
 
@@ -75,11 +81,10 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     """The pieces of a block of items, and the search for items in a text."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE, short: int = SHORT):
+    def __init__(self, items: list[tuple], rate: float = RATE):
         import ahocorasick
 
-        self.items = [(i, n, int(rate * len(n)) if len(n) >= short else 0) for i, text in items if text and (n := normal(text))]
-        self.short = short
+        self.items = [(i, n, int(rate * len(n))) for i, text in items if text and (n := normal(text))]
         places: dict[str, list[tuple[int, int]]] = {}
         for at, (_, item, budget) in enumerate(self.items):
             for offset, piece in pieces(item, budget):
@@ -98,7 +103,7 @@ class Matcher:
             for at, offset in held:
                 _, item, budget = self.items[at]
                 start = last + 1 - length - offset
-                if len(item) < self.short and not self._stands_alone(text, start, last + 1):
+                if not budget and not self._stands_alone(text, start, last + 1):
                     continue
                 found.setdefault(at, []).append((max(0, start - budget), min(len(text), start + len(item) + budget)))
         merged: dict[int, list[list[int]]] = {}
@@ -147,37 +152,72 @@ class Matcher:
                     yield i
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
-    """The benchmark's items, by blocks of about `block_chars` characters."""
+def written_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[str]:
+    """Names of the files, known to every worker, that hold the benchmark's items in blocks of about `block_chars` characters."""
+    spark = benchmark.sparkSession
     items = benchmark.where(F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-total // block_chars))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
-
-
-def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    if not total:
+        return []
+    folder = f"{shared_dir(spark).rstrip('/')}/blocks/{uuid.uuid4().hex}"
+    dealt = items.repartition(max(1, -(-total // block_chars)), F.xxhash64("item_id", "text"))
+    dealt.select(F.to_json(F.struct("item_id", "text"), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    parts = sorted(f.getPath().toString() for f in files if f.getPath().getName().startswith("part-"))
+    for part in parts:
+        spark.sparkContext.addFile(part)
+    return [part.rsplit("/", 1)[1] for part in parts]
+
+
+@lru_cache(maxsize=1)
+def block_matcher(name: str, rate: float) -> Matcher:
+    """The matcher of a block; a worker keeps the last one."""
+    from pyspark import SparkFiles
+
+    with open(SparkFiles.get(name), encoding="utf-8") as lines:
+        items = [(row["item_id"], row["text"]) for row in map(json.loads, lines)]
+    return Matcher(sorted(items, key=repr), rate)
+
+
+def search(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS, held_bytes: int = HELD_BYTES) -> DataFrame:
     """`docs` with hits: array of (item_id, distance, start, end), empty where nothing is found."""
+    spark = docs.sparkSession
+    ensure_importable(spark)
+    bound_batches(spark)
     item_kind = dict(benchmark.dtypes)["item_id"]
     columns = [c for c in docs.columns if c.lower() != "hits"]
     hit_type = pa.list_(pa.struct([("item_id", _arrow(benchmark, "item_id")), ("distance", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-    hit_schema = f"array<struct<item_id: {item_kind}, distance: int, start: bigint, end: bigint>>"
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"hits {hit_schema}"])
-    out = docs.select(*columns, F.array().cast(hit_schema).alias("hits"))
-    for block in item_blocks(benchmark, block_chars):
-        matcher: list[Matcher] = []
-
-        def look(batch: pa.RecordBatch, block: list[tuple] = block, matcher: list[Matcher] = matcher) -> pa.RecordBatch:
-            if not matcher:
-                matcher.append(Matcher(block, rate, short))
-            texts, before = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
-            hits = [old + matcher[0].find(t) for t, old in zip(texts, before, strict=True)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(hits, hit_type)], names=[*columns, "hits"])
-
-        out = map_batches(out, look, schema)
-    return out
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"hits array<struct<item_id: {item_kind}, distance: int, start: bigint, end: bigint>>"])
+    blocks = written_blocks(benchmark, block_chars)
+
+    def searched(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [batch.column("text").to_pylist() for batch in held]
+        found: list[list[list[dict]]] = [[[] for _ in part] for part in texts]
+        for name in blocks:
+            matcher = block_matcher(name, rate)
+            for part, out in zip(texts, found, strict=True):
+                for text, hits in zip(part, out, strict=True):
+                    hits += matcher.find(text)
+        for batch, out in zip(held, found, strict=True):
+            out = [sorted(hits, key=lambda h: (h["start"], h["end"])) for hits in out]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, hit_type)], names=[*columns, "hits"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for whole in batches:
+            step = max(1, int(whole.num_rows * BATCH_BYTES / max(whole.nbytes, 1)))
+            for at in range(0, whole.num_rows, step):
+                held.append(whole.slice(at, step))
+                size += held[-1].nbytes
+                if len(blocks) < 2 or size >= held_bytes:
+                    yield from searched(held)
+                    held, size = [], 0
+        if held:
+            yield from searched(held)
+
+    return docs.select(*columns).mapInArrow(look, schema)
 
 
 def _arrow(df: DataFrame, column: str) -> pa.DataType:
@@ -186,11 +226,11 @@ def _arrow(df: DataFrame, column: str) -> pa.DataType:
     return to_arrow_type(df.schema[column].dataType)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance, start, end."""
-    return search(docs.select("doc_id", "text"), benchmark, rate, short).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+    return search(docs.select("doc_id", "text"), benchmark, rate).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, short: int = SHORT) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents in which no item is found, with their columns."""
-    return search(docs, benchmark, rate, short).where(F.size("hits") == 0).select(*[c for c in docs.columns if c.lower() != "hits"])
+    return search(docs, benchmark, rate).where(F.size("hits") == 0).select(*[c for c in docs.columns if c.lower() != "hits"])

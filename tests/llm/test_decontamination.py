@@ -30,7 +30,7 @@ def test_myers(seed):
 def test_nothing_within_the_budget_is_missed(seed):
     rng = random.Random(seed)
     items = [(i, "".join(rng.choices("abcd ", k=rng.randint(40, 80)))) for i in range(4)]
-    matcher = dc.Matcher(items, rate=0.1, short=20)
+    matcher = dc.Matcher(items, rate=0.1)
     for _ in range(30):
         text = list(rng.choice(items)[1])
         for _ in range(rng.randint(0, 8)):
@@ -42,7 +42,7 @@ def test_nothing_within_the_budget_is_missed(seed):
         assert {h["item_id"]: h["distance"] for h in matcher.find(whole)} == expected
 
 
-def test_short_items_must_stand_whole():
+def test_items_without_a_budget_must_stand_whole():
     matcher = dc.Matcher([(1, "cat sat on"), (2, "C++"), (3, "")])
     assert [h["item_id"] for h in matcher.find("The  CAT\nsat on.")] == [1]
     assert matcher.find("a bobcat sat on it, a cat sat once") == []
@@ -50,6 +50,27 @@ def test_short_items_must_stand_whole():
     assert (hit["item_id"], hit["distance"], hit["start"], hit["end"]) == (2, 0, 3, 6)
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_items_of_ten_to_sixty_characters_with_edits(seed):
+    rng = random.Random(seed)
+    items = [(i, "".join(rng.choices("abcd ", k=n))) for i, n in enumerate(range(10, 61, 5))]
+    items = [(i, t) for i, t in items if dc.normal(t)]
+    matcher = dc.Matcher(items)
+    for _ in range(40):
+        text = list(rng.choice(items)[1])
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 1)] = rng.choices("xyz", k=rng.randint(0, 1))
+        whole = rng.choice(["e", ". ", ""]) + "".join(text) + rng.choice([" f", "!", ""])
+        normal, expected = dc.normal(whole), {}
+        for i, t in items:
+            item = dc.normal(t)
+            budget, best = int(dc.RATE * len(item)), distance(item, normal)[0]
+            if budget and best <= budget or not budget and any(normal.startswith(item, k) and dc.Matcher._stands_alone(normal, k, k + len(item)) for k in range(len(normal))):
+                expected[i] = best
+        assert {h["item_id"]: h["distance"] for h in matcher.find(whole)} == expected
+
+
 def test_query_against_brute_force_with_edits(spark, sf_dir):
     """Every document and item of the smallest tables, by the plain recurrence over the text's words around a shared word run."""
     from lodegraph.llm.queries import op8_decontamination
@@ -73,7 +94,9 @@ def test_search(spark):
     assert sorted(((r.doc_id, r.item_id, r.distance) for r in found), key=str) == sorted([(1, 7, 0), (1, 8, 0)] * 2 + [(None, 7, 1), (None, 8, 1)], key=str)
     assert {(r.start, r.end) for r in found if r.doc_id == 1} == {(3, 3 + len(item))}
     assert {r.doc_id for r in dc.clean(docs, bench).collect()} == {2, 3, 4, 5}
-    assert {tuple(r) for r in dc.leaks(docs, bench).collect()} == {tuple(r) for r in dc.search(docs, bench, block_chars=30).selectExpr("doc_id", "inline(hits)").collect()}
+    assert {tuple(r) for r in dc.leaks(docs, bench).collect()} == {tuple(r) for r in dc.search(docs, bench, block_chars=30, held_bytes=50).selectExpr("doc_id", "inline(hits)").collect()}
+    plan = dc.search(docs, bench, block_chars=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
     assert dc.leaks(docs, bench.limit(0)).collect() == dc.leaks(docs.limit(0), bench).collect() == []
 
 
