@@ -1,8 +1,9 @@
 r"""Secret scanning with a recursive decoding worklist.
 
-A text is the first layer. Each layer is scanned, then unwrapped: percent escapes and Unicode
-escapes are decoded in place, and base64 runs, also those wrapped over lines, are decoded at each
-alignment: every stretch of text in their bytes, and in compressed streams among these, opens a
+A text is the first layer. Each layer is scanned, then unwrapped: percent escapes, and Unicode, octal and
+entity escapes, are decoded in place, and base64 runs, also those wrapped over lines (real ones, the two characters of an escaped line end, quoted
+lines), are decoded at each
+alignment: every stretch of text in their bytes, of one or two bytes a character, and in compressed streams among these, opens a
 layer of its own, so a run may be glued to other characters of its class. New layers go on a worklist until none is left; a layer that was seen before with the
 same characters from the same places is not opened again, which ends cycles (a compressed stream
 may hold itself) and keeps equal content at several places apart. Every layer carries where each
@@ -15,7 +16,7 @@ Defined cases: a null or empty text has no spans; rows that repeat a doc_id are
 empty table gives an empty result; other columns are dropped unless named in `keep`; very long texts
 are whole. Streams may be nested to any depth, hold several members and inflate to any size: they are
 inflated and scanned in pieces of `PIECE` bytes that overlap by `OVERLAP`, so a task's memory is
-bounded; only a finding, run or stream inside one that is longer than the overlap may be seen in parts.
+bounded (their time isn't: a stream takes as long as it is when inflated); only a finding, run or stream inside one that is longer than the overlap may be seen in parts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import sha256
+from html.entities import html5
 from itertools import chain
 
 import pyarrow as pa
@@ -45,14 +47,21 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
-_ONE_ESCAPE = re.compile(r"\\[uUx]([0-9A-Fa-f]+?)(?=\\|&|$)|&#([0-9]+);|&#[xX]([0-9A-Fa-f]+);")
+_UNITS = (r"\\u\{([0-9A-Fa-f]{1,6})\}", r"\\u([0-9A-Fa-f]{4})", r"\\U([0-9A-Fa-f]{8})", r"\\x([0-9A-Fa-f]{2})", r"&#[xX]([0-9A-Fa-f]{1,6});", r"&#([0-9]{1,7});", r"\\([0-3][0-7]{2})", r"&([A-Za-z][A-Za-z0-9]{1,31};)")
+_ONE_ESCAPE = re.compile("|".join(_UNITS))
+_ESCAPE = re.compile(f"(?:{'|'.join(u.replace('(', '(?:') for u in _UNITS)})+")
+#: The base of the number in each unit; the last one is a name.
+_BASES = (16, 16, 16, 16, 16, 10, 8, 0)
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Where a run is broken: a line end, or an escaped one, and what quotes or indents the next line.
+_BREAK = re.compile(r"(?:\r?\n|(?:\\r)?\\n)[ \t>]*+")
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK.pattern}[A-Za-z0-9+/_-]++)++={{0,2}}")
 _BYTE_ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}")
 LEAST_RUN = 16
 #: All that findings and runs of deeper layers are made of, and the length of the shortest of them.
 _STRETCH = re.compile(rb"[\t-\r\x20-\x7e]{16,}")
+#: The same in text of two bytes a character.
+_WIDE = re.compile(rb"[\t-\r\x20-\x7e](?:\x00[\t-\r\x20-\x7e]){15,}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 
 
@@ -73,7 +82,11 @@ class Same(Sequence):
         return self.length
 
     def __getitem__(self, at):
-        return Same(self.value, len(range(*at.indices(self.length)))) if isinstance(at, slice) else self.value
+        if isinstance(at, slice):
+            return Same(self.value, len(range(*at.indices(self.length))))
+        if not -self.length <= at < self.length:
+            raise IndexError(at)
+        return self.value
 
 
 @dataclass
@@ -112,7 +125,11 @@ def _percent(run: str) -> list[tuple[str, int, int]] | None:
 def _escapes(run: str) -> list[tuple[str, int, int]]:
     out = []
     for m in _ONE_ESCAPE.finditer(run):
-        code = int(m[2]) if m[2] else int(m[1] or m[3], 16)
+        base = _BASES[m.lastindex - 1]
+        if not base:
+            out += [(c, *m.span()) for c in html5[m[8]]] if m[8] in html5 else [(m[0][i], m.start() + i, m.start() + i + 1) for i in range(len(m[0]))]
+            continue
+        code = int(m[m.lastindex], base)
         if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1][0]) < 0xDC00:
             high, low, _ = out.pop()
             out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), low, m.end()))
@@ -207,6 +224,8 @@ def _held(data: bytes) -> Iterator[str]:
             seen.add(key)
             for m in _STRETCH.finditer(piece):
                 yield m[0].decode("ascii")
+            for m in _WIDE.finditer(piece):
+                yield m[0][::2].decode("ascii")
             open_streams.append(_inner(piece))
 
 
@@ -226,8 +245,12 @@ def _runs(text: str) -> Iterator[tuple[str, Sequence[int]]]:
     for m in _BASE64.finditer(text):
         run = m[0].rstrip("=")
         yield run, range(m.start(), m.start() + len(run))
-    for m in _WRAPPED.finditer(text) if "\n" in text else ():
-        places = [i for i in range(*m.span()) if text[i] not in "=\r\n\t "]
+    for m in _WRAPPED.finditer(text) if "\n" in text or "\\n" in text else ():
+        places, at = [], m.start()
+        for gap in _BREAK.finditer(text, *m.span()):
+            places += range(at, gap.start())
+            at = gap.end()
+        places += range(at, at + len(text[at : m.end()].rstrip("=")))
         if len(places) >= LEAST_RUN:
             yield "".join([text[i] for i in places]), places
 
@@ -243,6 +266,11 @@ def _unwrapped(layer: Layer, run: str, places: Sequence[int]) -> Iterator[Layer]
         for m in _STRETCH.finditer(data):
             quads = [4 * (i // 3) for i in range(*m.span())]
             yield Layer(m[0].decode("ascii"), [layer.starts[at[q]] for q in quads], [layer.ends[at[min(q + 4, len(at)) - 1]] for q in quads])
+        for m in _WIDE.finditer(data):
+            firsts = range(*m.span(), 2)
+            starts = [layer.starts[at[4 * (i // 3)]] for i in firsts]
+            ends = [layer.ends[at[min(4 * (min(i + 1, m.end() - 1) // 3) + 4, len(at)) - 1]] for i in firsts]
+            yield Layer(m[0][::2].decode("ascii"), starts, ends)
         for m in _MAGIC.finditer(data):
             if m.start() % 3:
                 continue
@@ -259,13 +287,13 @@ def find(text: str | None) -> tuple[list[Span], list[Span]]:
     if not text:
         return [], []
     base, added = base_spans(text), set()
-    if "%" not in text and "\\" not in text and "&#" not in text and not _BASE64.search(text) and not _WRAPPED.search(text):
+    if "%" not in text and "\\" not in text and "&" not in text and not _BASE64.search(text) and not _WRAPPED.search(text):
         return base, []
     work = [Layer(text, range(len(text)), range(1, len(text) + 1))]
     seen = {work[0].key()}
     while work:
         layer = work.pop()
-        opened = [_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None, _in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&#" in layer.text else None]
+        opened = [_in_place(layer, _PERCENT, _percent) if "%" in layer.text else None, _in_place(layer, _ESCAPE, _escapes) if "\\" in layer.text or "&" in layer.text else None]
         inside = (inner for run, places in _runs(layer.text) for inner in _unwrapped(layer, run, places))
         for inner in chain(opened, _escaped_streams(layer), inside):
             if inner is None or (key := inner.key()) in seen:

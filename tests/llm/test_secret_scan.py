@@ -128,6 +128,61 @@ def test_binary_around_text():
     assert [k for k, *_ in secret_scan.find(b64(b"\xff\x00\xfe" + SECRET.encode() + b"\x80" * 9))[1]] == ["assign"]
 
 
+ENCODERS = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()),
+    "u": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+    "braces": lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t),
+    "octal": lambda t: "".join(f"\\{ord(c):03o}" for c in t),
+    "hex": lambda t: "".join(f"\\x{ord(c):02x}" for c in t),
+    "decimal": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "named": lambda t: t.replace("&", "&amp;").replace("=", "&equals;").replace('"', "&quot;").replace(":", "&colon;"),
+    "base64": lambda t: b64(t.encode()),
+    "wide": lambda t: b64(t.encode("utf-16")),
+    "wide_big": lambda t: b64(t.encode("utf-16-be")),
+    "wide_gzip": lambda t: b64(gzip.compress(t.encode("utf-16-le"))),
+    "gzip": lambda t: b64(gzip.compress(t.encode())),
+    "escaped_wrap": lambda t: "\\n".join(b64(t.encode())[i : i + 76] for i in range(0, len(b64(t.encode())), 76)),
+    "escaped_return": lambda t: "\\r\\n".join(b64(t.encode())[i : i + 64] for i in range(0, len(b64(t.encode())), 64)),
+    "quoted_wrap": lambda t: "\n> ".join(b64(t.encode())[i : i + 60] for i in range(0, len(b64(t.encode())), 60)),
+    "twice_quoted": lambda t: "\r\n>> ".join(b64(t.encode())[i : i + 60] for i in range(0, len(b64(t.encode())), 60)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_every_encoding_of_a_secret(name):
+    for pad in range(6):
+        inner = "x" * pad + " and then " + SECRET + " or so, and some more of it " * 3
+        text = f"é {ENCODERS[name](inner)} end"
+        base, added = secret_scan.find(text)
+        found = [(a, b) for k, a, b in added if k == "assign"]
+        assert found and all(2 <= a < b <= len(text) - 4 for a, b in found)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_generated_nestings(seed):
+    """Encoders chosen at random around a secret; what encodes last is undone first, so each layer must be opened."""
+    rng = random.Random(seed)
+    inner, names = f"see {SECRET} and more", rng.choices(sorted(ENCODERS), k=rng.randint(2, 3))
+    for name in names:
+        inner = f"{rng.choice(['', 'a note. ', 'é '])}{ENCODERS[name](inner)} end" if len(inner) < 30_000 else inner
+    text = f"start {inner} stop"
+    found = [s for part in secret_scan.find(text) for s in part if s[0] == "assign"]
+    assert found and all(6 <= a < b <= len(text) - 5 for _, a, b in found), names
+
+
+def test_wide_text_maps_to_its_own_characters():
+    noise = "nothing here at all, just words. "
+    text = b64((noise * 3 + SECRET + noise * 3).encode("utf-16-le"))
+    low, high = next((a, b) for k, a, b in secret_scan.find(text)[1] if k == "assign")
+    first = 2 * 3 * len(noise)
+    assert low == 4 * (first // 3) and high - low <= 4 * (2 * len(SECRET) // 3) + 8
+
+
+def test_unknown_names_stay():
+    assert secret_scan.find("a &nosuchname; b &amp c") == ([], [])
+    assert [k for k, *_ in secret_scan.find("&nosuch;password&equals;abcdefghijklmn")[1]] == ["assign"]
+
+
 def test_clean_text_and_cycles():
     assert secret_scan.find("100% sure \\ nothing & here, not even in QUJDREVGR0hJSktMTU5P") == ([], [])
     assert secret_scan.find("%2525252525") == ([], [])
