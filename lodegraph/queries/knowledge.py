@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegraph.operators import comparison, graph, patterns, records, walks
+from lodegraph.operators import comparison, graph, memberships, patterns, records, walks
 from lodegraph.sources import star
 from lodegraph.sources.star import GRAPH_SQL, table
 
@@ -168,11 +168,50 @@ def proposal_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.conserved(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("id")), "id")
 
 
+#: Concepts of parts and customers with what their absence means.
+ROLES = {
+    "sold": {"expression": {"and": [{"edge_exists": {"direction": "in", "relation": "emits", "kind": "Supplier"}}, {"field_in": {"path": "group", "values": ["STANDARD", "SMALL"]}}]}, "closed_world": False, "role": True},
+    "unsold": {"expression": {"not": {"edge_exists": {"direction": "in", "relation": "emits"}}}, "closed_world": True},
+    "asked": {"expression": {"or": [{"edge_exists": {"direction": "in", "relation": "member_of"}}, {"field_equals": {"path": "group", "value": "BUILDING"}}]}, "closed_world": False, "role": True},
+    "builder": {"expression": {"field_equals": {"path": "group", "value": "BUILDING"}}, "closed_world": True},
+}
+
+
+def _memberships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = star.nodes(spark, sf_dir)
+    edges = star.edges(spark, sf_dir, ("emits", "member_of"))
+    classes = F.when(F.endswith("src", F.lit("1")), "test").when(F.endswith("src", F.lit("2")), "fixture").when(F.endswith("src", F.lit("3")) | F.endswith("src", F.lit("4")), "docs").otherwise("production")
+    parts = table(spark, sf_dir, "part").select(star.node_id("Part", "p_partkey").alias("node_id"), F.col("p_partkey").alias("claim_id"), F.col("p_type").alias("group"))
+    subjects = parts.union(table(spark, sf_dir, "customer").select(star.node_id("Customer", "c_custkey"), F.col("c_custkey"), F.col("c_mktsegment")))
+    return memberships.evaluated(subjects, nodes, edges.withColumn("provenance_class", classes), ROLES)
+
+
+def witnessed_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part and customer in every concept, with what witnesses the outcome."""
+    made, _ = _memberships(spark, sf_dir)
+    return made
+
+
+def membership_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, witnesses = _memberships(spark, sf_dir)
+    return witnesses.groupBy("concept", "kind", F.coalesce("relation", F.lit("")).alias("relation"), F.coalesce("provenance_class", F.lit("")).alias("provenance_class")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node_id").alias("n_subjects"), F.min("witness").alias("first_witness"))
+
+
+def concept_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a concept, and those that a defeater contests: customers who owe."""
+    made, _ = _memberships(spark, sf_dir)
+    owing = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(star.node_id("Customer", "c_custkey").alias("node_id"), F.lit("asked").alias("concept"))
+    judged = memberships.contested(made, owing)
+    listed = memberships.members(judged, "asked", "likely", 300).withColumn("list", F.lit("members"))
+    return listed.unionByName(memberships.conflicts(judged, "asked", 40).withColumn("list", F.lit("conflicts"))).select("list", "node_id", "confidence", "n_witnesses", "truncated")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         pattern_concepts, comparison_histogram, oversize_buckets, signal_verdicts, claim_verdicts, plan_realization, provenance_walk, ownership_depth, recipe_traversal, grouped_view,
         view_shapes, frame_census, domain_propagation, betweenness, literal_leaves, edge_storage_ids, evidence_records, claim_reduction, proposal_conservation,
+        witnessed_memberships, membership_witnesses, concept_members,
     )
 }
 
@@ -199,7 +238,27 @@ def _identity(*parts: str) -> str:
     return f"sha256(concat_ws('|', {framed}))"
 
 
+_WITNESSED = f"""{GRAPH_SQL}, subj AS (SELECT 'part:' || p_partkey AS node_id, p_partkey AS claim_id, p_type AS g FROM part UNION ALL SELECT 'customer:' || c_custkey, c_custkey, c_mktsegment FROM customer),
+    w AS (SELECT dst AS node_id, edge_id, relation, src AS other, CASE right(src, 1) WHEN '1' THEN 'test' WHEN '2' THEN 'fixture' WHEN '3' THEN 'docs' WHEN '4' THEN 'docs' ELSE 'production' END AS class FROM edges WHERE relation IN ('emits', 'member_of')),
+    rules AS (SELECT unnest(['sold', 'unsold', 'asked', 'builder']) AS concept, unnest(['emits', 'emits', 'member_of', NULL]) AS relation, unnest([true, false, true, false]) AS role, unnest([false, true, false, true]) AS closed),
+    counted AS (SELECT s.node_id, claim_id, concept, role, closed, g, count(w.edge_id) AS n, count(*) FILTER (WHERE class = 'production') AS n_production, count(*) FILTER (WHERE class = 'test') AS n_test, count(*) FILTER (WHERE class = 'fixture') AS n_fixture, count(*) FILTER (WHERE class = 'docs') AS n_docs
+        FROM subj s CROSS JOIN rules r LEFT JOIN w ON w.node_id = s.node_id AND w.relation = r.relation GROUP BY ALL),
+    tested AS (SELECT *, CASE concept WHEN 'sold' THEN n > 0 AND g IN ('STANDARD', 'SMALL') WHEN 'unsold' THEN n = 0 WHEN 'asked' THEN n > 0 OR g = 'BUILDING' ELSE g = 'BUILDING' END AS matched FROM counted),
+    out AS (SELECT *, matched AND role AND n_production = 0 AS excluded, CASE WHEN matched AND role AND n_production = 0 THEN 'not_member' WHEN matched THEN 'member' WHEN closed THEN 'not_member' ELSE 'abstain' END AS outcome FROM tested),
+    made AS (SELECT node_id, concept, outcome, CASE WHEN excluded THEN 'matched_scope_excluded' WHEN matched THEN 'matched' WHEN closed THEN 'not_matched_closed_world' ELSE 'insufficient_evidence' END AS result,
+        CASE WHEN excluded THEN 'TEST_OR_FIXTURE_ONLY' WHEN outcome = 'abstain' THEN 'INVENTORY_INCOMPLETE' END AS reason, CASE WHEN outcome <> 'abstain' THEN CASE WHEN n > 0 THEN 'certain' ELSE 'likely' END END AS confidence,
+        CASE WHEN outcome = 'abstain' THEN 0 ELSE greatest(n, 1) END AS n_witnesses, CASE WHEN outcome = 'abstain' THEN 0 ELSE n_production END AS n_production, CASE WHEN outcome = 'abstain' THEN 0 ELSE n_test END AS n_test,
+        CASE WHEN outcome = 'abstain' THEN 0 ELSE n_fixture END AS n_fixture, CASE WHEN outcome = 'abstain' THEN 0 ELSE n_docs END AS n_docs FROM out)"""
+
 ORACLE_SQL = {
+    "witnessed_memberships": f"WITH {_WITNESSED} SELECT * FROM made",
+    "membership_witnesses": f"""WITH {_WITNESSED}, listed AS (SELECT concept, 'projected_edge' AS kind, relation, class, node_id, edge_id AS witness FROM out JOIN rules USING (concept) JOIN w USING (node_id, relation) WHERE outcome <> 'abstain'
+            UNION ALL SELECT concept, 'claim', '', '', node_id, cast(claim_id AS VARCHAR) FROM out WHERE outcome <> 'abstain' AND n = 0)
+        SELECT concept, kind, relation, class AS provenance_class, count(*) AS n, count(DISTINCT node_id) AS n_subjects, min(witness) AS first_witness FROM listed GROUP BY ALL""",
+    "concept_members": f"""WITH {_WITNESSED}, owing AS (SELECT 'customer:' || c_custkey AS node_id FROM customer WHERE c_acctbal < 0),
+            judged AS (SELECT node_id, outcome, n_witnesses, CASE WHEN outcome <> 'abstain' AND node_id IN (SELECT node_id FROM owing) THEN 'contested' ELSE confidence END AS confidence FROM made WHERE concept = 'asked'),
+            m AS (SELECT *, row_number() OVER (ORDER BY node_id) AS nth, count(*) OVER () AS k FROM judged WHERE outcome = 'member'), c AS (SELECT *, row_number() OVER (ORDER BY node_id) AS nth, count(*) OVER () AS k FROM judged WHERE confidence = 'contested')
+        SELECT 'members' AS list, node_id, confidence, n_witnesses, k > 300 AS truncated FROM m WHERE nth <= 300 AND confidence IN ('likely', 'certain') UNION ALL SELECT 'conflicts', node_id, confidence, n_witnesses, k > 40 FROM c WHERE nth <= 40""",
     "pattern_concepts": """WITH o AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS statuses FROM orders GROUP BY 1),
         c AS (SELECT 'customer:' || c_custkey AS node_id, c_mktsegment, r_name, statuses FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN o ON c_custkey = o_custkey),
         e AS (SELECT node_id, statuses, 'busy_builder' AS concept, c_mktsegment IN ('BUILDING', 'MACHINERY') AND statuses IS NOT NULL AS holds FROM c
