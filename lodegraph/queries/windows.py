@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import windows
-from lodegraph.sources import star
+from lodegraph.sources import canonical, star
 from lodegraph.sources.star import table
 
 _TILES = {"small": 400, "summary": 900, "standard": 8000}
@@ -40,7 +40,12 @@ def scope_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.tiles(scopes, members, _TILES).select("scope", "profile", "included", "total", "n_bytes", F.sha2("tile", 256).alias("tile_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (section_windows, overlap_windows, text_units, scope_tiles)}
+def canonical_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as one canonical text: records, bytes and the digest of its chunks' digests."""
+    return canonical.canonical_digest(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", F.array("c_mktsegment", "c_name").alias("tags")))
+
+
+QUERIES = {f.__name__: f for f in (section_windows, overlap_windows, text_units, scope_tiles, canonical_table)}
 
 #: Lines of `_headed`, with their bytes and level of heading.
 _LINES = """
@@ -100,4 +105,9 @@ ORACLE_SQL = {
             x AS (SELECT scope, profile, nth AS included, total, body || CASE WHEN nth < total THEN '"view/' || scope || '/nodes?after=' || nth || '"' ELSE 'null' END || '}' AS tile FROM f JOIN t USING (scope, profile, nth)
                 UNION ALL SELECT scope, profile, 0, 0, head || ',"node_rows":[],"node_rows_included":0,"node_rows_total":0,"node_rows_omitted":0,"continuation_address":null}' FROM s CROSS JOIN p WHERE n_nationkey NOT IN (SELECT k FROM m))
         SELECT scope, profile, included, total, strlen(tile) AS n_bytes, sha256(tile) AS tile_sha256 FROM x""",
+    "canonical_table": r"""WITH RECURSIVE t AS (SELECT '  {' || chr(10) || '    "c_custkey": ' || c_custkey || ',' || chr(10) || '    "c_name": "' || c_name || '",' || chr(10) || '    "c_nationkey": ' || c_nationkey || ',' || chr(10) || '    "tags": [' || chr(10) || '      "' || c_mktsegment || '",' || chr(10)
+                || '      "' || c_name || '"' || chr(10) || '    ]' || chr(10) || '  }' AS text FROM customer),
+            r AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS k FROM t), one AS (SELECT k // 4096 AS k, sha256(string_agg(text, ',' || chr(10) ORDER BY k)) AS text FROM r GROUP BY 1),
+            two AS (SELECT CASE WHEN count(*) > 1 THEN sha256(string_agg(text, ',' || chr(10) ORDER BY k)) ELSE min(text) END AS digest FROM one)
+        SELECT (SELECT count(*) FROM t) AS n, (SELECT sum(strlen(text) + 2)::BIGINT + 3 FROM t) AS n_bytes, digest FROM two""",
 }
