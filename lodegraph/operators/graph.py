@@ -7,6 +7,8 @@ through the shared folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,13 +84,13 @@ def consumers(edges: DataFrame, relation: str) -> DataFrame:
     return edges.where(F.col("relation") == relation).groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("src").alias("n_sources"))
 
 
-def reach(edges: DataFrame, sources: DataFrame, depth: int, directed: bool = True) -> DataFrame:
-    """Rows (source, node, depth) of every node within `depth` hops, at its least depth; sources have column node_id."""
+def reach(edges: DataFrame, sources: DataFrame, depth: int | None, directed: bool = True) -> DataFrame:
+    """Rows (source, node, depth) of every node within `depth` hops (None: at any distance), at its least depth; sources have column node_id."""
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     step = (step if directed else step.union(step.select("b", "a"))).where("a <> b").distinct()
     found = checkpoint(sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0).alias("depth")).distinct())
     front = found
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         moved = front.join(step, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct()
         front = checkpoint(moved.join(found, ["source", "node"], "left_anti").withColumn("depth", F.lit(level)))
         if front.isEmpty():
@@ -97,11 +99,39 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int, directed: bool = Tru
     return found
 
 
-def descendants(edges: DataFrame, depth: int = 12) -> DataFrame:
-    """Per parent, its distinct descendants over structural pairs (true reachability; cycles are harmless)."""
-    pairs = structural_pairs(edges).select(F.col("parent").alias("src"), F.col("child").alias("dst"))
-    parents = pairs.select(F.col("src").alias("node_id")).distinct()
-    return reach(pairs, parents, depth).where("depth > 0 AND source <> node").groupBy(F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("descendants"))
+def descendants(edges: DataFrame) -> DataFrame:
+    """Per parent, its distinct descendants over structural pairs, at any depth.
+
+    Where no descendant has two parents, subtrees are disjoint, so counts are summed up level by level: a row per node, whatever the depth. Only
+    parents above a node of several parents, and those on or below a cycle, are counted by their (source, node) pairs.
+    """
+    pairs = checkpoint(structural_pairs(edges).where("parent <> child"))
+    shared = pairs.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("child").alias("node"))
+    tangled = above = checkpoint(shared)
+    while not above.isEmpty():
+        above = checkpoint(pairs.join(above, F.col("child") == F.col("node"), "left_semi").select(F.col("parent").alias("node")).distinct().join(tangled, "node", "left_anti"))
+        tangled = tangled.union(above)
+    tangled = checkpoint(tangled.join(pairs.select(F.col("parent").alias("node")).distinct(), "node", "left_semi"))
+    plain = checkpoint(pairs.join(tangled, F.col("parent") == F.col("node"), "left_anti"))
+    roots = plain.select(F.col("parent").alias("node")).distinct().join(plain.select(F.col("child").alias("node")), "node", "left_anti")
+    levels = [checkpoint(roots)]
+    while True:
+        below = checkpoint(plain.join(levels[-1], F.col("parent") == F.col("node")).select(F.col("child").alias("node")))
+        if below.isEmpty():
+            break
+        levels.append(below)
+    counted, found = levels[-1].withColumn("n", F.lit(0).cast("long")), None
+    for upper in reversed(levels[:-1]):
+        sums = plain.join(counted, F.col("child") == F.col("node")).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("n") + 1).alias("n"))
+        counted = checkpoint(upper.join(sums, "node", "left").select("node", F.coalesce("n", F.lit(0)).alias("n")))
+        found = counted if found is None else found.union(counted)
+    simple = (found if found is not None else counted).where("n > 0").select(F.col("node").alias("node_id"), F.col("n").alias("descendants"))
+    rest = pairs.select(F.col("parent").alias("node_id")).distinct().join(simple, "node_id", "left_anti")
+    if rest.isEmpty():
+        return simple
+    step = pairs.select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+    walked = reach(step, rest, None).where("depth > 0 AND source <> node").groupBy(F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("descendants"))
+    return simple.union(walked)
 
 
 def ancestry(edges: DataFrame, starts: DataFrame, depth: int = 12) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from lodegraph.functions import text
@@ -112,3 +114,26 @@ def test_bootstrap_covers_the_mean(spark):
     units = spark.range(400).select(F.col("id").alias("u"), (F.col("id") % 10).cast("double").alias("v"))
     row = evaluation.bootstrap_interval(units, "u", "v", 200).first()
     assert row.n == 400 and row.low < row["mean"] < row.high and row.high - row.low < 1.2
+
+
+@pytest.mark.parametrize("seed, extra", [(0, 0), (1, 0), (2, 3), (3, 12), (4, 40)])
+def test_descendants_of_trees_meshes_and_cycles(spark, seed, extra):
+    """A tree, with more parents for some nodes, and edges back up."""
+    rng = random.Random(seed)
+    pairs = {(f"n{rng.randrange(max(0, i - 6), i)}", f"n{i}") for i in range(1, 40)} | {(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(extra)} | {("c0", "c1"), ("c1", "c2"), ("c2", "c0"), ("c1", "leaf"), ("self", "self")} | {(f"d{i}", f"d{i + 1}") for i in range(20)}
+    rows = [(str(k), "contains", "structural", "from", a, b) for k, (a, b) in enumerate(sorted(pairs))]
+    below: dict = {}
+    for a, b in pairs:
+        below.setdefault(a, set()).add(b)
+
+    def reached(node):
+        seen, work = set(), [node]
+        while work:
+            for child in below.get(work.pop(), ()):
+                if child not in seen:
+                    seen.add(child)
+                    work.append(child)
+        return len(seen - {node})
+
+    found = {r.node_id: r.descendants for r in graph.descendants(spark.createDataFrame(rows, "edge_id string, relation string, role string, parent_end string, src string, dst string")).collect()}
+    assert found == {a: reached(a) for a in below if reached(a)}
