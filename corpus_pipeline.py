@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its
 result is written as Parquet and read again by the next. All but the last return the columns of
 `documents`.
+
+Defined cases: a null or empty text has no language and goes in the first stage, as a text without letters does; very long texts pass whole; rows
+that repeat a doc_id stay rows of their own, and of equal texts the least doc_id stays; an empty table gives an empty result in
+every stage; columns beside those of `documents` are dropped.
 """
 
 from __future__ import annotations

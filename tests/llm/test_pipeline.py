@@ -42,3 +42,12 @@ def test_clean_documents_stay(spark, sf_dir, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(path))
     spark.createDataFrame([(1, "nothing of this kind is written in any of the documents of this corpus")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(30))
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "an item that nothing holds")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).collect() == []
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
