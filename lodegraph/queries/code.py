@@ -91,25 +91,27 @@ def entity_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.union(layer.refusals.select(F.lit("refusal"), "subject", F.lit(""), "reason")).union(layer.conflicts.select(F.lit("conflict"), "subject", "about", "reason"))
 
 
-#: Code spread over the obligations of a claim: the kind of each line of an order.
+#: The kind of obligation that each line of an order stands for, by its number.
 _KINDS = obligations.KINDS
-_DOC_PATH = F.concat_ws("/", F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string")), F.concat(F.lit("d"), (F.col("doc_id") % 40).cast("string")), F.col("doc_id").cast("string"))
+
+
+def _tree_path(doc_id):
+    return F.concat_ws("/", F.concat(F.lit("r"), (doc_id % 7).cast("string")), F.concat(F.lit("d"), (doc_id % 40).cast("string")), doc_id.cast("string"))
 
 
 def _obligations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Lines of orders oblige their order by kinds in turn; parts are symbols, documents the tree, events the runs of checks."""
-    at = lambda d: F.concat_ws("/", F.concat(F.lit("r"), (d % 7).cast("string")), F.concat(F.lit("d"), (d % 40).cast("string")), d.cast("string"))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     k, n = F.col("l_partkey"), F.col("l_quantity").cast("long")
     made = lines.select(
         F.col("l_orderkey").alias("claim_id"), ((k * 100 + n) * 10 + F.col("l_linenumber")).alias("obligation_id"), F.element_at(F.array(*map(F.lit, _KINDS)), F.col("l_linenumber")).alias("kind"),
-        F.when(n == 1, "missing name").otherwise(F.col("p_name")).alias("symbol"), F.when(F.col("l_linenumber") == 2, at(k)).when(k % 2 == 0, F.col("p_brand")).alias("path"), F.when(k % 3 == 0, F.col("p_type")).alias("declaration_kind"), (n % 4 != 0).alias("require_unique"),
+        F.when(n == 1, "missing name").otherwise(F.col("p_name")).alias("symbol"), F.when(F.col("l_linenumber") == 2, _tree_path(k)).when(k % 2 == 0, F.col("p_brand")).alias("path"), F.when(k % 3 == 0, F.col("p_type")).alias("declaration_kind"), (n % 4 != 0).alias("require_unique"),
         (n % 6).alias("line"), F.element_at(F.array(*map(F.lit, ("e", "zq", "the", ""))), (k % 4 + 1).cast("int")).alias("quote"), F.concat(F.lit("r"), (k % 7).cast("string"), F.lit("/d"), (k % 40).cast("string"), F.when(k % 2 == 0, "/").otherwise("")).alias("prefix"),
-        F.when(F.col("l_linenumber") == 3, F.transform(F.sequence(F.lit(0), n % 5), lambda i: at(k % 280 + i.cast("long") * 280))).otherwise(F.array(at(k), at(k + 1), at(k))).alias("paths"), F.array(F.lit("qqq"), F.concat(F.lit("w"), (n % 10).cast("string"))).alias("needles"),
+        F.when(F.col("l_linenumber") == 3, F.transform(F.sequence(F.lit(0), n % 5), lambda i: _tree_path(k % 280 + i.cast("long") * 280))).otherwise(F.array(_tree_path(k), _tree_path(k + 1), _tree_path(k))).alias("paths"), F.array(F.lit("qqq"), F.concat(F.lit("w"), (n % 10).cast("string"))).alias("needles"),
         F.concat(F.lit("c"), (k % 300).cast("string")).alias("command"),
     ).dropDuplicates(["claim_id", "obligation_id"])
     symbols = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select(F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"))
-    files = table(spark, sf_dir, "documents").select(_DOC_PATH.alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    files = table(spark, sf_dir, "documents").select(_tree_path(F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     events = table(spark, sf_dir, "events").where("event_id % 20 = 0")
     runs = events.select(F.concat(F.lit("c"), (F.floor(F.col("event_id") / 20) % 400).cast("string")).alias("command"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("exit_code"), (F.col("value") > 5).alias("matched"), F.when(F.col("user_id") % 30 == 0, "timeout").alias("error"))
     return made, symbols, files, runs
