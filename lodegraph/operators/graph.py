@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodegraph.runtime import checkpoint
+from lodegraph.runtime import checkpoint, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -99,6 +99,21 @@ def reach(edges: DataFrame, sources: DataFrame, depth: int | None, directed: boo
     return found
 
 
+def two_step_counts(first: DataFrame, second: DataFrame, most: int = 4096) -> DataFrame:
+    """Rows (source, n): how many distinct nodes each source reaches over `first` (source, via) and then `second` (via, node).
+
+    The pairs of source and node are many times the rows, so none is shuffled: the sources of a `via` go as lists to each of its
+    nodes, a node drops what its lists share, and the rest is counted by source before it leaves the task. Where a `via` has
+    more than `most` sources, all are dealt into blocks by hash, which bounds the lists.
+    """
+    first = written(first.where("source IS NOT NULL AND via IS NOT NULL").distinct())
+    widest = first.groupBy("via").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 1
+    block = F.pmod(F.xxhash64("source"), F.lit(-(-widest // most)))
+    lists = first.groupBy("via", block.alias("block")).agg(F.collect_list("source").alias("sources"))
+    met = second.where("via IS NOT NULL").distinct().join(lists, "via").groupBy("node", "block").agg(F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"))
+    return met.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
 def descendants(edges: DataFrame) -> DataFrame:
     """Per parent, its distinct descendants over structural pairs, at any depth.
 

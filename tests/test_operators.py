@@ -76,6 +76,20 @@ def test_pair_classes(spark):
     assert claims.pair_classes(spark.createDataFrame(rows, "k string, id int, polarity boolean, modality string, objects array<string>"), ["k"], cap=3).count() == 0
 
 
+@pytest.mark.parametrize("most", [1, 3, 4096])
+def test_two_step_counts(spark, most):
+    rng = random.Random(most)
+    first = [(rng.randrange(9), rng.randrange(12)) for _ in range(40)] + [(1, None), (None, 1)]
+    second = [(rng.randrange(12), rng.randrange(30)) for _ in range(60)] + [(None, 1)]
+    got = graph.two_step_counts(spark.createDataFrame(first, "source long, via long"), spark.createDataFrame(second, "via long, node long"), most).collect()
+    met: dict = {}
+    for s, v in first:
+        for w, n in second:
+            if s is not None and v is not None and v == w:
+                met.setdefault(s, set()).add(n)
+    assert {r.source: r.n for r in got} == {s: len(v) for s, v in met.items()}
+
+
 def test_negations_end_at_ascii_words(spark):
     texts = {"Noñasción": True, "éno": True, "is NOT so": True, "no": True, "notes": False, "_no": False, "no1": False, "": False}
     rows = spark.createDataFrame(list(texts.items()), "text string, expected boolean").withColumn("found", text.negative(F.col("text"))).collect()
