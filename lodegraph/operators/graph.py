@@ -114,6 +114,28 @@ def two_step_counts(first: DataFrame, second: DataFrame, most: int = 4096) -> Da
     return met.select(F.explode("sources").alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def within_two(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """Rows (source, n): the other nodes within two undirected hops of each source that has any, as `reach` has them, without listing them.
+
+    A source of one neighbour has as many as that neighbour has. For other sources, nodes of one neighbour are
+    summed by the node they hang on; only nodes of several neighbours, which can be met twice, are counted by distinct pairs.
+    """
+    ends = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
+    step = written(ends.union(ends.select("b", "a")).distinct())
+    degree = written(step.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("degree"), F.min("b").alias("only")))
+    start = written(sources.select(F.col("node_id").alias("source")).distinct().join(degree, F.col("source") == F.col("node")).select("source", "degree", "only"))
+    single = start.where("degree = 1").join(degree.select("node", F.col("degree").alias("n")), F.col("only") == F.col("node")).select("source", "n")
+    met = written(start.where("degree > 1").select("source").join(step, F.col("source") == F.col("a")).select("source", F.col("b").alias("node")))
+    hung = degree.where("degree = 1").groupBy(F.col("only").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    near = met.union(met.select("source", F.col("source").alias("node")).distinct())
+    leaves = near.join(hung, "node").groupBy("source").agg(F.sum("n").alias("n"))
+    inner = degree.where("degree > 1").select("node")
+    inside = met.join(inner, "node", "left_semi").select("source", "node")
+    far = inside.join(step.join(inner.withColumnRenamed("node", "b"), "b", "left_semi"), F.col("node") == F.col("a")).select("source", F.col("b").alias("node"))
+    pairs = inside.union(far).where("source <> node").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return single.union(leaves.union(pairs).groupBy("source").agg(F.sum("n").alias("n")))
+
+
 def descendants(edges: DataFrame) -> DataFrame:
     """Per parent, its distinct descendants over structural pairs, at any depth.
 

@@ -76,6 +76,23 @@ def test_pair_classes(spark):
     assert claims.pair_classes(spark.createDataFrame(rows, "k string, id int, polarity boolean, modality string, objects array<string>"), ["k"], cap=3).count() == 0
 
 
+@pytest.mark.parametrize("n_nodes, n_edges", [(12, 30), (40, 30), (30, 29), (60, 45)])
+def test_within_two_equals_reach(spark, n_nodes, n_edges):
+    rng = random.Random(n_nodes)
+    pairs = [(rng.randrange(n_nodes), rng.randrange(n_nodes)) for _ in range(n_edges)] + [(0, 0), (None, 1)]
+    edges = spark.createDataFrame([(None if a is None else f"n{a}", f"n{b}") for a, b in pairs], "src string, dst string")
+    starts = spark.createDataFrame([(f"n{i}",) for i in range(0, n_nodes, 2)] + [("away",)], "node_id string")
+    expected = graph.reach(edges, starts, 2, directed=False).where("depth > 0").groupBy("source").count().collect()
+    assert sorted(map(tuple, graph.within_two(edges, starts).collect())) == sorted(map(tuple, expected))
+
+
+def test_within_two_lists_no_leaf(spark):
+    leaves = spark.range(400_000).select(F.lit("hub").alias("src"), F.concat(F.lit("l"), "id").alias("dst"))
+    starts = leaves.select(F.col("dst").alias("node_id"))
+    found = graph.within_two(leaves, starts)  # 160 billion pairs
+    assert found.agg(F.count("*"), F.min("n"), F.max("n")).head() == (400_000, 400_000, 400_000)
+
+
 @pytest.mark.parametrize("most", [1, 3, 4096])
 def test_two_step_counts(spark, most):
     rng = random.Random(most)
