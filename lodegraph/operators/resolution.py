@@ -29,12 +29,23 @@ def longest_head(refs: DataFrame, targets: DataFrame, ref_id: str, name: str, ta
 
 
 def in_scope(refs: DataFrame, targets: DataFrame, ref_id: str, key: str, scopes: str, target: str, target_key: str, target_scope: str) -> DataFrame:
-    """Rows (ref_id, status, target, n_candidates): names looked up in the scopes (an array) that a reference can see."""
-    seen = refs.select(ref_id, F.col(key).alias("_key"), F.explode(F.array_distinct(scopes)).alias("_scope"))
-    pairs = targets.select(F.col(target_key).alias("_key"), F.col(target_scope).alias("_scope"), F.col(target).alias("_target")).distinct()
-    counted = seen.join(pairs, ["_key", "_scope"]).groupBy(ref_id).agg(F.countDistinct("_target").alias("n_candidates"), F.min("_target").alias("_first"))
+    """Rows (ref_id, status, target, n_candidates): names looked up in the scopes (an array) that a reference can see.
+
+    References that ask for one name in the same scopes are answered once. A target that lies in one scope of its name is counted with its
+    cell before anything is joined; only targets in several scopes, which could be met twice, are counted by distinct pairs.
+    """
+    asked = refs.select(ref_id, F.col(key).alias("_key"), F.array_sort(F.filter(F.array_distinct(scopes), lambda s: s.isNotNull())).alias("_scopes"))
+    classes = asked.select("_key", "_scopes").distinct()
+    seen = classes.select("_key", "_scopes", F.explode("_scopes").alias("_scope"))
+    pairs = targets.select(F.col(target_key).alias("_key"), F.col(target_scope).alias("_scope"), F.col(target).alias("_target")).where("_key IS NOT NULL AND _scope IS NOT NULL AND _target IS NOT NULL").distinct()
+    placed = pairs.groupBy("_key", "_target").agg(F.collect_set("_scope").alias("_in"))
+    cells = placed.where(F.size("_in") == 1).groupBy("_key", F.col("_in")[0].alias("_scope")).agg(F.count(F.lit(1)).alias("n"), F.min("_target").alias("first"))
+    once = seen.join(cells, ["_key", "_scope"]).select("_key", "_scopes", "n", "first")
+    several = placed.where(F.size("_in") > 1).select("_key", F.explode("_in").alias("_scope"), "_target")
+    again = seen.join(several, ["_key", "_scope"]).select("_key", "_scopes", "_target").distinct().groupBy("_key", "_scopes").agg(F.count(F.lit(1)).alias("n"), F.min("_target").alias("first"))
+    counted = once.union(again).groupBy("_key", "_scopes").agg(F.sum("n").alias("n_candidates"), F.min("first").alias("_first"))
     n = F.coalesce("n_candidates", F.lit(0))
-    joined = refs.select(ref_id).join(counted, ref_id, "left")
+    joined = asked.join(counted, ["_key", "_scopes"], "left")
     return joined.select(ref_id, F.when(n == 0, "external").when(n == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(n == 1, F.col("_first")).alias("target"), n.alias("n_candidates"))
 
 

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from lodegraph.functions import text
-from lodegraph.operators import claims, delta, documents, evaluation, graph, joins, sets
+from lodegraph.operators import claims, delta, documents, evaluation, graph, joins, resolution, sets
 from lodegraph.operators.components import connected_components
 from pyspark.sql import functions as F
 
@@ -107,6 +107,26 @@ def test_two_step_counts(spark, most):
     assert {r.source: r.n for r in got} == {s: len(v) for s, v in met.items()}
 
 
+def test_names_in_scopes_against_brute_force(spark):
+    rng = random.Random(6)
+    refs = [(i, rng.choice([None, "p", "q", "r"]), [rng.choice([None, 0, 1, 2, 3]) for _ in range(rng.randrange(4))]) for i in range(60)] + [(99, "p", None)]
+    targets = [(rng.choice([None, *range(8)]), rng.choice([None, "p", "q"]), rng.choice([None, 0, 1, 2])) for _ in range(25)]
+    made = spark.createDataFrame(targets, "t long, key string, scope long")
+    got = resolution.in_scope(spark.createDataFrame(refs, "id long, key string, scopes array<long>"), made, "id", "key", "scopes", "t", "key", "scope").collect()
+    assert len(got) == len(refs)
+    for i, key, scopes in refs:
+        found = {t for t, k, s in targets if None not in (t, k, s) and k == key and s in (scopes or [])}
+        row = next(r for r in got if r.id == i)
+        assert (row.n_candidates, row.target) == (len(found), min(found) if len(found) == 1 else None)
+
+
+def test_names_in_scopes_list_no_pairs(spark):
+    refs = spark.range(300_000).select("id", F.lit("p").alias("key"), F.array(F.lit(0), F.lit(1)).alias("scopes"))
+    targets = spark.range(300_000).select(F.col("id").alias("t"), F.lit("p").alias("key"), (F.col("id") % 2).cast("int").alias("scope"))
+    found = resolution.in_scope(refs, targets, "id", "key", "scopes", "t", "key", "scope")  # 90 billion pairs
+    assert found.agg(F.count("*"), F.min("n_candidates")).head() == (300_000, 300_000)
+
+
 def test_negations_end_at_ascii_words(spark):
     texts = {"Noñasción": True, "éno": True, "is NOT so": True, "no": True, "notes": False, "_no": False, "no1": False, "": False}
     rows = spark.createDataFrame(list(texts.items()), "text string, expected boolean").withColumn("found", text.negative(F.col("text"))).collect()
