@@ -10,11 +10,11 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodegraph.operators import patterns
 from lodegraph.operators.graph import both_ways
-from lodegraph.operators.joins import first_by
-from lodegraph.runtime import checkpoint
+from lodegraph.runtime import checkpoint, dealt, written
 
 PROVENANCE = ("production", "test", "fixture", "docs")
 #: Contested ranks lowest: a defeater is no degree of warrant.
@@ -39,38 +39,50 @@ def edge_leaves(expression: Mapping) -> Iterator[dict]:
         yield {"direction": "out", "relation": "contains", **body}
 
 
-def edge_witnesses(nodes: DataFrame, edges: DataFrame, concepts: Mapping[str, Mapping]) -> DataFrame:
-    """Rows (node_id, concept, edge_id, relation, other, other_kind, provenance_class): every edge that an edge leaf of a concept matches, once, in one pass over the edges."""
-    kinds = nodes.select(F.col("node_id").alias("other"), F.col("kind").alias("other_kind"))
-    seen = both_ways(edges).join(kinds, "other").join(edges.select("edge_id", "provenance_class"), "edge_id")
-    fields = {"direction": "direction", "relation": "relation", "kind": "other_kind"}
+_FIELDS = {"direction": "direction", "relation": "relation", "kind": "other_kind"}
+
+
+def _matched(spec: Mapping, fields: Mapping[str, str]) -> Column:
+    """Whether an edge leaf of a concept agrees with an edge in these fields."""
+    out = F.lit(False)
+    for leaf in edge_leaves(spec["expression"]):
+        test = F.lit(True)
+        for field, column in fields.items():
+            if field in leaf:
+                test = test & (F.col(column) == leaf[field])
+        out = out | test
+    return out
 
-    def matched(concept: str, spec: Mapping) -> Column:
-        out = F.lit(False)
-        for leaf in edge_leaves(spec["expression"]):
-            test = F.lit(True)
-            for field, column in fields.items():
-                if field in leaf:
-                    test = test & (F.col(column) == leaf[field])
-            out = out | test
-        return F.when(out, F.lit(concept))
 
-    met = F.filter(F.array(*[matched(name, spec) for name, spec in concepts.items()]), lambda c: c.isNotNull())
-    found = seen.select(F.col("node").alias("node_id"), F.explode(met).alias("concept"), "edge_id", "relation", "other", "other_kind", "provenance_class")
-    return first_by(found, ["node_id", "concept", "edge_id"], ["other"])
+def edge_witnesses(nodes: DataFrame, edges: DataFrame, concepts: Mapping[str, Mapping], tasks: int = 1) -> DataFrame:
+    """Rows (node_id, concept, direction, edge_id, relation, other, other_kind, provenance_class, nth): every edge that an edge leaf of a concept matches, in one pass over the edges.
+
+    Of rows of one node, concept and edge id the one with `nth` 1 is the witness. Edges that no leaf can match by direction and relation are dropped before their ends
+    are looked up, and a node's rows move once for all concepts.
+    """
+    kinds = nodes.select(F.col("node_id").alias("other"), F.col("kind").alias("other_kind"))
+    early = F.lit(False)
+    for spec in concepts.values():
+        early = early | _matched(spec, {field: _FIELDS[field] for field in ("direction", "relation")})
+    ends = both_ways(edges, "provenance_class").where(early).select("node", "other", "direction", "relation", "edge_id", "provenance_class")
+    seen = dealt(dealt(ends, tasks, "other").join(kinds, "other"), tasks, "node")
+    met = F.filter(F.array(*[F.when(_matched(spec, _FIELDS), F.lit(name)) for name, spec in concepts.items()]), lambda c: c.isNotNull())
+    found = seen.select(F.col("node").alias("node_id"), F.explode(met).alias("concept"), "direction", "edge_id", "relation", "other", "other_kind", "provenance_class")
+    return found.withColumn("nth", F.row_number().over(Window.partitionBy("node_id", "concept", "edge_id").orderBy("other", "direction")))
 
 
-def evaluated(subjects: DataFrame, nodes: DataFrame, edges: DataFrame, concepts: Mapping[str, Mapping], arrays: frozenset[str] = frozenset()) -> tuple[DataFrame, DataFrame]:
+def evaluated(subjects: DataFrame, nodes: DataFrame, edges: DataFrame, concepts: Mapping[str, Mapping], arrays: frozenset[str] = frozenset(), tasks: int = 1) -> tuple[DataFrame, DataFrame]:
     """(memberships, witnesses) of subjects (node_id, claim_id or null, and the fields that patterns read).
 
     memberships: node_id, concept, outcome (member, not_member, abstain), result, reason, confidence, n_witnesses and the counts of witness edges by provenance class. A role whose
     edges aren't of production is matched but excluded (TEST_OR_FIXTURE_ONLY). Open-world absence abstains (INVENTORY_INCOMPLETE), without witnesses. Confidence is `certain` by an
     edge and `likely` by a claim alone. An outcome without a witness raises MissingWitness.
     """
-    view = patterns.subject_view(nodes, edges, subjects)
+    matches = written(edge_witnesses(nodes, edges, concepts, tasks))
+    view = patterns.viewed(matches.select("node_id", "direction", "relation", F.col("other_kind").alias("kind")), subjects)
     tests = [F.struct(F.lit(name).alias("concept"), patterns.compiled(dict(spec["expression"]), arrays).alias("matched"), F.lit(bool(spec.get("closed_world"))).alias("closed"), F.lit(bool(spec.get("role"))).alias("role")) for name, spec in concepts.items()]
     tried = view.select("node_id", "claim_id", F.explode(F.array(*tests)).alias("t")).select("node_id", "claim_id", "t.*")
-    found = checkpoint(edge_witnesses(nodes, edges, concepts))
+    found = matches.where("nth = 1")
     counts = [F.count_if(F.col("provenance_class") == c).alias(f"n_{c}") for c in PROVENANCE]
     summed = found.groupBy("node_id", "concept").agg(F.count(F.lit(1)).alias("n_edges"), *counts)
     joined = tried.join(summed, ["node_id", "concept"], "left").fillna(0, ["n_edges", *(f"n_{c}" for c in PROVENANCE)])
@@ -85,7 +97,7 @@ def evaluated(subjects: DataFrame, nodes: DataFrame, edges: DataFrame, concepts:
     made = joined.withColumn("outcome", outcome).select(
         "node_id", "concept", "outcome", result.alias("result"), reason.alias("reason"), confidence.alias("confidence"), witnessed.cast("long").alias("n_witnesses"), *[F.when(abstains, 0).otherwise(F.col(f"n_{c}")).cast("long").alias(f"n_{c}") for c in PROVENANCE],
     )
-    made = checkpoint(made)
+    made = written(made)
     if bare := made.where("outcome <> 'abstain' AND n_witnesses = 0").select("concept", "node_id", "outcome").head(1):
         raise MissingWitness("{} gave {} the outcome {} with no witness".format(*bare[0]))
     settled = made.where("outcome <> 'abstain'").select("node_id", "concept")

@@ -68,8 +68,12 @@ def validate(pattern: object, depth: int = 1, place: str = "$") -> None:
 def subject_view(nodes: DataFrame, edges: DataFrame, fields: DataFrame, key: str = "node_id") -> DataFrame:
     """`fields` with seen: the distinct (direction, relation, kind) of each subject's edges, as many as registries allow."""
     kinds = nodes.select(F.col("node_id").alias("other"), F.col("kind").alias("other_kind"))
-    seen = both_ways(edges).join(kinds, "other").select("node", "direction", "relation", "other_kind").distinct()
-    listed = seen.groupBy(F.col("node").alias(key)).agg(F.collect_list(F.struct("direction", "relation", F.col("other_kind").alias("kind"))).alias("seen"))
+    return viewed(both_ways(edges).join(kinds, "other").select(F.col("node").alias(key), "direction", "relation", F.col("other_kind").alias("kind")), fields, key)
+
+
+def viewed(seen: DataFrame, fields: DataFrame, key: str = "node_id") -> DataFrame:
+    """`fields` with seen, from rows (key, direction, relation, kind) of edges; they may leave out edges that no leaf asks for."""
+    listed = seen.distinct().groupBy(key).agg(F.collect_list(F.struct("direction", "relation", "kind")).alias("seen"))
     return fields.join(listed, key, "left")
 
 

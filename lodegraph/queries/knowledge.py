@@ -183,7 +183,7 @@ def _memberships(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     classes = F.when(F.endswith("src", F.lit("1")), "test").when(F.endswith("src", F.lit("2")), "fixture").when(F.endswith("src", F.lit("3")) | F.endswith("src", F.lit("4")), "docs").otherwise("production")
     parts = table(spark, sf_dir, "part").select(star.node_id("Part", "p_partkey").alias("node_id"), F.col("p_partkey").alias("claim_id"), F.col("p_type").alias("group"))
     subjects = parts.union(table(spark, sf_dir, "customer").select(star.node_id("Customer", "c_custkey"), F.col("c_custkey"), F.col("c_mktsegment")))
-    return memberships.evaluated(subjects, nodes, edges.withColumn("provenance_class", classes), ROLES)
+    return memberships.evaluated(subjects, nodes, edges.withColumn("provenance_class", classes), ROLES, tasks=2 * star.tasks(spark, sf_dir))
 
 
 def witnessed_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
