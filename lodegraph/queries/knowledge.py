@@ -121,7 +121,7 @@ def frame_census(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders take the type of their parts if all agree."""
     anchors = table(spark, sf_dir, "part").select(star.node_id("Part", "p_partkey").alias("node_id"), F.col("p_type").alias("domain"))
-    found = walks.propagated(star.edges(spark, sf_dir, ("depends_on",)), anchors, star.nodes(spark, sf_dir).where("kind = 'Order'"))
+    found = walks.propagated(star.edges(spark, sf_dir, ("depends_on",)), anchors, star.nodes(spark, sf_dir).where("kind = 'Order'"), 2 * star.tasks(spark, sf_dir))
     return found.groupBy("state", "domain", "n_domains").agg(F.count(F.lit(1)).alias("n"))
 
 
