@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegraph.operators import comparison, graph, memberships, patterns, records, walks
+from lodegraph.runtime import dealt
 from lodegraph.sources import star
 from lodegraph.sources.star import GRAPH_SQL, table
 
@@ -102,8 +103,13 @@ def grouped_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def view_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer: its orders and their parts as a graph, and how it would be shown."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "l_partkey").distinct()
-    sized = lines.groupBy("o_custkey").agg((F.countDistinct("l_orderkey") + F.countDistinct("l_partkey")).alias("n_nodes"), F.count(F.lit(1)).alias("n_edges"))
+    tasks = star.tasks(spark, sf_dir)
+    placed = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("l_orderkey")).distinct()
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), tasks, "l_orderkey").distinct().join(placed, "l_orderkey")
+    of = lambda rows, orders, parts, edges: rows.select("o_custkey", orders.alias("orders"), parts.alias("parts"), edges.alias("edges"))
+    orders = of(lines.groupBy("o_custkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n")), F.lit(1), F.lit(0), F.col("n"))
+    parts = of(dealt(lines.select("o_custkey", "l_partkey"), tasks, "o_custkey", "l_partkey").distinct(), F.lit(0), F.col("l_partkey").isNotNull().cast("int"), F.lit(0))
+    sized = orders.union(parts).groupBy("o_custkey").agg((F.sum("orders") + F.sum("parts")).alias("n_nodes"), F.sum("edges").alias("n_edges"))
     return sized.select("o_custkey", "n_nodes", "n_edges", walks.shape_of(F.col("n_nodes"), F.col("n_edges")).alias("shape"))
 
 
