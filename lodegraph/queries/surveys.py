@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegraph.functions import names, text
 from lodegraph.operators import censuses, documents, markdown, resolution
+from lodegraph.runtime import dealt
 from lodegraph.sources import star
 from lodegraph.sources.star import GRAPH_SQL, table
 
@@ -146,13 +147,19 @@ def unit_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def concept_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four lists of ten: customers by orders, by distinct parts, by distinct suppliers, and parts by orders."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = star.tasks(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), tasks, "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
     def top(name, rows, key, measure):
         return rows.groupBy(F.col(key).cast("long").alias("id")).agg(measure.alias("n")).orderBy(F.desc("n"), "id").limit(10).select(F.lit(name).alias("list"), "id", "n")
 
+    def distinct(name, key, value):
+        return top(name, dealt(lines.select(key, value), tasks, key, value).distinct(), key, F.count(value))
+
     return (
-        top("orders", table(spark, sf_dir, "orders"), "o_custkey", F.count(F.lit(1))).union(top("parts", lines, "o_custkey", F.countDistinct("l_partkey")))
-        .union(top("suppliers", lines, "o_custkey", F.countDistinct("l_suppkey"))).union(top("ordered", lines, "l_partkey", F.countDistinct("l_orderkey")))
+        top("orders", orders, "o_custkey", F.count(F.lit(1))).union(distinct("parts", "o_custkey", "l_partkey"))
+        .union(distinct("suppliers", "o_custkey", "l_suppkey")).union(distinct("ordered", "l_partkey", "l_orderkey"))
     )
 
 
