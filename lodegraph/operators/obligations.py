@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.runtime import checkpoint
+from lodegraph.runtime import written
 
 KINDS = ("code_symbol_declared", "source_text_present", "tree_paths_exact", "tree_paths_present", "tree_text_absent", "verification_check_passed", "open_question")
 #: How strong what supports an obligation is.
@@ -103,7 +103,7 @@ def checks_passed(obligations: DataFrame, runs: DataFrame) -> DataFrame:
 
 def evaluated(obligations: DataFrame, symbols: DataFrame, files: DataFrame, runs: DataFrame, complete_symbols: bool = True, complete_tree: bool = True) -> DataFrame:
     """Rows (claim_id, obligation_id, kind, state, n_evidence), one per obligation; an unknown kind is an error."""
-    asked = checkpoint(obligations)
+    asked = written(obligations)
     if strange := asked.where(~F.coalesce(F.col("kind").isin(*KINDS), F.lit(False))).select("kind").head(1):
         raise ValueError(f"unknown kind of obligation: {strange[0][0]}")
     questions = _result(asked.where("kind = 'open_question'"), F.lit("underdetermined"), F.lit(0))
