@@ -13,17 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodegraph.runtime import checkpoint, written
+from lodegraph.runtime import checkpoint, dealt, written
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """Each edge from each end: (node, other, direction, relation, role, parent_end, edge_id); a self-loop counts as `out` once."""
+def both_ways(edges: DataFrame, *more: str) -> DataFrame:
+    """Each edge from each end: (node, other, direction, relation, role, parent_end, edge_id, and the columns `more`); a self-loop counts as `out` once."""
     ends = F.array(
         F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("direction")),
         F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("direction")),
     )
     kept = F.when(F.col("src") == F.col("dst"), F.slice(ends, 1, 1)).otherwise(ends)
-    return edges.select("edge_id", "relation", "role", "parent_end", F.explode(kept).alias("e")).select("e.*", "relation", "role", "parent_end", "edge_id")
+    return edges.select("edge_id", "relation", "role", "parent_end", *more, F.explode(kept).alias("e")).select("e.*", "relation", "role", "parent_end", "edge_id", *more)
+
+
+def one_way(edges: DataFrame, direction: str) -> DataFrame:
+    """The rows (node, other, relation) of `both_ways` in one direction."""
+    if direction == "out":
+        return edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), "relation")
+    return edges.where(~_looped()).select(F.col("dst").alias("node"), F.col("src").alias("other"), "relation")
+
+
+def neighbour_counts(edges: DataFrame, tasks: int = 1) -> DataFrame:
+    """Rows (node, n, n_distinct): a node's edges and its distinct other ends; edges are summed by pair in tasks of bounded size, so no hub is gathered."""
+    pairs = dealt(both_ways(edges).select("node", "other"), tasks, "node", "other").groupBy("node", "other").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("node").agg(F.sum("n").alias("n"), F.count("other").alias("n_distinct"))
 
 
 def structural_pairs(edges: DataFrame) -> DataFrame:
@@ -38,10 +51,26 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_kind.union(edges.groupBy(F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("edge").alias("family"), "name", "n"))
 
 
-def bundles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node, edge counts by role, relation, direction and kind of the other end; never truncated."""
-    other = nodes.select(F.col("node_id").alias("other"), F.col("kind").alias("other_kind"))
-    return both_ways(edges).join(other, "other").groupBy("node", "role", "relation", "direction", "other_kind").agg(F.count(F.lit(1)).alias("n"))
+def _with_ends(edges: DataFrame, nodes: DataFrame, columns: tuple[str, ...], tasks: int) -> DataFrame:
+    """`edges` with `_src` and `_dst`, lists of the `columns` of the nodes at their ends (null where there is none), dealt by `dst`.
+
+    Each edge moves twice, not once from each end, and the edges into a node lie in one task afterwards.
+    """
+    about = nodes.groupBy("node_id").agg(F.collect_list(F.struct(*columns)).alias("_about"))
+    for end in ("src", "dst"):
+        edges = dealt(edges, tasks, end).join(about.select(F.col("node_id").alias(end), F.col("_about").alias(f"_{end}")), end, "left")
+    return edges
+
+
+def _looped() -> Column:
+    return F.coalesce(F.col("src") == F.col("dst"), F.lit(False))
+
+
+def bundles(nodes: DataFrame, edges: DataFrame, tasks: int = 1) -> DataFrame:
+    """Per node, edge counts by role, relation, direction and kind of the other end; never truncated. Kinds are met in `tasks` tasks."""
+    ends = _with_ends(edges.select("src", "dst", "role", "relation"), nodes, ("kind",), tasks)
+    side = lambda rows, direction, node, about: rows.select(F.col(node).alias("node"), "role", "relation", F.lit(direction).alias("direction"), F.explode(f"{about}.kind").alias("other_kind")).groupBy("node", "role", "relation", "direction", "other_kind").agg(F.count(F.lit(1)).alias("n"))
+    return side(ends, "out", "src", "_dst").union(side(ends.where(~_looped()), "in", "dst", "_src"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -53,12 +82,27 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select("node_id", "kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "structural_degree", "structural_children")])
 
 
-def ranked_neighbours(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
-    """Per node its first `limit` neighbours by role, child first, relation, kind, label, edge id, and whether there are more."""
-    other = nodes.select(F.col("node_id").alias("other"), F.col("kind").alias("other_kind"), F.col("label").alias("other_label"))
-    is_child = ((F.col("parent_end") == "from") & (F.col("direction") == "out")) | ((F.col("parent_end") == "to") & (F.col("direction") == "in"))
-    order = (F.when(F.col("role") == "structural", 0).when(F.col("role") == "flow", 1).otherwise(2), F.when(is_child, 0).otherwise(1), "relation", "other_kind", "other_label", "edge_id")
-    ranked = both_ways(edges).join(other, "other").withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy(*order)))
+def ranked_neighbours(nodes: DataFrame, edges: DataFrame, limit: int, tasks: int = 1) -> DataFrame:
+    """Per node its first `limit` neighbours by role, child first, relation, kind, label, edge id, and whether there are more.
+
+    Of the edges into a node only those that can be shown move on. An edge id that is spelled from the relation and the ends isn't moved at all.
+    """
+    spelled = F.concat_ws("|", "relation", "src", "dst")
+    by_role = F.when(F.col("role") == "structural", 0).when(F.col("role") == "flow", 2).otherwise(4).alias("_role")
+    own = F.when(~F.col("edge_id").eqNullSafe(spelled), F.struct("edge_id")).alias("_own")
+    ends = _with_ends(edges.select("src", "dst", "relation", "parent_end", by_role, own), nodes, ("kind", "label"), tasks)
+
+    def side(rows: DataFrame, direction: str, node: str, other: str, parent_end: str) -> DataFrame:
+        place = F.col("_role") + F.when(F.col("parent_end") == parent_end, 0).otherwise(1)
+        return rows.select(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(direction).alias("direction"), "relation", place.alias("_place"), "_own", F.explode(f"_{other}").alias("_o")).select(
+            "node", "other", "direction", "relation", "_place", "_own", F.col("_o.kind").alias("other_kind"), F.col("_o.label").alias("other_label")
+        )
+
+    out = F.col("direction") == "out"
+    edge_id = F.when(F.col("_own").isNull(), F.concat_ws("|", F.col("relation"), F.when(out, F.col("node")).otherwise(F.col("other")), F.when(out, F.col("other")).otherwise(F.col("node")))).otherwise(F.col("_own.edge_id"))
+    nth = F.row_number().over(Window.partitionBy("node").orderBy("_place", "relation", "other_kind", "other_label", edge_id))
+    into = side(ends.where(~_looped()), "in", "dst", "src", "to").withColumn("rank", nth).where(F.col("rank") <= limit + 1).drop("rank")
+    ranked = dealt(side(ends, "out", "src", "dst", "from").union(into), tasks, "node").withColumn("rank", nth)
     bounded = ranked.where(F.col("rank") <= limit + 1).withColumn("truncated", F.max("rank").over(Window.partitionBy("node")) > limit)
     return bounded.where(F.col("rank") <= limit).select("node", "rank", "relation", "direction", "other", "other_kind", "truncated")
 
