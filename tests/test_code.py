@@ -227,3 +227,22 @@ def test_slices_grow_within_bounds_and_stand_once(spark):
     assert [r.node for r in slices.top_hubs(edges, nodes, 3).collect()] == ["hub", "b", "c"]
     empty = slices.enumerated(seeds.limit(0), groups.limit(0), edges.limit(0))
     assert all(df.count() == 0 for df in empty)
+
+
+def test_calls_of_no_module_are_not_joined_by_an_empty_key(spark):
+    """Calls without an import all had the null module, and so one task."""
+    files = spark.createDataFrame([(f"f{i}.js", True, False, False) for i in range(40)], "file string, grammar boolean, broken boolean, reexports boolean")
+    scopes = spark.createDataFrame([(f"f{i}.js", "s", 0, 100) for i in range(40)], "file string, scope string, start long, end long")
+    bindings = [(f"f{i}.js", "s", "x", "import", None, None, "./f1" if i % 2 else "pkg", "x" if i % 4 == 1 else None, None) for i in range(40)] + [("f1.js", "s", "x", "function", "function_declaration", False, None, None, "d1")]
+    bindings = spark.createDataFrame(bindings, "file string, scope string, name string, kind string, source string, initialized boolean, specifier string, imported string, declaration string")
+    marks = spark.createDataFrame([], "file string, position long, name string, mark string")
+    exports = spark.createDataFrame([("f1.js", "x", "x")], "file string, exported string, local string")
+    calls = spark.createDataFrame([(f"f{i}.js", 5, "identifier", n) for i in range(40) for n in ("x", "y")], "file string, start long, callee string, name string")
+    bound = callsites.bind_calls(calls, scopes, bindings, marks, exports, files)
+    keys = [line for line in bound._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in line]
+    assert any("specifier" in line and "imported" in line for line in keys)
+    found = {(r.file, r.status, r.reason, r.declaration) for r in bound.collect() if r.file in ("f2.js", "f3.js", "f5.js")}
+    assert found == {
+        ("f2.js", "unresolved", "external_module", None), ("f2.js", "unresolved", "unbound_identifier", None), ("f3.js", "unresolved", "unbound_identifier", None),
+        ("f5.js", "resolved", None, "d1"), ("f5.js", "unresolved", "unbound_identifier", None),
+    }
