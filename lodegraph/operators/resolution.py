@@ -63,7 +63,8 @@ def route_matches(clients: DataFrame, routes: DataFrame) -> DataFrame:
     routes of its length are, so matching is an equi-join. Only routes of other repositories
     match, of the client's method where it states one. A client with a host keeps its best-scoring
     routes: 3 for the declared host, 2 for the repository's slug in it, 1 for a shared token; a client
-    without one matches only in tests.
+    without one matches only in tests. The best score is found by its own equi-join on host and key, and only clients
+    without it meet the routes of all hosts.
     """
     parts = _segments("template")
     masked = F.transform(parts, lambda s: F.when(s.rlike(_PARAMETER), F.lit("*")).otherwise(s))
@@ -71,12 +72,16 @@ def route_matches(clients: DataFrame, routes: DataFrame) -> DataFrame:
     masks = keyed.select("_n", "_mask").distinct()
     ways = clients.withColumn("_parts", _segments("path")).withColumn("_n", F.size("_parts")).join(masks, "_n")
     own = F.array_join(F.zip_with("_parts", "_mask", lambda s, m: F.when(m, F.lit("*")).otherwise(s)), "/")
-    joined = ways.withColumn("_key", own).join(keyed.drop("_n", "_mask"), "_key").where((F.col("repo") != F.col("r_repo")) & (F.col("method").isNull() | (F.lower("method") == F.lower("r_method"))))
+    ways, keyed = ways.withColumn("_key", own), keyed.drop("_n", "_mask")
+    allowed = (F.col("repo") != F.col("r_repo")) & (F.col("method").isNull() | (F.lower("method") == F.lower("r_method")))
+    same = ways.join(keyed.withColumn("host", F.col("r_host")), ["_key", "host"]).where(allowed).select("client_id", "route_id", F.lit(3).alias("score")).distinct()
+    left = ways.where(F.col("host").isNotNull() | F.col("test")).join(same.select("client_id"), "client_id", "left_anti")
+    joined = left.join(keyed, "_key").where(allowed)
     words = lambda c: tokens(F.regexp_replace(c, "[^A-Za-z0-9]+", " "))
     score = F.when(F.col("host") == F.col("r_host"), 3).when(F.contains(slug(F.col("host")), slug(F.col("r_repo"))), 2).when(F.arrays_overlap(words(F.col("host")), words(F.col("r_repo"))), 1).otherwise(0)
     scored = joined.withColumn("score", F.when(F.col("host").isNull(), 0).otherwise(score)).where((F.col("score") > 0) | (F.col("host").isNull() & F.col("test")))
     best = scored.withColumn("_best", F.max("score").over(Window.partitionBy("client_id")))
-    return best.where("score = _best").select("client_id", "route_id", "score").distinct()
+    return same.union(best.where("score = _best").select("client_id", "route_id", "score").distinct())
 
 
 def token_overlap(left: DataFrame, right: DataFrame, left_id: str, right_id: str, name: str, other: str) -> DataFrame:

@@ -98,3 +98,14 @@ def test_names(spark):
     assert one(names.tree_bound(F.lit(3), F.lit(2))) == 13 and one(names.token_estimate(F.lit("12345"))) == 2
     assert one(names.claim_budget(F.lit(100), 4.0, 2, 40)) == 2 and one(names.claim_budget(F.lit(10**6), 4.0, 2, 40)) == 40
     assert one(names.document_mode(F.lit("---\nmode: plan\n---\n"), F.lit("docs/adr/1.md"))) == "plan" and one(names.document_mode(F.lit("x"), F.lit("docs/adr/1.md"))) == "decision"
+
+
+def test_routes_of_the_own_host_are_met_by_host_and_not_among_all_hosts(spark):
+    routes = spark.createDataFrame([(f"r{i}", f"h{i}.example.com", "GET", f"h{i}.example.com", "/en/:id") for i in range(30)], "route_id string, repo string, method string, host string, template string")
+    clients = [(i, "c", None, f"h{i}.example.com", "/en/5", False) for i in range(30)] + [(99, "c", None, "other.example.org", "/en/5", False), (98, "c", None, None, "/en/5", True), (97, "c", None, None, "/en/5", False)]
+    clients = spark.createDataFrame(clients, "client_id long, repo string, method string, host string, path string, test boolean")
+    found = resolution.route_matches(clients, routes)
+    assert "LeftAnti" in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.collect()
+    assert {(r.client_id, r.route_id, r.score) for r in rows if r.client_id < 90} == {(i, f"r{i}", 3) for i in range(30)}
+    assert {(r.client_id, r.score) for r in rows if r.client_id > 90} == {(99, 1), (98, 0)} and len(rows) == 90
