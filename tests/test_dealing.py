@@ -87,3 +87,18 @@ def test_obligations_carry_only_what_their_kind_asks_for(spark, sf_dir):
     made = code._obligations(spark, sf_dir)[0]
     assert made.where("kind <> 'tree_text_absent' AND needles IS NOT NULL").isEmpty()
     assert made.where("kind NOT IN ('tree_paths_exact', 'tree_paths_present', 'tree_text_absent') AND paths IS NOT NULL").isEmpty()
+
+
+def test_slices_read_their_edges_once(spark, sf_dir, monkeypatch):
+    read = []
+    grown = code.slices.enumerated
+    monkeypatch.setattr(code.slices, "enumerated", lambda seeds, groups, edges: read.append(edges.inputFiles()) or grown(seeds, groups, edges))
+    entry.queries()["graph_slices"](spark, sf_dir)
+    assert read and not any("lineitem" in f for f in read[0])
+
+
+def test_scopes_are_bound_in_as_many_tasks_as_asked(spark):
+    points = spark.createDataFrame([("a", 5, "p"), ("b", 50, "q")], "k string, at long, name string")
+    spans = spark.createDataFrame([("a", 0, 10, "s"), ("a", 4, 6, "t"), ("b", 0, 10, "u")], "k string, start long, end long, scope string")
+    found = code.callsites.innermost(points, spans, ["k"], "at", "start", "end", "scope", 7)
+    assert found.rdd.getNumPartitions() == 7 and {(r.name, r.scope) for r in found.collect()} == {("p", "t"), ("q", None)}
