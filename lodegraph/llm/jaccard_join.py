@@ -32,13 +32,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodegraph.llm.common import BATCH_BYTES, map_batches, text_key
+from lodegraph.llm.common import BATCH_BYTES, bound_batches, map_batches, text_key
 from lodegraph.operators.components import connected_components
 from lodegraph.runtime import broadcast_if_small, checkpoint, discard, ensure_importable, written
 
@@ -48,9 +49,10 @@ RECALL = 0.999
 COORDINATES = 64
 #: Coordinates that a node samples: a pair at the threshold is expected to stay together 1.6 times.
 TOKENS = 2
-BUCKET = 24
+#: Sets of a bucket. Comparing all its pairs takes some 30 microseconds a set, less than a further level of the paths does.
+BUCKET = 512
 #: Sets of a large node that are compared at once with the few outside its hub's distance.
-CHUNK = 256
+CHUNK = 512
 #: Word hashes that a worker remembers; beyond this it forgets all and starts anew.
 REMEMBERED = 200_000
 DEPTH = 10
@@ -209,25 +211,63 @@ def _forest(parent: dict, pairs: Iterator[tuple]) -> None:
         parent[x] = root(x)
 
 
-def bucket_ties(buckets: DataFrame, threshold: float) -> DataFrame:
-    """Ties (src, dst) within small buckets (members: array of (set_id, sig)), by signature."""
+def least_tied(near: np.ndarray) -> np.ndarray:
+    """The least member of each member's component, from a symmetric matrix of ties."""
+    n = len(near)
+    least, before = np.where(near, np.arange(n), n).min(1), np.arange(n)
+    least = np.minimum(least, before)
+    while (least != before).any():
+        before = least
+        least = np.minimum(least, np.where(near, least, n).min(1))
+        least = least[least]
+    return least
+
+
+def shared_coordinates(sigs: np.ndarray) -> np.ndarray:
+    """How many coordinates the signatures of each two sets share."""
+    out = np.zeros((len(sigs), len(sigs)), dtype=np.uint8)
+    for column in np.ascontiguousarray(sigs.T):
+        out += column[:, None] == column[None, :]
+    return out
+
+
+def bucket_ties(rows: DataFrame, threshold: float, *keys: str) -> DataFrame:
+    """Ties (src, dst) within buckets (rows of bounded number with equal `keys`; set_id, sig), by signature.
+
+    A task streams its buckets in order and holds one at a time.
+    """
     least = threshold - SLACK * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    ensure_importable(rows.sparkSession)
+    bound_batches(rows.sparkSession)
+
+    def compare(ids: list[bytes], sigs: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        table = np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(-1, COORDINATES)
+        for i, p in enumerate(least_tied(shared_coordinates(table) >= least * COORDINATES).tolist()):
+            if i != p:
+                yield ids[i], ids[p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sigs, out = None, [], [], []
 
-    def tie(batch: pa.RecordBatch) -> pa.RecordBatch:
-        src, dst = [], []
-        for members in batch.column("members").to_pylist():
-            ids = [m["set_id"] for m in members]
-            sigs = np.frombuffer(b"".join(m["sig"] for m in members), dtype=np.uint32).reshape(-1, COORDINATES)
-            near = (sigs[:, None] == sigs[None]).mean(2) >= least
-            parent = {i: i for i in range(len(ids))}
-            _forest(parent, zip(*np.nonzero(np.triu(near, 1)), strict=True))
-            for i, p in parent.items():
-                if i != p:
-                    src.append(ids[i])
-                    dst.append(ids[p])
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.binary()), pa.array(dst, pa.binary())], names=["src", "dst"])
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([t[k] for t in out], pa.binary()) for k in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            for *own, set_id, sig in zip(*(batch.column(c).to_pylist() for c in (*keys, "set_id", "sig")), strict=True):
+                if own != key:
+                    if len(ids) > 1:
+                        out += compare(ids, sigs)
+                    key, ids, sigs = own, [], []
+                ids.append(set_id)
+                sigs.append(sig)
+            if len(out) > 10_000:
+                yield made()
+                out = []
+        if len(ids) > 1:
+            out += compare(ids, sigs)
+        yield made()
 
-    return map_batches(buckets, tie, "src binary, dst binary")
+    return rows.select(*keys, "set_id", "sig").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "src binary, dst binary")
 
 
 def hub_distances(members: DataFrame) -> DataFrame:
@@ -243,38 +283,40 @@ def hub_distances(members: DataFrame) -> DataFrame:
     return map_batches(members, compare, "path long, set_id binary, sig binary, hub_id binary, near double")
 
 
-def _members(rows: DataFrame, *keys: str) -> DataFrame:
-    """Bounded groups of rows (set_id, sig) as arrays."""
-    return rows.groupBy(*keys).agg(F.collect_list(F.struct("set_id", "sig")).alias("members")).select("members")
-
-
 def settle_large(large: DataFrame, threshold: float, bucket: int, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Ties of large nodes (path, set_id, sig), and the rows that go on to the next level, if any."""
+    """Ties of large nodes (path, set_id, sig) to their hubs, and what stays of those that hold sets outside their hub's distance, if any.
+
+    What stays: rows (path, set_id, sig, far, n, n_far), without sets as near to the hub as the threshold.
+    """
     twice = max(0.0, 2 * threshold - 1)
     reach = twice - SLACK * math.sqrt(twice * (1 - twice) / COORDINATES)
     hubs = checkpoint(large.groupBy("path").agg(F.min(F.struct("set_id", "sig")).alias("hub")))
     compared = written(hub_distances(large.join(broadcast_if_small(hubs), "path").select("path", "set_id", "sig", "hub")))
     within = compared.where("set_id <> hub_id") if last else compared.where((F.col("near") >= reach) & (F.col("set_id") != F.col("hub_id")))
-    ties = within.select(F.col("set_id").alias("src"), F.col("hub_id").alias("dst")).distinct()
+    ties = within.select(F.col("set_id").alias("src"), F.col("hub_id").alias("dst"))
     if last:
         return ties, None
-    far = F.col("near") < reach
-    sizes = checkpoint(compared.where(F.col("near") < threshold).groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(far, 1)).alias("n_far")).where("n_far > 0"))
-    rest = compared.where(F.col("near") < threshold).join(broadcast_if_small(sizes), "path")
+    loose = compared.where(F.col("near") < threshold).select("path", "set_id", "sig", (F.col("near") < reach).alias("far"))
+    sizes = checkpoint(loose.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if("far").alias("n_far")).where("n_far > 0"))
+    return ties, written(loose.join(broadcast_if_small(sizes), "path"))
+
+
+def fringes(rest: DataFrame, bucket: int) -> DataFrame:
+    """Buckets (path, chunk, set_id, sig) of nodes with few far sets: these beside each chunk of the others."""
     fringed = rest.where(F.col("n_far") <= bucket).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    near = fringed.where(~far).select("path", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"), "set_id", "sig")
-    beside = fringed.where(far).select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "set_id", "sig")
-    ties = ties.union(bucket_ties(_members(near.union(beside), "path", "chunk"), threshold))
-    return ties, rest.where(F.col("n_far") > bucket).select("path", "set_id", "sig")
+    near = fringed.where("NOT far").select("path", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int").alias("chunk"), "set_id", "sig")
+    beside = fringed.where("far").select("path", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "set_id", "sig")
+    return near.union(beside)
 
 
 def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int | None = None, depth: int = DEPTH, seed: int = 0) -> DataFrame:
-    """Ties between sets (materialised; set_id, sig) that met on a chosen path.
+    """Ties (materialised) between sets (materialised; set_id, sig) that met on a chosen path; one may be listed more than once.
 
-    Each level's table is deleted once the next is written. Only the first level is joined with
-    the signatures; later ones, which hold large nodes alone, carry them.
+    Only the first level is joined with the signatures; later ones, which hold what is left of
+    large nodes alone, carry them. The buckets of all levels are compared at once, at the end.
     """
-    bucket, found, nodes = bucket or BUCKET, [], written(first_nodes(sets, runs_needed(threshold, recall, depth), seed))
+    bucket, nodes = bucket or BUCKET, written(first_nodes(sets, runs_needed(threshold, recall, depth), seed))
+    buckets, ties, kept = [], [], []
     for level in range(1, depth + 1):
         counts = nodes.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = written(nodes.join(counts, "path"))
@@ -286,20 +328,21 @@ def candidate_ties(sets: DataFrame, threshold: float = THRESHOLD, recall: float
             signed = written(wanted.join(sets.select("set_id", "sig"), "set_id"))
             discard(sized)
             sized, small, large = signed, signed.where("small"), signed.where("NOT small")
-        found.append(written(bucket_ties(_members(small, "path"), threshold)))
+        kept.append(sized)
+        buckets.append(small.select("path", F.lit(0).alias("chunk"), "set_id", "sig"))
         if large.isEmpty():
-            discard(sized)
             break
-        ties, rest = settle_large(large.select("path", "set_id", "sig"), threshold, bucket, level == depth)
-        found.append(written(ties))
+        to_hubs, rest = settle_large(large.select("path", "set_id", "sig"), threshold, bucket, level == depth)
+        ties.append(to_hubs)
         if rest is None:
             break
-        nodes = written(next_nodes(rest))
-        discard(sized)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+        kept.append(rest)
+        buckets.append(fringes(rest, bucket))
+        nodes = written(next_nodes(rest.where(F.col("n_far") > bucket)))
+    out = written(reduce(DataFrame.union, [bucket_ties(reduce(DataFrame.union, buckets), threshold, "path", "chunk"), *ties]))
+    for table in kept:
+        discard(table)
+    return out
 
 
 def verify_pairs(blocks: DataFrame, threshold: float, width: int) -> DataFrame:
@@ -374,8 +417,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     grouped = signed.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sig").alias("sig"), first.alias("one"), F.count(F.lit(1)).alias("n_copies"), F.max("size").alias("size"))
     sets = written(grouped)
-    ties = checkpoint(candidate_ties(sets.select("set_id", "sig"), threshold, recall, seed=seed))
-    clusters = connected_components(ties)
+    clusters = connected_components(candidate_ties(sets.select("set_id", "sig"), threshold, recall, seed=seed))
 
     chosen = clusters.join(sets.select("set_id", "one.doc_id", "one.row_key", "size"), F.col("node") == F.col("set_id")).select("set_id", F.col("component").alias("cluster"), "doc_id", "row_key", "size")
     chosen = checkpoint(chosen)

@@ -187,3 +187,45 @@ def test_a_node_with_few_sets_outside_its_hubs_reach(spark, monkeypatch):
         text = base[: rng.randint(20, 60)] + [f"y{k // 2}z{i}" for i in range(60)]
         rows.append((1000 + k, " ".join(text)))
     assert found(spark, rows) == sorted(brute(rows), key=str)
+
+
+def crowd(n, shared, own):
+    """Texts that begin with the same words and go on with their own: all alike to some degree, none near copies."""
+    return [(k, " ".join([f"c{i}" for i in range(shared)] + [f"w{k}x{i}" for i in range(own)])) for k in range(n)]
+
+
+def test_a_crowd_that_shares_a_passage_does_not_descend(spark, monkeypatch):
+    """A few hundred sets are compared where they stand; each level that they would descend holds most of them again."""
+    levels, descend = [], jj.next_nodes
+    monkeypatch.setattr(jj, "next_nodes", lambda nodes: levels.append(nodes.count()) or descend(nodes))
+    rows = crowd(400, 60, 60)
+    rows += [(1000 + k, f"{rows[k][1]} one more") for k in range(0, 400, 10)]
+    assert found(spark, rows) == sorted(brute(rows), key=str)
+    assert levels == []
+
+
+def test_rows_follow_the_size_of_a_crowd(spark, monkeypatch):
+    """What large nodes hand down grows with a crowd, not with its square, and links between its texts are found at any size."""
+    monkeypatch.setattr(jj, "BUCKET", 16)
+    descend, handed = jj.next_nodes, []
+    monkeypatch.setattr(jj, "next_nodes", lambda nodes: handed.append(nodes.count()) or descend(nodes))
+    total = []
+    for n in (200, 400):
+        handed.clear()
+        rows = crowd(n, 30, 60)
+        rows += [(1000 + k, f"{rows[k][1]} one more") for k in range(0, n, 10)]
+        assert found(spark, rows) == sorted(brute(rows), key=str)
+        total.append(sum(handed))
+    assert 0 < total[1] <= 3 * total[0]
+
+
+def test_least_tied_members():
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 30, 90):
+        near = rng.random((n, n)) < 1.2 / n
+        near |= near.T
+        parent = {i: i for i in range(n)}
+        jj._forest(parent, zip(*np.nonzero(np.triu(near, 1)), strict=True))
+        assert jj.least_tied(near).tolist() == list(parent.values())
+    chain = np.eye(40, k=1, dtype=bool) | np.eye(40, k=-1, dtype=bool)
+    assert not jj.least_tied(chain).any()
