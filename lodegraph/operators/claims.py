@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegraph.operators import pairing
 from lodegraph.operators.components import connected_components
-from lodegraph.runtime import checkpoint
+from lodegraph.runtime import checkpoint, written
 
-#: Claims that a bucket may have to be compared pair by pair; larger ones are listed instead.
+#: Propositions that a bucket of the ten-class comparison may have; larger ones are listed instead.
 BUCKET_CAP = 40
 
 
@@ -19,26 +20,19 @@ def bucket_sizes(claims: DataFrame, keys: list[str]) -> DataFrame:
     return claims.groupBy(*keys).agg(n.alias("n"), (n * (n - 1) / 2).cast("long").alias("pairs"))
 
 
-def pair_classes(claims: DataFrame, keys: list[str], cap: int = BUCKET_CAP) -> DataFrame:
-    """Rows (*keys, left_id, right_id, class) of every pair of claims in a bucket of at most `cap`.
+def pair_classes(claims: DataFrame, keys: list[str], cap: int | None = None, block: int = pairing.BLOCK) -> DataFrame:
+    """Rows (*keys, left_id, right_id, class) of every pair of claims in a bucket; with a `cap`, in buckets of at most `cap` claims only.
 
     Claims have id, polarity, modality, and objects (an array). Precedence: disjoint objects are
     incomparable; opposed polarity is a conflict; then modality; equal objects are equivalent; an
-    overlap of half the smaller set is compatible; the rest is ambiguous.
+    overlap of half the smaller set is compatible; the rest is ambiguous. Buckets of over `block`
+    claims are compared in cells, so that no task has more to do for a larger bucket.
     """
-    fit = claims.join(bucket_sizes(claims, keys).where(F.col("n") <= cap).select(*keys), keys, "left_semi")
-    left = fit.select(*keys, F.col("id").alias("left_id"), F.col("polarity").alias("lp"), F.col("modality").alias("lm"), F.array_distinct("objects").alias("lo"))
-    right = fit.select(*keys, F.col("id").alias("right_id"), F.col("polarity").alias("rp"), F.col("modality").alias("rm"), F.array_distinct("objects").alias("ro"))
-    common, smaller = F.size(F.array_intersect("lo", "ro")), F.least(F.size("lo"), F.size("ro"))
-    kind = (
-        F.when(common == 0, "incomparable")
-        .when(F.col("lp") != F.col("rp"), "direct_conflict")
-        .when(F.col("lm") != F.col("rm"), "modality_divergence")
-        .when((common == F.size("lo")) & (common == F.size("ro")), "equivalent")
-        .when(common * 2 >= smaller, "compatible_partial")
-        .otherwise("referent_ambiguity")
-    )
-    return left.join(right, keys).where("left_id < right_id").select(*keys, "left_id", "right_id", kind.alias("class"))
+    sizes = written(bucket_sizes(claims, keys))
+    if cap is not None:
+        sizes = sizes.where(F.col("n") <= cap)
+        claims = claims.join(sizes.select(*keys), keys, "left_semi")
+    return pairing.classed(pairing.cells(claims, keys, sizes, block), keys)
 
 
 def constrained_union(equivalences: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -205,6 +205,8 @@ _CLAIMS = r"""
     ), classed AS (
         SELECT conv_id, left_id, right_id, CASE WHEN common = 0 THEN 'incomparable' WHEN NOT same_polarity THEN 'direct_conflict' WHEN NOT same_modality THEN 'modality_divergence'
             WHEN common = nl AND common = nr THEN 'equivalent' WHEN common * 2 >= least(nl, nr) THEN 'compatible_partial' ELSE 'referent_ambiguity' END AS class FROM compared)"""
+#: Pairs of all conversations: what the cut in `compared` above leaves out is left in. The SQL that only counts buckets keeps its text.
+_PAIRS = _CLAIMS.replace(" WHERE a.conv_id IN (SELECT conv_id FROM sizes WHERE n <= 40)", "")
 _MEMBERS = """
     o AS (SELECT o_custkey AS c_custkey, bool_or(o_orderpriority = '1-URGENT') AS urgent, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1),
     members AS (SELECT c_custkey, CASE WHEN coalesce(urgent, false) AND c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'member' WHEN urgent IS NOT NULL THEN 'not_member' ELSE 'abstain' END AS outcome,
@@ -239,8 +241,8 @@ ORACLE_SQL = {
         SELECT doc_id, cast(line AS INT) AS line, cast(level AS INT) AS level, cast(coalesce(CASE level WHEN 1 THEN a WHEN 2 THEN b ELSE c END - 1, last) AS INT) AS line_end FROM s WHERE level IS NOT NULL""",
     "proposition_buckets": f"WITH {_CLAIMS} SELECT conv_id, n, pairs FROM sizes",
     "candidate_pair_count": f"WITH {_CLAIMS} SELECT count(*) AS n_buckets, cast(sum(pairs) AS BIGINT) AS bucket_pairs, cast(sum(n) * (sum(n) - 1) / 2 AS BIGINT) AS naive_pairs FROM sizes",
-    "claim_pair_classes": f"WITH {_CLAIMS} SELECT * FROM classed",
-    "ten_class_histogram": f"WITH {_CLAIMS} SELECT class, count(*) AS n FROM classed GROUP BY class",
+    "claim_pair_classes": f"WITH {_PAIRS} SELECT * FROM classed",
+    "ten_class_histogram": f"WITH {_PAIRS} SELECT class, count(*) AS n FROM classed GROUP BY class",
     "modality_diff": """WITH h AS (SELECT conv_id, term, bool_or(role = 'user') AS u, bool_or(role = 'assistant') AS a
             FROM (SELECT conv_id, role, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]{3,}')) AS term FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY ALL)
         SELECT conv_id, CASE WHEN u AND a THEN 'aligned' WHEN u THEN 'user_only' ELSE 'assistant_only' END AS state, count(*) AS n FROM h GROUP BY 1, 2""",
