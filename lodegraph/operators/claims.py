@@ -28,11 +28,20 @@ def pair_classes(claims: DataFrame, keys: list[str], cap: int | None = None, blo
     overlap of half the smaller set is compatible; the rest is ambiguous. Buckets of over `block`
     claims are compared in cells, so that no task has more to do for a larger bucket.
     """
+    return pairing.classed(_cells(claims, keys, cap, block), keys)
+
+
+def pair_class_counts(claims: DataFrame, keys: list[str], cap: int | None = None, block: int = pairing.BLOCK) -> DataFrame:
+    """Rows (class, n): the pairs of `pair_classes` by class, counted where they meet."""
+    return pairing.counted(_cells(claims, keys, cap, block), keys)
+
+
+def _cells(claims: DataFrame, keys: list[str], cap: int | None, block: int) -> DataFrame:
     sizes = written(bucket_sizes(claims, keys))
     if cap is not None:
         sizes = sizes.where(F.col("n") <= cap)
         claims = claims.join(sizes.select(*keys), keys, "left_semi")
-    return pairing.classed(pairing.cells(claims, keys, sizes, block), keys)
+    return pairing.cells(claims, keys, sizes, block)
 
 
 def constrained_union(equivalences: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -153,3 +153,17 @@ def classed(cell: DataFrame, keys: list[str]) -> DataFrame:
 
     schema = ", ".join(f"`{name}` {kind}" for name, kind in [*((k, kinds[k]) for k in keys), ("left_id", kinds["id"]), ("right_id", kinds["id"]), ("class", "string")])
     return cell.mapInArrow(run, schema)
+
+
+def counted(cell: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (class, n) of all pairs of the claims in `cells`; a task counts its own pairs, none becomes a row."""
+    ensure_importable(cell.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(CLASSES), np.int64)
+        for _, _, _, number in met(batches, keys):
+            total += np.bincount(number, minlength=len(CLASSES))
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(CLASSES).take(pa.array(found)), pa.array(total[found])], names=["class", "n"])
+
+    return cell.mapInArrow(run, "class string, n long").groupBy("class").agg(F.sum("n").alias("n"))

@@ -84,7 +84,7 @@ def claim_pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ten_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return claim_pair_classes(spark, sf_dir).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    return claims.pair_class_counts(_claims(spark, sf_dir), ["conv_id"])
 
 
 def modality_diff(spark: SparkSession, sf_dir: str) -> DataFrame:

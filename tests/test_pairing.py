@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 import pytest
@@ -76,6 +77,20 @@ def test_every_pair_once_whatever_the_block(spark, block, kind, name):
     assert sorted(map(tuple, found.collect())) == brute_force(rows)
 
 
+def test_histogram_of_large_conversations(spark, talks):
+    found = [tuple(r) for r in QUERIES["ten_class_histogram"](spark, talks).collect()]
+    assert sorted(found) == sorted(from_sql(talks, "ten_class_histogram"))
+    assert sum(n for _, n in found) > 1100 * 1099 // 2
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_counts_are_those_of_the_pairs(spark, block):
+    rows = odd_claims(int)
+    table = spark.createDataFrame(rows, CLAIM.format("long"))
+    assert dict(map(tuple, claims.pair_class_counts(table, ["k"], block=block).collect())) == Counter(kind for *_, kind in brute_force(rows))
+    assert claims.pair_class_counts(table.limit(0), ["k"]).collect() == []
+
+
 @pytest.mark.parametrize("batch", [1, 7, 1000])
 def test_cells_over_batches_and_matches_in_parts(spark, monkeypatch, batch):
     monkeypatch.setattr(pairing, "HELD_PAIRS", 100)
